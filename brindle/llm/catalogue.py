@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brindle.llm import media, packing, secrets, url_rules
+from brindle.llm import decontaminate, language, media, packing, secrets, url_rules
 
-MODULES = (secrets, packing, media, url_rules)
+MODULES = (secrets, packing, media, decontaminate, language, url_rules)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
