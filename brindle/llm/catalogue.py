@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from brindle.llm import decontaminate, language, media, packing, secrets, url_rules, window_dedup
+from brindle.llm import decontaminate, interpolation, language, media, packing, secrets, url_rules, window_dedup
 
-MODULES = (secrets, packing, media, decontaminate, language, url_rules, window_dedup)
+MODULES = (interpolation, secrets, packing, media, decontaminate, language, url_rules, window_dedup)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
