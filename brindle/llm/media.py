@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from brindle.llm.shared import octets, shared_dir, table
+from brindle.llm.shared import octets, shared_dir, stage, table
 
 BLOCK = 512
 WIDTH = 64
@@ -152,7 +152,7 @@ def write_archives(docs: DataFrame) -> str:
     store, root = filesystem(folder)
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    names = [r["archive"] for r in rows.mapInArrow(archiver(folder), "archive string").toLocalIterator()]
+    names = [r["archive"] for r in stage(rows.mapInArrow(archiver(folder), "archive string"), "media-list").collect()]
     with store.open_output_stream(f"{root}/{LISTED}") as out:
         out.write("\n".join(sorted(names)).encode())
     return folder
