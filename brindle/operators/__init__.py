@@ -1 +1 @@
-"""See the package README section on layout."""
+"""Operators: DataFrame in, DataFrame out."""
