@@ -12,7 +12,6 @@ staged block whenever a task is lost, so nothing depends on executor-local state
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -20,23 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CODEC = "zstd"
-_fallback: dict[str, str] = {}
+from brindle.operators.graph import shared_dir
 
+CODEC = "zstd"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or _fallback.get("dir")
-    if not path:
-        path = _fallback["dir"] = "file://" + tempfile.mkdtemp(prefix="brindle-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/") + "/brindle"
-
-
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame as a table on shared storage and read it back: cuts lineage and fixes row content."""
     spark = df.sparkSession
