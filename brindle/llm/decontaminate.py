@@ -17,12 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import stage, table
+from brindle.llm.shared import small, stage, table, without
 
 WORDS = 5
 NOT_WORD = r"[^\p{L}\p{N}]+"
-#: Sketches, item shingles and candidate ids are sent to every task up to these row counts, and shuffled beyond.
-BROADCAST_ROWS = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -52,11 +50,6 @@ def shingle_texts(text: Column) -> Column:
     return bound_once(words_of(text), slide)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows; the caller has staged it, so counting is cheap."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def sketches(items: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(item shingles: item_id, h, s, n; sketch: item_id, h, least hits)."""
     missing = 1 - threshold
@@ -87,7 +80,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -
 
 def clean_of(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Documents that contain no test item."""
-    return docs.join(contained_items(docs, items, threshold).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, stage(contained_items(docs, items, threshold).select("doc_id").distinct(), "decontaminate-drop"))
 
 
 def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,6 +286,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(predictor(model), StructType([*kept.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
+def spoken_only(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
+    """Documents with a recognised language; those without a letter or with a near-uniform prediction go."""
+    columns = docs.columns
+    labelled = docs.where(with_checksum(docs, 4) != 2).select("doc_id", "text", "lang")
+    names = {c: f"_{i}" for i, c in enumerate(columns) if c in ("lang_pred", "score")}
+    found = identify(docs.withColumnsRenamed(names), train(labelled))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(*columns)
+
+
 def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = with_checksum(docs, 4) == 2

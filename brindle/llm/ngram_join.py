@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.blocks import ASKED, Block, answered, ask, asked_rows, make_blocks, n_buckets, with_answers
-from brindle.llm.shared import expand, mix, pack, pack_sorted, squeeze, stage, table, unpack, unpack_sorted
+from brindle.llm.shared import expand, mix, pack, pack_sorted, squeeze, stage, table, unpack, unpack_sorted, without
 from brindle.operators.graph import connected_components
 
 WORD, SET, PREFIX = 0, 1, 2
@@ -392,6 +392,12 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Data
     return out, links.select(as_id("a").alias("a"), as_id("b").alias("b")).distinct()
 
 
+def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """The document with the least id of every class; documents with a null id stay."""
+    classes = join_documents(docs, n, percent)[0]
+    return without(docs, stage(classes.where("doc_id <> component_id").select("doc_id"), "join-drop"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_documents(table(spark, sf_dir, "documents"))[0].drop("first_id")
 

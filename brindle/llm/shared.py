@@ -117,3 +117,13 @@ def as_batch(schema: pa.Schema, columns: dict) -> pa.RecordBatch:
 def require(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the columns an operator uses, so that extra columns can neither clash nor be read."""
     return docs.select(*columns)
+
+
+def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Marked for broadcast if it has at most `rows` narrow rows, else left to a shuffled join; `df` is a staged table."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose doc_id is not in a staged table of ids; texts are not shuffled while the ids are few."""
+    return docs.join(small(ids.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
