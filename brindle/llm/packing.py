@@ -63,8 +63,8 @@ class Schedule:
 
     In the fluid limit every queue is served at its share of the weights that are still active; `times` are the moments (in
     tokens served) at which a queue runs dry, `served` what each queue had got by then.  Token j of a queue is due when the
-    fluid service reaches j + 1/2; windows take tokens by due time, ties by queue.  No queue is ever a whole token or more
-    ahead or behind at a window's end, save for the share that others could not take, which is the deficit carried over.
+    fluid service reaches j + 1/2; windows take tokens by due time, ties by queue.  At a window's end a queue is ahead of or
+    behind its share by a token or so (at most half a token for each queue); that difference is the deficit carried over.
     """
 
     def __init__(self, totals: list[int], weights: list[float] | None, length: int):
