@@ -118,7 +118,8 @@ class Anchors:
         stop = np.append(start[1:], len(window)) - 1
         anchor, doc = anchor[start], doc[start]
         context = self.hash_between(np.maximum(anchor - self.left, self.begins[doc]), anchor, np.minimum(anchor + self.length, self.ends[doc]), self.sums(1, part), base)
-        return anchor, doc, window[start], window[stop], grams[anchor - s], context
+        # Least hashes crowd near zero: hashed again, so that key ranges are even.
+        return anchor, doc, window[start], window[stop], mix(grams[anchor - s] ^ np.uint64(BASES[1])), context
 
     def hash_between(self, begin: np.ndarray, at: np.ndarray, end: np.ndarray, total: np.ndarray, base: int) -> np.ndarray:
         """Hash of text[begin:end] and of where `at` lies in it."""
