@@ -37,6 +37,8 @@ WORD, SET, PREFIX = 0, 1, 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Lists up to this long are searched by all their members at once.
 SHORT_LIST = 8
+#: Shingles take more room than words, so blocks are smaller here.
+BLOCK_BYTES = 5 << 20
 LISTED = "bucket int, block long, doc long, token long, size_class int, target long"
 ACTIVE = "block long, doc_ids array<long>, sizes array<long>, tokens binary, vocabulary binary, n_tokens long, all_ids array<long>, all_n array<long>, all_first array<long>"
 QUERIES_OUT = "block long, doc long, shingles binary"
@@ -347,7 +349,7 @@ def second_requests(lists: DataFrame, classes: DataFrame, sent: DataFrame) -> Da
 
 def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, n_shingles, first_id, component_id; links: a, b between least documents of sets)."""
-    blocks = make_blocks(docs, lower=True)
+    blocks = make_blocks(docs, lower=True, block_bytes=BLOCK_BYTES)
     buckets = n_buckets(blocks)
     first = stage(ask(blocks, first_questions(n), merge_first), "join-first")
     asked_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
