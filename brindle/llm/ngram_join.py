@@ -25,6 +25,7 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,15 +59,33 @@ class Shingles:
         for length in range(1, n):
             short = np.flatnonzero(sizes == length)
             parts.append((short, self.hashed(words, block.tokens, starts[short], length), self.rarest(rank, block.tokens, starts[short], length)))
-        doc, key, rarity = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((key, doc))
-        doc, key, rarity = doc[order], key[order], rarity[order]
-        fresh = np.ones(len(doc), bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-        self.doc, self.key, self.rarity = doc[fresh], key[fresh], rarity[fresh]
-        self.count = np.bincount(self.doc, minlength=len(sizes))
+        # Documents one by one: their sorts are small, and together far cheaper than one of the whole block.
+        ends = np.cumsum(whole)
+        keys: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(sizes)
+        rarities: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(sizes)
+        for i, (a, b) in enumerate(zip((ends - whole).tolist(), ends.tolist(), strict=True)):
+            if b > a:
+                own = parts[0][1][a:b]
+                order = own.argsort()
+                own = own[order]
+                fresh = np.empty(b - a, bool)
+                fresh[0] = True
+                np.not_equal(own[1:], own[:-1], out=fresh[1:])
+                keys[i] = own[fresh]
+                if rank is not None:
+                    rarities[i] = parts[0][2][a:b][order][fresh]
+        for short, key, rarity in parts[1:]:
+            for j, i in enumerate(short.tolist()):
+                keys[i], rarities[i] = key[j : j + 1], rarity[j : j + 1]
+        self.count = np.array([len(k) for k in keys], np.int64)
+        self.key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        self.rarity = np.concatenate(rarities) if rank is not None and rarities else np.zeros(len(self.key), np.uint8)
         self.begin = np.cumsum(self.count) - self.count
 
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.count)), self.count)
+
     @staticmethod
     def hashed(words: np.ndarray, tokens: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         value = np.full(len(at), n, np.uint64)
@@ -163,14 +182,15 @@ class Ranked:
     def prefixes(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """(document, shingle) of the rarest shingles of every document that stands for its set."""
         s = self.shingles
-        order = np.lexsort((s.key, s.rarity, s.doc))
-        place = np.arange(len(order)) - s.begin[s.doc[order]]
-        count = s.count[s.doc[order]]
-        chosen = order[place < count - (percent * count + 99) // 100 + 1]
-        standing = np.zeros(len(s.count), bool)
-        standing[self.stands] = True
-        chosen = chosen[standing[s.doc[chosen]]]
-        return s.doc[chosen], s.key[chosen]
+        docs, keys = [], [np.zeros(0, np.uint64)]
+        for doc in self.stands.tolist():
+            a, n = int(s.begin[doc]), int(s.count[doc])
+            chosen = n - (percent * n + 99) // 100 + 1
+            # Keys are in hash order, so the stable sort by (rarity, leading hash bits) is the order by (rarity, hash).
+            order = ((s.rarity[a : a + n].astype(np.uint64) << np.uint64(56)) | (s.key[a : a + n] >> np.uint64(8))).argsort(kind="stable")[:chosen]
+            keys.append(s.key[a : a + n][order])
+            docs.append(doc)
+        return np.repeat(np.array(docs, np.int64), [len(k) for k in keys[1:]]), np.concatenate(keys)
 
 
 def size_class(count: np.ndarray, percent: int) -> np.ndarray:
@@ -243,7 +263,7 @@ def meet_lists(rows: pa.Table) -> pa.Table:
             emit(*(np.full(len(near), x) for x in (doc[pivot], block[pivot], 0, c)), near)
     if out:
         docs, blocks, tokens, classes, targets = (np.concatenate(x) for x in zip(*out, strict=True))
-        each = np.unique(np.stack([docs.astype(np.uint64).view(np.int64), blocks, tokens.astype(np.int64), classes, targets]), axis=1)
+        each = pd.DataFrame({0: docs.astype(np.uint64).view(np.int64), 1: blocks, 2: tokens, 3: classes, 4: targets}).drop_duplicates().to_numpy().T
     else:
         each = np.zeros((5, 0), np.int64)
     bucket = rows.column("bucket")[0].as_py() if rows.num_rows else 0
@@ -256,10 +276,9 @@ def meet_lists(rows: pa.Table) -> pa.Table:
 class Lists:
     """Inverted lists of a block's documents: shingle -> sorted document numbers."""
 
-    def __init__(self, shingles: Shingles, docs: np.ndarray):
-        chosen = np.isin(shingles.doc, docs)
-        order = np.lexsort((shingles.doc[chosen], shingles.key[chosen]))
-        key, self.members = shingles.key[chosen][order], shingles.doc[chosen][order]
+    def __init__(self, shingles: Shingles):
+        order = shingles.key.argsort(kind="stable")
+        key, self.members = shingles.key[order], shingles.doc[order]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         self.keys, self.begin, self.end = key[start], start, np.append(start[1:], len(key))
         self.shingles = shingles
@@ -322,7 +341,7 @@ def answer_queries(blocks: DataFrame, queries: DataFrame, n: int, percent: int)
             return schema.empty_table()
         block = Block.of(left.to_pylist()[0])
         shingles = Shingles(block, n)
-        lists = Lists(shingles, np.arange(len(block.sizes)))
+        lists = Lists(shingles)
         own = block.order_keys().view(np.int64)
         a, b = [], []
         for doc, packed in zip(right.column("doc").to_pylist(), right.column("shingles").to_pylist(), strict=True):
