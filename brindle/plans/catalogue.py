@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from brindle.plans import corpus, evaluation, lifecycle
+
+MODULES = (corpus, lifecycle, evaluation)
+FLAGSHIP = "q_exact_dedup_survivor"
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
