@@ -161,7 +161,7 @@ def location(raw: Column) -> Column:
     def parts(x: Column) -> Column:
         head = F.coalesce(F.get(x, F.lit(0)), F.lit(""))
         # Prefixes of towns and villages.
-        city = F.trim(F.regexp_replace(F.trim(F.substring_index(head, ",", 1)), r"(?iU)^(?:град|гр\.|село|с\.)\s*", ""))
+        city = F.trim(F.regexp_replace(F.trim(F.substring_index(head, ",", 1)), r"(?U)^(?:град|гр\.|село|с\.)\s+", ""))
         comma = F.instr(head, ",")
         area = F.when(comma > 0, F.trim(F.substring(head, comma + 1, F.length(head)))).otherwise("")
         return F.struct(city.alias("city"), area.alias("area"), F.get(x, F.lit(1)).alias("street"))
