@@ -86,7 +86,7 @@ def blocker(lower: bool, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]
 def make_blocks(docs: DataFrame, lower: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Staged blocks of all documents: words `[^\\x20\\x09-\\x0D]+`, A-Z in lower case if asked for; null text is empty."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stage(rows.mapInArrow(blocker(lower, block_bytes), BLOCKS), "blocks")
+    return stage(rows.mapInArrow(blocker(lower, block_bytes), BLOCKS), "blocks", "uncompressed")
 
 
 Question = tuple[int, np.ndarray, Callable[[int, int], tuple[bytes, bytes]]]

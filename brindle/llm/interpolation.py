@@ -206,7 +206,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, remainder: int = 2, fold_
         return role(doc_id, modulus, remainder, fold_of)
 
     blocks = make_blocks(docs, lower=True)
-    answers = stage(ask(blocks, questions_of(roles), merge_counts), "ngram-counts")
+    answers = stage(ask(blocks, questions_of(roles), merge_counts), "ngram-counts", "uncompressed")
     n, n_fold, v = totals_of(answers)
     events = np.array([tuple(r) for r in held_out_events(blocks, answers, roles, n, n_fold).collect()], np.int64).reshape(-1, 4)
     weights = learn(events[np.lexsort(events.T[::-1])], v) if n else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))

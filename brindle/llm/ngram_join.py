@@ -5,14 +5,15 @@ A document is the set of its distinct word n-grams; two link when their Jaccard
 1. Equal sets are collapsed: every block asks for the least document with each of its set fingerprints.
 2. Shingles get one order for all: by how rare their rarest word is in the corpus, then by hash.  Two linked sets share one
    of the first n - ceil(t n) + 1 shingles of each (the shortest inverted lists), so only these are sent to buckets, where
-   the lists meet.  Who shares a list becomes a candidate: its set is sent as a query to the blocks of the others.
-3. A block answers queries by T-occurrence search over the inverted lists of its own documents, as DivideSkip does it: the
-   short lists are merged and counted, what could still reach the required overlap probes the long lists by binary search,
-   and exact Jaccard similarity decides.
-4. Long lists (groups of very many near copies) are not searched pair by pair.  In a first round one pivot of each size class
-   queries; what links to it is one class already.  In a second round every member outside its list's largest class
-   queries all blocks of the list.  A pair inside the largest class needs no query, as only classes are asked for, and
-   every other pair has a member that queries; so no link between classes is lost.
+   the lists meet.
+3. Documents that share a list, directly or over others, are a family; families are far smaller than the corpus and hold all
+   links.  The sets of a family meet in one task, which answers queries by T-occurrence search over the inverted lists of
+   its documents, as DivideSkip does it: the short lists are merged and counted, what could still reach the required overlap
+   probes the long lists by binary search, and exact Jaccard similarity decides.
+4. Not every document of a family has to query.  After a few pivots have, the documents outside the largest class so far
+   do: a pair inside that class needs no query, as only classes are asked for, and every other pair has a member that
+   queries.  A family of more than `piece` documents (very many near copies) is dealt over several tasks: the pivots meet
+   every piece, then pieces of the documents outside the largest class meet every piece.  No link between classes is lost.
 
 Defined results: documents without words have an empty set and link with nothing; with fewer than n words the whole sequence
 is the one shingle; rows with the same doc_id count as linked; a null id counts as larger than any; an empty table gives an
@@ -36,13 +37,14 @@ from brindle.operators.graph import connected_components
 
 WORD, SET, PREFIX = 0, 1, 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Lists up to this long are searched by all their members at once.
-SHORT_LIST = 8
+#: Documents of a family that one task searches; larger families are dealt over several.
+PIECE = 3000
+PIVOTS = 3
 #: Shingles take more room than words, so blocks are smaller here.
 BLOCK_BYTES = 5 << 20
-LISTED = "bucket int, block long, doc long, token long, size_class int, target long"
+LISTED = "block long, doc long, first long"
 ACTIVE = "block long, doc_ids array<long>, sizes array<long>, tokens binary, vocabulary binary, n_tokens long, all_ids array<long>, all_n array<long>, all_first array<long>"
-QUERIES_OUT = "block long, doc long, shingles binary"
+SENT = "target long, family long, doc long, asks boolean, listed boolean, shingles binary"
 LINKS = "a long, b long"
 
 
@@ -217,10 +219,10 @@ def prefix_rows(n: int, percent: int, buckets: int):
 
 
 def meet_lists(rows: pa.Table) -> pa.Table:
-    """Inverted lists of a bucket.  Short ones name queries (document, to block); longer ones a pivot of each size class.
+    """Inverted lists of a bucket as stars: every document of a list with the least document of its run of size classes.
 
-    Output rows: target -1: the document is in some list with another; target >= 0: send the document there as a query;
-    token set: a member of a long list, for the second round.
+    Sizes of linked sets are at most one class apart, so a list is cut where a class is missing; documents that are alone in
+    their run have no candidate there.
     """
     key, doc, kind, block = [], [], [], []
     for b, k, extra in zip(*(rows.column(c).to_pylist() for c in ("block", "keys", "extra")), strict=True):
@@ -233,61 +235,33 @@ def meet_lists(rows: pa.Table) -> pa.Table:
     key, doc, kind, block = (np.concatenate(x) for x in (key, doc, kind, block))
     order = np.lexsort((doc, kind, key))
     key, doc, kind, block = key[order], doc[order], kind[order], block[order]
-    # Runs of adjacent size classes in a list; a document alone among its neighbours' sizes has no candidate there.
     start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] > kind[:-1] + 1)))
-    stop = np.append(start[1:], len(key))
-    out: list[tuple[np.ndarray, ...]] = []
-
-    def emit(docs, blocks, tokens, classes, targets):
-        out.append((docs, blocks, tokens, classes, targets))
-
-    sizes = stop - start
-    for length in range(2, SHORT_LIST + 1):
-        at = start[sizes == length]
-        if not len(at):
-            continue
-        for i in range(length):
-            for j in range(i + 1, length):
-                x, y = at + i, at + j
-                ok = (kind[y] - kind[x] <= 1) & (doc[x] != doc[y])
-                x, y = x[ok], y[ok]
-                emit(doc[x], block[x], np.zeros(len(x), np.int64), kind[x], block[y])
-                for z in (x, y):
-                    emit(doc[z], block[z], np.zeros(len(z), np.int64), kind[z], np.full(len(z), -1))
-    for a, b in zip(start[sizes > SHORT_LIST].tolist(), stop[sizes > SHORT_LIST].tolist(), strict=True):
-        token = np.full(b - a, key[a]).view(np.int64)
-        emit(doc[a:b], block[a:b], token, kind[a:b], np.full(b - a, -1))
-        for c in np.unique(kind[a:b]):
-            pivot = a + np.flatnonzero(kind[a:b] == c)[0]
-            near = np.unique(block[a:b][np.abs(kind[a:b] - c) <= 1])
-            emit(*(np.full(len(near), x) for x in (doc[pivot], block[pivot], 0, c)), near)
-    if out:
-        docs, blocks, tokens, classes, targets = (np.concatenate(x) for x in zip(*out, strict=True))
-        each = pd.DataFrame({0: docs.astype(np.uint64).view(np.int64), 1: blocks, 2: tokens, 3: classes, 4: targets}).drop_duplicates().to_numpy().T
-    else:
-        each = np.zeros((5, 0), np.int64)
-    bucket = rows.column("bucket")[0].as_py() if rows.num_rows else 0
-    return pa.table({"bucket": pa.array(np.full(each.shape[1], bucket), pa.int32()), "block": pa.array(each[1]), "doc": pa.array(each[0]), "token": pa.array(each[2]), "size_class": pa.array(each[3], pa.int32()), "target": pa.array(each[4])})
-
-
-# Local T-occurrence search
+    size = np.diff(np.append(start, len(key)))
+    first = np.repeat(np.minimum.reduceat(doc, start), size)
+    shared = np.repeat(size, size) > 1
+    stars = pd.DataFrame({"block": block[shared], "doc": doc[shared].view(np.int64), "first": first[shared].view(np.int64)}).drop_duplicates()
+    return pa.table({c: pa.array(stars[c].to_numpy(np.int64)) for c in ("block", "doc", "first")})
+
+
+# T-occurrence search
 
 
 class Lists:
-    """Inverted lists of a block's documents: shingle -> sorted document numbers."""
+    """Inverted lists over sets of shingles: shingle -> sorted numbers of the sets that have it."""
 
-    def __init__(self, shingles: Shingles):
-        order = shingles.key.argsort(kind="stable")
-        key, self.members = shingles.key[order], shingles.doc[order]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        self.keys, self.begin, self.end = key[start], start, np.append(start[1:], len(key))
-        self.shingles = shingles
+    def __init__(self, sets: list[np.ndarray]):
+        self.sets, self.count = sets, np.array([len(x) for x in sets], np.int64)
+        key = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        order = key.argsort(kind="stable")
+        key, self.members = key[order], np.repeat(np.arange(len(sets)), self.count)[order]
+        self.begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.keys, self.end = key[self.begin], np.append(self.begin[1:], len(key))
 
     def search(self, query: np.ndarray, percent: int) -> np.ndarray:
-        """Documents whose Jaccard similarity with the query set reaches percent / 100 (DivideSkip).
+        """Sets whose Jaccard similarity with the query set reaches percent / 100 (DivideSkip).
 
-        At least T = ceil(percent * |query| / 100) of the query's lists must hold a document.  The T - 1 longest lists can be
-        left out of the merge: a document in none of the others cannot reach T.
+        At least T = ceil(percent * |query| / 100) of the query's lists must hold a set.  The T - 1 longest lists can be left
+        out of the merge: a set in none of the others cannot reach T.
         """
         at = np.searchsorted(self.keys, query)
         at[at == len(self.keys)] = 0
@@ -296,28 +270,67 @@ class Lists:
         least = -(-percent * len(query) // 100)
         if len(at) < least:
             return np.zeros(0, np.int64)
-        length = self.end[at] - self.begin[at]
-        by_length = np.argsort(length, kind="stable")
+        by_length = np.argsort(self.end[at] - self.begin[at], kind="stable")
         n_short = len(at) - (least - 1)
         short, long = by_length[:n_short], np.sort(present[by_length[n_short:]])
         merged = np.concatenate([self.members[a:b] for a, b in zip(self.begin[at[short]].tolist(), self.end[at[short]].tolist(), strict=True)])
         candidates, seen = np.unique(merged, return_counts=True)
-        size = self.shingles.count[candidates]
+        size = self.count[candidates]
         needed = -(-percent * (len(query) + size) // (100 + percent))
         able = (seen + len(long) >= needed) & (100 * np.minimum(size, len(query)) >= percent * np.maximum(size, len(query)))
         hits = []
-        for doc, count, goal in zip(candidates[able].tolist(), seen[able].tolist(), needed[able].tolist(), strict=True):
-            own = self.shingles.of(doc)
+        for number, count, goal in zip(candidates[able].tolist(), seen[able].tolist(), needed[able].tolist(), strict=True):
+            own = self.sets[number]
             place = np.searchsorted(own, long)
             place[place == len(own)] = 0
             if count + int((own[place] == long).sum()) >= goal:
-                hits.append(doc)
+                hits.append(number)
         return np.array(hits, np.int64)
 
 
-def send_queries(blocks: DataFrame, requests: DataFrame, n: int) -> DataFrame:
-    """The sets of requested documents, addressed to the blocks that are to search for them."""
-    schema = pa.schema([("block", pa.int64()), ("doc", pa.int64()), ("shingles", pa.binary())])
+class Classes:
+    """Union-find over numbers, with class sizes."""
+
+    def __init__(self, n: int):
+        self.above, self.size = list(range(n)), [1] * n
+
+    def find(self, i: int) -> int:
+        while self.above[i] != i:
+            self.above[i] = self.above[self.above[i]]
+            i = self.above[i]
+        return i
+
+    def join(self, i: int, j: int) -> None:
+        i, j = self.find(i), self.find(j)
+        if i != j:
+            if self.size[i] < self.size[j]:
+                i, j = j, i
+            self.above[j] = i
+            self.size[i] += self.size[j]
+
+
+def family_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Enough links between the sets of one family for its classes: pivots query first, then all outside the largest class."""
+    lists, classes, out = Lists(sets), Classes(len(sets)), []
+
+    def query(i: int) -> None:
+        for j in lists.search(sets[i], percent).tolist():
+            if j != i and classes.find(i) != classes.find(j):
+                out.append((i, j))
+                classes.join(i, j)
+
+    first = range(min(PIVOTS, len(sets)))
+    for i in first:
+        query(i)
+    largest = classes.find(max(range(len(sets)), key=lambda i: classes.size[classes.find(i)]))
+    for i in [i for i in range(len(first), len(sets)) if classes.find(i) != largest]:
+        query(i)
+    return out
+
+
+def send_sets(blocks: DataFrame, requests: DataFrame, n: int) -> DataFrame:
+    """The sets of requested documents (block, doc, family, target, asks, listed), addressed to the tasks that search them."""
+    schema = pa.schema([("target", pa.int64()), ("family", pa.int64()), ("doc", pa.int64()), ("asks", pa.bool_()), ("listed", pa.bool_()), ("shingles", pa.binary())])
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -325,57 +338,87 @@ def send_queries(blocks: DataFrame, requests: DataFrame, n: int) -> DataFrame:
         block = Block.of(left.to_pylist()[0])
         shingles = Shingles(block, n)
         place = {k: i for i, k in enumerate(block.order_keys().view(np.int64).tolist())}
-        docs, targets = right.column("doc").to_pylist(), right.column("target").to_pylist()
+        docs = right.column("doc").to_pylist()
         packed = {d: pack_sorted(shingles.of(place[d])) for d in set(docs)}
-        return pa.Table.from_arrays([pa.array(targets, pa.int64()), pa.array(docs, pa.int64()), pa.array([packed[d] for d in docs], pa.binary())], schema=schema)
+        columns = [right.column(c).combine_chunks() for c in ("target", "family", "doc", "asks", "listed")]
+        return pa.Table.from_arrays([*columns, pa.array([packed[d] for d in docs], pa.binary())], schema=schema)
 
-    return blocks.groupBy("block").cogroup(requests.groupBy("block")).applyInArrow(send, QUERIES_OUT)
+    return blocks.groupBy("block").cogroup(requests.groupBy("block")).applyInArrow(send, SENT)
 
 
-def answer_queries(blocks: DataFrame, queries: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) of order keys, by local search."""
+def search_families(sent: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of order keys.  Where every set both asks and is listed, by pivots; else the asking ones query the listed."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return schema.empty_table()
-        block = Block.of(left.to_pylist()[0])
-        shingles = Shingles(block, n)
-        lists = Lists(shingles)
-        own = block.order_keys().view(np.int64)
+    def search(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("family", "ascending"), ("doc", "ascending")])
+        family = rows.column("family").to_numpy()
+        docs = rows.column("doc").to_numpy()
+        asks, listed = (rows.column(c).to_numpy() for c in ("asks", "listed"))
+        packed = rows.column("shingles").to_pylist()
         a, b = [], []
-        for doc, packed in zip(right.column("doc").to_pylist(), right.column("shingles").to_pylist(), strict=True):
-            near = own[lists.search(unpack_sorted(packed), percent)]
-            near = near[near != doc]
-            a.append(np.full(len(near), doc))
-            b.append(near)
-        return pa.Table.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=schema)
-
-    return blocks.groupBy("block").cogroup(queries.groupBy("block")).applyInArrow(search, LINKS)
-
-
-def second_requests(lists: DataFrame, classes: DataFrame, sent: DataFrame) -> DataFrame:
-    """Queries of the second round: members outside their list's largest class, to all blocks with members of other classes."""
-    members = lists.join(classes, lists["doc"] == classes["node"], "left").select("token", "block", "doc", "size_class", F.coalesce("component", "doc").alias("class"))
-    sizes = stage(members.groupBy("token", "class").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), F.count("*").alias("classes")).where("classes > 1").select("token", "largest"), "join-largest")
-    members = stage(members.join(sizes, "token"), "join-members")
-    outside = members.where(F.col("class") != F.col("largest")).select("token", F.col("block").alias("home"), "doc", F.col("size_class").alias("own_size"), F.col("class").alias("own_class"))
-    there = members.groupBy("token", "block", "size_class").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    pairs = outside.join(there, "token").where((F.abs(F.col("own_size") - F.col("size_class")) <= 1) & ~((F.col("low") == F.col("own_class")) & (F.col("high") == F.col("own_class"))))
-    pairs = pairs.select(F.col("home").alias("block"), "doc", F.col("block").alias("target")).distinct()
-    return pairs.join(sent.select("doc", "target").distinct(), ["doc", "target"], "left_anti").select("block", "doc", "target")
+        start = np.flatnonzero(np.append(True, family[1:] != family[:-1]))
+        for i, j in zip(start.tolist(), np.append(start[1:], len(family)).tolist(), strict=True):
+            sets = [unpack_sorted(x) for x in packed[i:j]]
+            own = docs[i:j]
+            if asks[i:j].all() and listed[i:j].all():
+                links = family_links(sets, percent)
+            else:
+                members = np.flatnonzero(listed[i:j])
+                lists = Lists([sets[k] for k in members.tolist()])
+                links = [(k, int(members[m])) for k in np.flatnonzero(asks[i:j]).tolist() for m in lists.search(sets[k], percent).tolist() if own[members[m]] != own[k]]
+            a += [int(own[x]) for x, _ in links]
+            b += [int(own[y]) for _, y in links]
+        return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+
+    return sent.groupBy("target").applyInArrow(search, LINKS)
+
+
+def hashed_target(*parts: str):
+    """A task of its own: negative, so that it cannot meet the shared ones."""
+    return F.xxhash64(*parts).bitwiseOR(F.lit(-(1 << 63)))
+
+
+def first_requests(homes: DataFrame, buckets: int) -> DataFrame:
+    """Small families share tasks; pieces of large ones have their own, and the family's pivots go to every piece."""
+    pieces = F.ceil(F.col("members") / PIECE).cast("int")
+    placed = homes.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("doc"), pieces).cast("int"))
+    target = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(hashed_target("family", "piece"))
+    yes = F.lit(True)
+    own = placed.select("block", "doc", "family", target.alias("target"), yes.alias("asks"), yes.alias("listed"))
+    large = placed.where("pieces > 1")
+    pivots = large.groupBy("family").agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("leads"), F.struct("doc", "block")))), 1, PIVOTS).alias("p"), F.first("pieces").alias("pieces"))
+    each = pivots.select("family", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "p").select("family", "piece", F.inline("p"))
+    led = each.select("block", "doc", "family", hashed_target("family", "piece").alias("target"), yes.alias("asks"), yes.alias("listed"))
+    return own.unionByName(led).distinct()
+
+
+def second_requests(homes: DataFrame, classes: DataFrame) -> DataFrame:
+    """For families of several pieces: pieces of the documents outside the largest class meet every piece of the family."""
+    large = homes.where(F.col("members") > PIECE)
+    joined = stage(large.join(classes, large["doc"] == classes["node"], "left").select("block", "doc", "family", "members", F.coalesce("component", "doc").alias("class")), "join-large")
+    counts = joined.groupBy("family", "class").agg(F.count("*").alias("n"))
+    most = stage(counts.groupBy("family").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0"), "join-most")
+    rows = joined.join(most, "family").withColumn("pieces", F.ceil(F.col("members") / PIECE).cast("int")).withColumn("groups", F.ceil(F.col("outside") / PIECE).cast("int"))
+    piece, group = F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"), F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int")
+    members = rows.select("block", "doc", "family", piece.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(False).alias("asks"), F.lit(True).alias("listed"))
+    asking = rows.where(F.col("class") != F.col("largest")).select("block", "doc", "family", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), group.alias("group"), F.lit(True).alias("asks"), F.lit(False).alias("listed"))
+    both = members.unionByName(asking).groupBy("block", "doc", "family", "piece", "group").agg(F.max("asks").alias("asks"), F.max("listed").alias("listed"))
+    return both.select("block", "doc", "family", hashed_target("family", "piece", "group").alias("target"), "asks", "listed")
 
 
 def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, n_shingles, first_id, component_id; links: a, b between least documents of sets)."""
     blocks = make_blocks(docs, lower=True, block_bytes=BLOCK_BYTES)
     buckets = n_buckets(blocks)
-    first = stage(ask(blocks, first_questions(n), merge_first), "join-first")
+    first = stage(ask(blocks, first_questions(n), merge_first), "join-first", "uncompressed")
     asked_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
     asked = with_answers(blocks, first, prefix_rows(n, percent, buckets), ASKED, asked_schema)
     lists = stage(asked.groupBy("bucket").applyInArrow(meet_lists, LISTED), "join-lists")
+    families = stage(connected_components(lists.select(F.col("doc").alias("a"), F.col("first").alias("b"))), "join-families")
+    sizes = stage(families.groupBy("component").agg(F.count("*").alias("members")), "join-sizes")
 
-    active = lists.where("target = -1").groupBy("block").agg(F.collect_set("doc").alias("docs")).select("block", F.lit(0).alias("bucket"), F.lit(-1).alias("kind"), F.to_json("docs").cast("binary").alias("answer"))
+    active = lists.groupBy("block").agg(F.collect_set("doc").alias("docs")).select("block", F.lit(0).alias("bucket"), F.lit(-1).alias("kind"), F.to_json("docs").cast("binary").alias("answer"))
     active_schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("vocabulary", pa.binary()), ("n_tokens", pa.int64()), ("all_ids", pa.list_(pa.int64())), ("all_n", pa.list_(pa.int64())), ("all_first", pa.list_(pa.int64()))])
 
     def reduce(block: Block, given: dict[int, list[bytes]]) -> pa.Table:
@@ -390,17 +433,16 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Data
         row = [block.block, [block.doc_ids[i] for i in keep.tolist()], sizes.tolist(), pack(renumbered.astype(np.uint32)), squeeze(b" ".join([words[i] for i in used.tolist()])), len(tokens), block.doc_ids, ranked.shingles.count.tolist(), ranked.first.view(np.int64).tolist()]
         return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, active_schema, strict=True)], schema=active_schema)
 
-    reduced = stage(with_answers(blocks, first.unionByName(active), reduce, ACTIVE, active_schema), "join-active")
+    reduced = stage(with_answers(blocks, first.unionByName(active), reduce, ACTIVE, active_schema), "join-active", "uncompressed")
     small = reduced.select("block", "n_tokens", "doc_ids", "sizes", "tokens", "vocabulary").where("n_tokens > 0")
 
-    requests = stage(lists.where("target >= 0").select("block", "doc", "target").distinct(), "join-requests")
-    links = stage(answer_queries(small, send_queries(small, requests, n), n, percent), "join-links")
-    long_lists = lists.where("token <> 0").select("token", "block", "doc", "size_class")
-    if long_lists.limit(1).count():
+    each_home = lists.select("doc", "block").distinct()
+    known = stage(each_home.join(families, each_home["doc"] == families["node"]).select("doc", "block", "component"), "join-homes")
+    homes = stage(known.join(sizes, "component").select("doc", "block", F.col("component").alias("family"), "members", (F.col("doc") == F.col("component")).alias("leads")), "join-homes")
+    links = stage(search_families(send_sets(small, first_requests(homes, buckets), n), percent), "join-links")
+    if homes.where(F.col("members") > PIECE).limit(1).count():
         classes = stage(connected_components(links), "join-classes")
-        more = stage(second_requests(long_lists, classes, requests), "join-requests")
-        if more.limit(1).count():
-            links = links.unionByName(stage(answer_queries(small, send_queries(small, more, n), n, percent), "join-links"))
+        links = links.unionByName(stage(search_families(send_sets(small, second_requests(homes, classes), n), percent), "join-links"))
     components = stage(connected_components(links), "join-components")
 
     def as_id(key: str):

@@ -22,16 +22,32 @@ from pyspark.sql import functions as F
 from brindle.operators.graph import shared_dir
 
 CODEC = "zstd"
+BATCH_BYTES = 4 << 20
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame as a table on shared storage and read it back: cuts lineage and fixes row content."""
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB for this session: buffers between the JVM and Python then stay small for long texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    digits, unit = now.rstrip("bBkKmMgG"), now.lower().rstrip("b")[-1:]
+    if not digits.isdigit() or int(digits) * units.get(unit, 1) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def stage(df: DataFrame, name: str, compression: str = CODEC) -> DataFrame:
+    """Write a DataFrame as a table on shared storage and read it back: cuts lineage and fixes row content.
+
+    Tables of already compressed columns are written without compression.
+    """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", CODEC).parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

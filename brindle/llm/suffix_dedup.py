@@ -461,7 +461,7 @@ def given_of(answers: pa.Table) -> dict[int, list[bytes]]:
 def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = stage(rows.mapInArrow(blocker(block_bytes), TEXTS), "suffix-texts")
+    blocks = stage(rows.mapInArrow(blocker(block_bytes), TEXTS), "suffix-texts", "uncompressed")
     buckets = n_buckets(blocks)
 
     def ask_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -476,7 +476,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
 
                 yield from asked_rows(row["block"], [(0, entries.key, packed)], buckets)
 
-    first = stage(answered(blocks.mapInArrow(ask_anchors, ASKED), lambda kind, keys, extras: merge_anchors(keys, extras)), "suffix-anchors")
+    first = stage(answered(blocks.mapInArrow(ask_anchors, ASKED), lambda kind, keys, extras: merge_anchors(keys, extras)), "suffix-anchors", "uncompressed")
 
     def ask_cases(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -488,7 +488,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
 
     asked = blocks.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(ask_cases, ASKED)
     merge = merge_cases(length)
-    second = stage(answered(asked, lambda kind, keys, extras: merge(keys, extras)), "suffix-cases")
+    second = stage(answered(asked, lambda kind, keys, extras: merge(keys, extras)), "suffix-cases", "uncompressed")
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 

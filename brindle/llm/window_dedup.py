@@ -135,7 +135,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, depth: int = 2, with_text:
     def edges_of(keys: np.ndarray) -> np.ndarray:
         return bucket_edges(keys, buckets)
 
-    sketched = stage(ask(blocks, sketching(length, depth, bits), merge_sketches), "windows-sketched")
+    sketched = stage(ask(blocks, sketching(length, depth, bits), merge_sketches), "windows-sketched", "uncompressed")
 
     asked_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
 
@@ -148,7 +148,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, depth: int = 2, with_text:
 
         return asked_rows(block.block, [(depth, first, packed)], buckets)
 
-    exact = stage(answered(with_answers(blocks, sketched, ask_exactly, ASKED, asked_schema), merge_exact), "windows-exact")
+    exact = stage(answered(with_answers(blocks, sketched, ask_exactly, ASKED, asked_schema), merge_exact), "windows-exact", "uncompressed")
 
     kept_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 

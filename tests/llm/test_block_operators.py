@@ -80,9 +80,9 @@ def test_deep_shallow_order_and_prefixes():
             assert len({run[i] for i in long}) == len({texts[i][:depth] for i in long})
 
 
-@pytest.mark.parametrize("short_list", [8, 1])
-def test_ngram_join(spark, monkeypatch, short_list):
-    monkeypatch.setattr(ngram_join, "SHORT_LIST", short_list)
+@pytest.mark.parametrize("piece", [3000, 7])
+def test_ngram_join(spark, monkeypatch, piece):
+    monkeypatch.setattr(ngram_join, "PIECE", piece)
     rows = documents()
     rng = np.random.default_rng(4)
     base = " ".join(f"k{i}" for i in rng.integers(0, 500, 120)).split()
