@@ -38,7 +38,7 @@ from brindle.operators.graph import connected_components
 WORD, SET, PREFIX = 0, 1, 2
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Documents of a family that one task searches; larger families are dealt over several.
-PIECE = 3000
+PIECE = 256
 PIVOTS = 3
 #: Shingles take more room than words, so blocks are smaller here.
 BLOCK_BYTES = 5 << 20
