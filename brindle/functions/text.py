@@ -268,16 +268,70 @@ def safe_link(url: Column) -> Column:
 
 
 def image_kind(url: Column) -> Column:
-    """Struct of extension and content type guessed from an image address."""
-    path = F.lower(F.regexp_extract(url, r"^[^?#]*", 0))
-    kinds = {"png": "image/png", "webp": "image/webp", "gif": "image/gif"}
-    extension, content = F.lit("jpg"), F.lit("image/jpeg")
-    for name, kind in kinds.items():
-        here = F.contains(path, F.lit("." + name))
+    """Struct of extension and content type guessed from an image address; the first known extension in it, else .jpg."""
+    # Extensions in the order they are looked for, with their types.
+    kinds = ((".jpg", "image/jpeg"), (".jpeg", "image/jpeg"), (".png", "image/png"), (".webp", "image/webp"))
+    extension, content = F.lit(".jpg"), F.lit("image/jpeg")
+    for name, kind in reversed(kinds):
+        here = F.contains(F.lower(url), F.lit(name))
         extension, content = F.when(here, name).otherwise(extension), F.when(here, kind).otherwise(content)
     return F.struct(extension.alias("extension"), content.alias("content_type"))
 
 
+def approved_source(url: Column, hosts: tuple[str, ...]) -> Column:
+    """https on the standard port, a listed host, no credentials."""
+    part = lambda name: F.try_parse_url(url, F.lit(name))
+    plain = F.coalesce(F.regexp_extract(part("AUTHORITY"), r":(\d+)$", 1).isin("", "443"), F.lit(False))
+    return F.coalesce((part("PROTOCOL") == "https") & part("HOST").isin(*hosts) & part("USERINFO").isNull() & plain, F.lit(False))
+
+
+def user_prompt(title: Column, city: Column, area: Column, description: Column) -> Column:
+    """The user turn of a labelling request."""
+    return F.concat(F.lit("<ad>\n"), title, F.lit("\nРайон: "), city, F.lit(", "), area, F.lit("\n\n"), description, F.lit("\n</ad>"))
+
+
+def without_tags(html: Column) -> Column:
+    """Text of a piece of HTML on one line."""
+    text = F.regexp_replace(html, "<[^>]*>", " ")
+    for name, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(sign))
+    return squeezed(text)
+
+
+def listing_cards(html: Column, base: str = "https://www.imot.bg") -> Column:
+    """Array of struct<url, title, price, external_id, kind> from a page of search results; cards without a link are skipped."""
+    pieces = F.split(html, r'(?i)<div[^>]*class="(?:[^"]*\s)?item(?:\s[^"]*)?"[^>]*>', -1)
+    cards = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
+    link = r'(?is)<a(?=[^>]*class="[^"]*\bsaveSlink\b)[^>]*>(.*?)</a>'
+
+    def card(c: Column) -> Column:
+        href = F.regexp_extract(F.regexp_extract(c, link, 0), r'(?i)href="([^"]*)"', 1)
+        absolute = F.get(image_urls(F.array(href), base), F.lit(0))
+        title = without_tags(F.regexp_extract(c, link, 1))
+        cost = without_tags(F.regexp_extract(c, r'(?is)<div[^>]*class="[^"]*\bprice\b[^"]*"[^>]*>(.*?)</div>', 1))
+        return F.struct(absolute.alias("url"), title.alias("title"), price(cost).alias("price"), external_id(absolute).alias("external_id"), transaction_type(title).alias("kind"))
+
+    return F.filter(F.transform(cards, card), lambda c: c["url"].isNotNull())
+
+
+def listing_page(html: Column) -> Column:
+    """Struct of the fields of an advertisement page, raw texts parsed; `missing` names core fields that were not found."""
+    block = lambda name: F.regexp_extract(html, rf'(?is)<div[^>]*class="(?:[^"]*\s)?{name}(?:\s[^"]*)?"[^>]*>(.*?)</div>', 1)
+    lines = F.regexp_replace(F.regexp_replace(block("location"), r"(?i)<br[^>]*>|</span>", "\n"), "<[^>]*>", "")
+    rows = F.transform(F.regexp_extract_all(F.regexp_extract(html, r'(?is)<div[^>]*class="adParams"[^>]*>(.*?)</section>|<div[^>]*class="adParams"[^>]*>(.*)', 0), F.lit(r"(?is)<div[^>]*>([^<]*:.*?)</div>"), 1), without_tags)
+    images = image_urls(F.regexp_extract_all(html, F.lit(r'(?is)<img[^>]*\sdata-src="([^"]*)"'), 1))
+    title, cost, place = without_tags(block("title")), price(without_tags(block("cena"))), location(lines)
+    grid = parameters(rows)
+    # Labels of the grid.
+    area, level = F.try_element_at(grid, F.lit("Площ")), F.try_element_at(grid, F.lit("Етаж"))
+    size = first_number(area)
+    return F.struct(
+        title.alias("title"), cost.alias("price"), transaction_type(title).alias("kind"), rooms(title).alias("rooms"), place["city"].alias("city"), place["area"].alias("area"), place["street"].alias("street"),
+        without_tags(block("text")).alias("description"), phone(without_tags(block("phone"))).alias("phone"), size.alias("area_sqm"), floor(level).alias("floor"), building_floors(level).alias("building_floors"), images.alias("image_urls"),
+        missing_fields(title=title == "", price=cost.isNull(), area_sqm=F.coalesce(size, F.lit(0.0)) == 0, city=place["city"] == "", images=F.size(images) == 0).alias("missing"),
+    )
+
+
 def street_address(name: Column) -> Column:
     """Struct of street and number, or null: a name that ends in a house number."""
     # Words for a house number.

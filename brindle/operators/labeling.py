@@ -329,6 +329,28 @@ def batch_results(sent: DataFrame, lines: DataFrame) -> DataFrame:
     return sent.join(parsed.withColumn("outcome", outcome), "content_hash", "left").withColumn("outcome", F.coalesce("outcome", F.lit("error")))
 
 
+def pending_predictions(listings: DataFrame, model_version: str) -> DataFrame:
+    """Listings with text whose places are missing, from another model, or from another text."""
+    stale = F.col("pois").isNull() | ~F.col("poi_model_version").eqNullSafe(F.lit(model_version)) | ~F.col("poi_description_sha256").eqNullSafe(T.exact_hash(F.col("description")))
+    return listings.where((F.trim(F.coalesce("description", F.lit(""))) != "") & stale)
+
+
+def save_predictions(listings: DataFrame, predictions: DataFrame, model_version: str) -> DataFrame:
+    """Listings with new places (listing_id, description, pois) where the text is still the one that was read."""
+    sent = predictions.select("listing_id", F.col("description").alias("_text"), F.col("pois").alias("_pois"))
+    joined = listings.join(sent, "listing_id", "left")
+    hit = F.coalesce(F.col("_text") == F.col("description"), F.lit(False))
+    pick = {"pois": F.col("_pois"), "poi_model_version": F.lit(model_version), "poi_description_sha256": T.exact_hash(F.col("description"))}
+    return joined.select(*[F.when(hit, pick[c]).otherwise(F.col(c)).alias(c) if c in pick else F.col(c) for c in listings.columns])
+
+
+def export_faults(tasks: DataFrame) -> DataFrame:
+    """(task, fault) of an exported task file (task, data map): tasks without the fields that the import wrote."""
+    required = ("id", "content_hash", "text", "split")
+    lacking = F.array_except(F.array(*map(F.lit, required)), F.coalesce(F.map_keys("data"), F.array().cast("array<string>")))
+    return tasks.select("task", F.when(F.col("data").isNull(), "missing data object").when(F.size(lacking) > 0, F.concat(F.lit("missing data fields: "), F.array_join(lacking, ", "))).alias("fault")).where("fault IS NOT NULL")
+
+
 def fingerprint(value: object) -> str:
     """SHA-256 of canonical JSON (sorted keys, no NaN), for driver-side values."""
     import hashlib

@@ -372,3 +372,62 @@ def crosswalk_faults(crosswalk: DataFrame, units: DataFrame, fold: bool = True)
     counts = each.groupBy("area_key").agg(F.count("*").alias("n"), F.countDistinct("unit").alias("d"), F.count_if(F.col("known").isNull()).alias("unknown"))
     fault = F.when(F.col("unknown") > 0, "unknown unit").when(F.col("n") != F.col("d"), "repeated unit").when(F.col("n") > 564, "too many units").when(T.name_key(F.col("area_key"), fold) != F.col("area_key"), "key not normalized")
     return counts.select("area_key", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def review_faults(reviews: DataFrame, resolutions: DataFrame, units: DataFrame) -> DataFrame:
+    """(review_id, fault): blank reviewer or group, unknown split, unknown resolution, unit that is not in its release."""
+    known = resolutions.select("resolution_id", "release_id").distinct()
+    there = units.select("release_id", F.col("unit").alias("planning_unit_id"), F.lit(True).alias("_unit")).distinct()
+    joined = reviews.join(known, "resolution_id", "left").join(there, ["release_id", "planning_unit_id"], "left")
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    fault = (
+        F.when(blank("reviewer") | blank("group_id") | blank("geography_group") | ~F.coalesce(F.col("split").isin("train", "calibration", "test"), F.lit(False)), "reviewer, groups and split are required")
+        .when(F.col("release_id").isNull(), "unknown resolution")
+        .when(F.col("planning_unit_id").isNotNull() & F.col("_unit").isNull(), "unit is not in that release")
+    )
+    return joined.select("review_id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def reviewed_examples(resolutions: DataFrame, reviews: DataFrame, context: str) -> DataFrame:
+    """The last review of each listing, kept if its resolution has the wanted context."""
+    joined = resolutions.select("resolution_id", "listing_id", "context", "description_sha256", "observed_at", "candidates").join(reviews, "resolution_id")
+    last = joined.groupBy("listing_id").agg(F.max_by(F.struct(*joined.columns), "review_id").alias("r")).select("r.*")
+    return last.where(F.col("context") == context)
+
+
+def split_counts(examples: DataFrame) -> DataFrame:
+    """(split, groups, known, unknown, enough): one example a property group, the least listing."""
+    single = examples.groupBy("split", "group_id").agg(F.min_by("planning_unit_id", "listing_id").alias("unit"))
+    counts = single.groupBy("split").agg(F.count("*").alias("groups"), F.count("unit").alias("known"))
+    need = F.when(F.col("split") == "calibration", 20).otherwise(40)
+    return counts.withColumn("unknown", F.col("groups") - F.col("known")).withColumn("enough", (F.col("groups") >= need) & (F.col("known") >= 5) & (F.col("unknown") >= 5))
+
+
+def feature_faults(examples: DataFrame) -> DataFrame:
+    """Examples with a candidate whose features are not nine finite numbers from 0 to 1."""
+    fine = lambda v: (F.size(v) == len(FEATURES)) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & x.between(0.0, 1.0))
+    return examples.where(F.exists("candidates", lambda c: ~F.coalesce(fine(c["features"]), F.lit(False)))).select("listing_id")
+
+
+def map_selection(ads: DataFrame, least: float, query: str = "") -> DataFrame:
+    """Ads a map shows: reviewed ones and previews always, others from a confidence on; a query looks in titles and units."""
+    shown = ads.where(F.col("basis").isin("human_reviewed", "candidate_preview") | (F.col("confidence") >= least))
+    text = F.lower(F.concat_ws(" ", "title", "unit_name", "planning_unit_id"))
+    return shown if not query.strip() else shown.where(F.contains(text, F.lit(query.strip().lower())))
+
+
+def ads_per_unit(ads: DataFrame) -> DataFrame:
+    return ads.groupBy("planning_unit_id").agg(F.count("*").alias("ads")).orderBy(F.desc("ads"), "planning_unit_id")
+
+
+def places_of(features: DataFrame, addresses_: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, aliases) of a release: named features (surfaces as streets), addresses, and renamings."""
+    named = features.where("name IS NOT NULL AND kind <> 'boundary'").select("dataset", "external_id", "name", F.when(F.col("kind") == "surface", "street").otherwise(F.col("category")).alias("category"), F.lit("").alias("settlement"), F.lit("").alias("number"))
+    houses = addresses_.select(F.lit("official_addresses").alias("dataset"), "external_id", F.col("street").alias("name"), F.lit("address").alias("category"), "settlement", "number")
+    return named.where("category IS NOT NULL").unionByName(houses), aliases.select("old_name", "new_name")
+
+
+def observations(listings: DataFrame, seen: DataFrame) -> DataFrame:
+    """Groups from verified coordinates: the newest observation of a listing, its uncertainty as radius, weight five."""
+    last = seen.where(F.col("uncertainty_m").between(1, 2000)).groupBy("listing_id").agg(F.max_by(F.struct("observation_id", "source", "uncertainty_m", "x", "y"), F.struct("created_at", "observation_id")).alias("o"))
+    return listings.select("listing_id").join(last, "listing_id").select("listing_id", F.lit("verified-coordinate").alias("group_key"), F.lit("address").alias("kind"), F.concat(F.lit("Verified coordinate: "), "o.source").alias("text"), F.col("o.uncertainty_m").cast("double").alias("radius_m"), F.lit(5.0).alias("weight"), F.lit(1.0).alias("quality"), F.lit(1).alias("n_places"), F.col("o.x").alias("x"), F.col("o.y").alias("y"))

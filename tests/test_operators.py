@@ -405,3 +405,50 @@ def test_append_new_is_idempotent(spark, tmp_path):
     write(batch, 0)
     write(batch.unionByName(spark.createDataFrame([(3, 3)], "k long, v long")), 1)
     assert sorted(r["k"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3]
+
+
+CARDS = """<div class="item x"><a class="title saveSlink" href="//www.imot.bg/obiava-1b2-prodava">Продава 2-СТАЕН<br>Лозенец</a><div class="price small">150 000 &euro; €</div></div>
+<div class="item"><span>реклама</span></div><div class="item"><a href="/obiava-9z-x" class="saveSlink title">Дава под наем къща</a></div>"""
+PAGE = """<div class="title">Продава 3-СТАЕН</div><div class="cena">99 000 лв.</div><div class="location">град София, Лозенец<br>ул. Бяла 5</div><div class="text">Тих <b>апартамент</b></div>
+<div class="phone"> 0888 1 2 </div><div class="adParams"><div>Площ:<strong>85,5 кв.м</strong></div><div>Етаж: <strong>3-ти от 8</strong></div></div><img class="a" data-src="//cdn/1.jpg"><img src="data:x">"""
+
+
+def test_pages_are_parsed(spark):
+    from brindle.functions import text as T
+
+    row = spark.createDataFrame([(CARDS, PAGE)], "c string, p string").select(T.listing_cards(F.col("c")).alias("c"), T.listing_page(F.col("p")).alias("p"), T.listing_page(F.lit("<p>")).alias("e")).first()
+    assert [(c["url"], c["title"], c["external_id"], c["kind"]) for c in row["c"]] == [("https://www.imot.bg/obiava-1b2-prodava", "Продава 2-СТАЕН Лозенец", "1b2", "sale"), ("https://www.imot.bg/obiava-9z-x", "Дава под наем къща", "9z", "rent")]
+    p = row["p"]
+    assert (p["price"]["amount"], p["rooms"], p["city"], p["area"], p["street"], p["description"], p["phone"], p["area_sqm"], p["floor"], p["building_floors"], p["image_urls"], p["missing"]) == (99000.0, 3, "София", "Лозенец", "ул. Бяла 5", "Тих апартамент", "088812", 85.5, 3, 8, ["https://cdn/1.jpg"], [])
+    assert row["e"]["missing"] == ["title", "price", "area_sqm", "city", "images"]
+
+
+def test_settings():
+    from brindle.functions import settings as S
+
+    assert S.request_faults("https://x/", {"pages": 1}) == [] and S.request_faults("ftp://x", {"pages": 0}, float("nan")) == ["address", "pages", "delay"]
+    assert S.selection_faults("d", " ", "r", 0, 1.5) == ["selection_run", "limit", "sample_rate"]
+    assert S.setting(None, {"M": "e"}, "M", True, "d") == "e" and S.setting(None, {"M": "e"}, "M", False, "d") == "d" and S.setting("f", {}, "M", True, None) == "f"
+    assert S.without_references({"$defs": {"A": {"type": "x"}}, "p": {"$ref": "#/$defs/A", "d": 1}}) == {"p": {"type": "x", "d": 1}}
+    assert S.release_id("m", "p", [("a", "1", "x"), ("a", "0", "y")]) == S.release_id("m", "p", [("a", "0", "y"), ("a", "1", "x")])
+    assert S.drift({"a": 1, "b": 2}, {"a": 1, "c": 3}) == ["b", "c"]
+
+
+def test_predictions_are_kept_fresh(spark):
+    import hashlib
+
+    h = hashlib.sha256(b"text").hexdigest()
+    rows = [("a", "text", ["p"], "m1", h), ("b", "text", ["p"], "m0", h), ("c", "text", None, None, None), ("d", " ", None, None, None), ("e", "text", ["p"], "m1", "old")]
+    listings = spark.createDataFrame(rows, "listing_id string, description string, pois array<string>, poi_model_version string, poi_description_sha256 string")
+    assert sorted(r["listing_id"] for r in labeling.pending_predictions(listings, "m1").collect()) == ["b", "c", "e"]
+    new = spark.createDataFrame([("b", "text", ["q"]), ("c", "other", ["q"])], "listing_id string, description string, pois array<string>")
+    got = {r["listing_id"]: (r["pois"], r["poi_model_version"]) for r in labeling.save_predictions(listings, new, "m1").collect()}
+    assert got["b"] == (["q"], "m1") and got["c"] == (None, None) and got["a"] == (["p"], "m1")
+
+
+def test_reviews_and_examples(spark):
+    res = spark.createDataFrame([("r1", "l1", "c", "h", "t", "rel", []), ("r2", "l1", "d", "h", "t", "rel", [])], "resolution_id string, listing_id string, context string, description_sha256 string, observed_at string, release_id string, candidates array<struct<unit:string,features:array<double>>>")
+    rev = spark.createDataFrame([(1, "r1", "u1", "me", "g", "train", "geo"), (2, "r2", "u9", "me", "g", "train", "geo"), (3, "rx", None, "me", "g", "test", "geo"), (4, "r1", None, " ", "g", "test", "geo")], "review_id long, resolution_id string, planning_unit_id string, reviewer string, group_id string, split string, geography_group string")
+    units = spark.createDataFrame([("rel", "u1")], "release_id string, unit string")
+    assert {r["review_id"]: r["fault"] for r in location.review_faults(rev, res, units).collect()} == {2: "unit is not in that release", 3: "unknown resolution", 4: "reviewer, groups and split are required"}
+    assert [r["review_id"] for r in location.reviewed_examples(res, rev.where("review_id < 2"), "c").collect()] == [1] and location.reviewed_examples(res, rev.where("review_id < 3"), "c").count() == 0
