@@ -466,4 +466,17 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_ngram_join": op8_ngram_join}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op8_ngram_join": r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS grams FROM words),
+each_gram AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b FROM each_gram x JOIN each_gram y ON x.gram = y.gram AND x.doc_id < y.doc_id
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(node, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+classes AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(grams) AS n_shingles, component_id FROM sets JOIN classes ON node = doc_id
+""",
+}

@@ -177,4 +177,15 @@ def op9_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_window_dedup": op9_window_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_window_dedup": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM words),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM starts),
+repeated AS (SELECT doc_id, i FROM windows QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS at FROM repeated),
+each_word AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS at FROM words),
+kept AS (SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.at) AS body, count(*) AS n FROM each_word e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.at = g.at GROUP BY e.doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM words LEFT JOIN kept USING (doc_id)
+""",
+}
