@@ -8,7 +8,7 @@ turns the sketch into a search without misses: documents probe it shingle by shi
 scan, and what passes the bound is verified by the item's shingles themselves, as text.
 
 Defined results: null or empty texts and items of under five words have no shingles and match nothing; rows that share a
-doc_id count as one document and repeated items (same item_id) as one item; an empty side gives an empty result; extra
+doc_id count as one document (a null doc_id is never reported) and repeated items (same item_id) as one item; an empty side gives an empty result; extra
 columns are ignored.
 """
 

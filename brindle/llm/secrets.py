@@ -144,7 +144,7 @@ def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[SEC
     scanned = scan_secrets(docs, repository, owner).withColumn("hits", F.filter("spans", lambda s: s["verdict"] != "example"))
     hits = scanned.where(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.transform("hits", lambda s: F.struct(s["value_start"].alias("at"), s["end"].alias("end"))).alias("_hits"))
     hits = small(stage(hits.groupBy("_id", "_hash").agg(F.first("_hits").alias("_hits")), "secrets-hits"), 100_000)
-    joined = docs.join(hits, (docs["doc_id"] == hits["_id"]) & (F.xxhash64(docs["text"]) == hits["_hash"]), "left")
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(docs["text"]) == hits["_hash"]), "left")
     # Cut points run left to right; overlapping spans (a hex run inside an assigned value) melt into one mark.
     state = F.aggregate(
         "_hits",

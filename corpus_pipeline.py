@@ -1,9 +1,10 @@
 """From raw documents to packed training sequences: five stages, each written to shared storage and read again.
 
 Every stage works on all that the one before it kept.  Language ID drops documents without a recognised language; the
-n-gram join keeps one document of each near-duplicate class; decontamination drops documents that contain a benchmark
-item; the secret scan keeps every document and redacts credentials that are no widely copied examples; packing cuts all
-texts into training sequences.  All stages but the last return the columns of `documents`.
+n-gram join keeps one document of each class linked by a Jaccard similarity of 0.8 of five-word shingles; decontamination
+drops documents that contain a benchmark item; the secret scan keeps every document and redacts credentials that are no
+widely copied examples; packing cuts all texts into training sequences.  All stages but the last return the columns of
+`documents`.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, n=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,10 +30,10 @@ def test_secret_scan_matches_plain_regular_expressions(spark):
 
 def test_verdicts_and_redaction(spark):
     key, copied = "Zk83jdQmPq02LsVx", "EXAMPLEKEY0123abcd"
-    rows = [(1, f"token={key} x", "en", "a", 0), (2, f"now token={key} 😀", "en", "a", 0)] + [(10 + i, f"token={copied}", "en", f"s{i}", 0) for i in range(4)] + [(99, None, None, None, 0)]
+    rows = [(1, f"token={key} x", "en", "a", 0), (2, f"now token={key} 😀", "en", "a", 0)] + [(10 + i, f"token={copied}", "en", f"s{i}", 0) for i in range(4)] + [(99, None, None, None, 0), (None, f"id-less token={key}", "en", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in secrets.redact(docs, F.col("doc_id"), F.col("source")).collect()}
-    assert got[1] == "token=[SECRET] x" and got[2] == "now token=[SECRET] 😀" and got[10] == f"token={copied}" and got[99] is None
+    assert got[1] == "token=[SECRET] x" and got[2] == "now token=[SECRET] 😀" and got[10] == f"token={copied}" and got[99] is None and got[None] == "id-less token=[SECRET]"
     assert len(got) == len(rows)
 
 
