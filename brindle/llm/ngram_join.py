@@ -4,8 +4,8 @@ A document is the set of its distinct word n-grams; two link when their Jaccard
 
 1. Equal sets are collapsed: every block asks for the least document with each of its set fingerprints.
 2. Shingles get one order for all: by how rare their rarest word is in the corpus, then by hash.  Two linked sets share one
-   of the first n - ceil(t n) + 1 shingles of each (the shortest inverted lists), so only these are sent to buckets, where
-   the lists meet.
+   of the first n - ceil(t n) + 1 shingles of each (the shortest inverted lists), so only these lists have to meet.  A
+   block joins its own documents of a list, and sends one document of each size class to the list's bucket.
 3. Documents that share a list, directly or over others, are a family; families are far smaller than the corpus and hold all
    links.  The sets of a family meet in one task, which answers queries by T-occurrence search over the inverted lists of
    its documents, as DivideSkip does it: the short lists are merged and counted, what could still reach the required overlap
@@ -35,10 +35,10 @@ from brindle.llm.blocks import ASKED, Block, answered, ask, asked_rows, make_blo
 from brindle.llm.shared import expand, mix, pack, pack_sorted, squeeze, stage, table, unpack, unpack_sorted, without
 from brindle.operators.graph import connected_components
 
-WORD, SET, PREFIX = 0, 1, 2
+WORD, SET, PREFIX, STAR = 0, 1, 2, 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Documents of a family that one task searches; larger families are dealt over several.
-PIECE = 256
+PIECE = 2000
 PIVOTS = 3
 #: Shingles take more room than words, so blocks are smaller here.
 BLOCK_BYTES = 5 << 20
@@ -200,47 +200,65 @@ def size_class(count: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(count, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
 
 
+def stars(key: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that share a list with another, the least document of each one's run); rows sorted by list, size class, document.
+
+    Sizes of linked sets are at most one class apart, so a list is cut where a class is missing.
+    """
+    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] > kind[:-1] + 1))) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    least = np.repeat(np.minimum.reduceat(doc, start), size) if len(key) else doc
+    shared = np.flatnonzero(np.repeat(size, size) > 1)
+    return shared, least[shared]
+
+
 def prefix_rows(n: int, percent: int, buckets: int):
     def rows(block: Block, given: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         ranked = Ranked(block, given, n)
-        doc, key = ranked.prefixes(percent)
-        order = np.argsort(key, kind="stable")
-        doc, key = doc[order], key[order]
-        kind = size_class(ranked.shingles.count, percent)
+        place, key = ranked.prefixes(percent)
+        doc, kind = ranked.own[place], size_class(ranked.shingles.count, percent)[place]
+        order = np.lexsort((doc, kind, key))
+        key, kind, doc = key[order], kind[order], doc[order]
+        shared, least = stars(key, kind, doc)
+        local = np.unique(np.stack([doc[shared], least]), axis=1) if len(shared) else np.zeros((2, 0), np.uint64)
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))) if len(key) else np.zeros(0, np.int64)
+        key, kind, doc = key[first], kind[first], doc[first]
 
         def packed(i: int, j: int) -> tuple[bytes, bytes]:
-            names, place = np.unique(doc[i:j], return_inverse=True)
-            parts = (pack(ranked.own[names]), pack(kind[names].astype(np.uint64)), pack(place.astype(np.uint64)))
+            names, at = np.unique(doc[i:j], return_inverse=True)
+            parts = (pack(names), pack(kind[i:j].astype(np.uint64)), pack(at.astype(np.uint64)))
             return pack_sorted(key[i:j]), np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
 
-        return asked_rows(block.block, [(PREFIX, key, packed)], buckets)
+        yield from asked_rows(block.block, [(PREFIX, key, packed)], buckets)
+        if local.shape[1]:
+            row = (block.block % buckets, block.block, STAR, pack(local[0]), pack(local[1]))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["bucket", "block", "kind", "keys", "extra"])
 
     return rows
 
 
 def meet_lists(rows: pa.Table) -> pa.Table:
-    """Inverted lists of a bucket as stars: every document of a list with the least document of its run of size classes.
-
-    Sizes of linked sets are at most one class apart, so a list is cut where a class is missing; documents that are alone in
-    their run have no candidate there.
-    """
-    key, doc, kind, block = [], [], [], []
-    for b, k, extra in zip(*(rows.column(c).to_pylist() for c in ("block", "keys", "extra")), strict=True):
+    """Inverted lists of a bucket as stars: (block, document, least document of its run of size classes)."""
+    found = []
+    key, doc, kind, block = ([np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64))
+    for b, what, k, extra in zip(*(rows.column(c).to_pylist() for c in ("block", "kind", "keys", "extra")), strict=True):
+        if what == STAR:
+            found.append(pd.DataFrame({"block": b, "doc": unpack(k).view(np.int64), "first": unpack(extra).view(np.int64)}))
+            continue
         ends = 24 + np.cumsum(np.frombuffer(extra[:24], "<u8").astype(np.int64))
-        own, kinds, place = unpack(extra[24 : ends[0]]), unpack(extra[ends[0] : ends[1]]), unpack(extra[ends[1] : ends[2]]).astype(np.int64)
+        names, at = unpack(extra[24 : ends[0]]), unpack(extra[ends[1] : ends[2]]).astype(np.int64)
         key.append(unpack_sorted(k))
-        doc.append(own[place])
-        kind.append(kinds[place].astype(np.int64))
-        block.append(np.full(len(place), b))
+        doc.append(names[at])
+        kind.append(unpack(extra[ends[0] : ends[1]]).astype(np.int64))
+        block.append(np.full(len(at), b))
     key, doc, kind, block = (np.concatenate(x) for x in (key, doc, kind, block))
     order = np.lexsort((doc, kind, key))
     key, doc, kind, block = key[order], doc[order], kind[order], block[order]
-    start = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] > kind[:-1] + 1)))
-    size = np.diff(np.append(start, len(key)))
-    first = np.repeat(np.minimum.reduceat(doc, start), size)
-    shared = np.repeat(size, size) > 1
-    stars = pd.DataFrame({"block": block[shared], "doc": doc[shared].view(np.int64), "first": first[shared].view(np.int64)}).drop_duplicates()
-    return pa.table({c: pa.array(stars[c].to_numpy(np.int64)) for c in ("block", "doc", "first")})
+    shared, least = stars(key, kind, doc)
+    found.append(pd.DataFrame({"block": block[shared], "doc": doc[shared].view(np.int64), "first": least.view(np.int64)}))
+    each = pd.concat(found).drop_duplicates()
+    return pa.table({c: pa.array(each[c].to_numpy(np.int64)) for c in ("block", "doc", "first")})
 
 
 # T-occurrence search
