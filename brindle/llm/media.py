@@ -36,8 +36,16 @@ ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 128 << 20, 8 << 20, 8 << 20
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    """Any store that Arrow knows by URI, or a plain path."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    """The store of a path: the local one, or any that Arrow knows by URI."""
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark would use for it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(target).toString()
 
 
 # Stored form
@@ -148,7 +156,7 @@ def write_archives(docs: DataFrame) -> str:
     The list has a name for each archive of up to 128 MB, like the file listing that any Spark scan keeps on the driver.
     """
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    folder = qualified(spark, f"{shared_dir(spark)}/media-{uuid.uuid4().hex}")
     store, root = filesystem(folder)
     store.create_dir(root, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -150,7 +150,7 @@ def test_media_round_trip(spark):
 
 def test_small_ranges_and_damaged_members(spark, tmp_path):
     folder = media.write_archives(frame(spark, documents()[:20], 1))
-    root = folder.removeprefix("file://")
+    root = media.filesystem(folder)[1]
     import glob
 
     archive = glob.glob(f"{root}/*.tar")[0]
