@@ -12,8 +12,8 @@ A document is the set of its distinct word n-grams; two link when their Jaccard
    probes the long lists by binary search, and exact Jaccard similarity decides.
 4. Not every document of a family has to query.  After a few pivots have, the documents outside the largest class so far
    do: a pair inside that class needs no query, as only classes are asked for, and every other pair has a member that
-   queries.  A family of more than `piece` documents (very many near copies) is dealt over several tasks: the pivots meet
-   every piece, then pieces of the documents outside the largest class meet every piece.  No link between classes is lost.
+   queries.  A family of more than PIECE documents (very many near copies) is dealt over several tasks: some leaders
+   meet every piece, then pieces of the documents outside the largest class meet every piece.  No link between classes is lost.
 
 Defined results: documents without words have an empty set and link with nothing; with fewer than n words the whole sequence
 is the one shingle; rows with the same doc_id count as linked; a null id counts as larger than any; an empty table gives an
@@ -39,7 +39,8 @@ WORD, SET, PREFIX, STAR = 0, 1, 2, 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Documents of a family that one task searches; larger families are dealt over several.
 PIECE = 2000
-PIVOTS = 3
+#: Documents that query first inside a task, and those of a large family that meet all of its pieces.
+PIVOTS, LEADERS = 3, 40
 #: Shingles take more room than words, so blocks are smaller here.
 BLOCK_BYTES = 5 << 20
 LISTED = "block long, doc long, first long"
@@ -398,14 +399,18 @@ def hashed_target(*parts: str):
 
 
 def first_requests(homes: DataFrame, buckets: int) -> DataFrame:
-    """Small families share tasks; pieces of large ones have their own, and the family's pivots go to every piece."""
+    """Small families share tasks; pieces of large ones have their own, and the family's leaders go to every piece.
+
+    Leaders are about LEADERS documents of a family, by hash.  They tie the pieces' classes together, so that few documents
+    stay outside the largest class; which ones they are has no influence on the result.
+    """
     pieces = F.ceil(F.col("members") / PIECE).cast("int")
     placed = homes.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("doc"), pieces).cast("int"))
     target = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(hashed_target("family", "piece"))
     yes = F.lit(True)
     own = placed.select("block", "doc", "family", target.alias("target"), yes.alias("asks"), yes.alias("listed"))
     large = placed.where("pieces > 1")
-    pivots = large.groupBy("family").agg(F.slice(F.array_sort(F.collect_set(F.when(F.col("leads"), F.struct("doc", "block")))), 1, PIVOTS).alias("p"), F.first("pieces").alias("pieces"))
+    pivots = large.groupBy("family").agg(F.collect_set(F.when(F.col("leads"), F.struct("doc", "block"))).alias("p"), F.first("pieces").alias("pieces"))
     each = pivots.select("family", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "p").select("family", "piece", F.inline("p"))
     led = each.select("block", "doc", "family", hashed_target("family", "piece").alias("target"), yes.alias("asks"), yes.alias("listed"))
     return own.unionByName(led).distinct()
@@ -456,7 +461,7 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Data
 
     each_home = lists.select("doc", "block").distinct()
     known = stage(each_home.join(families, each_home["doc"] == families["node"]).select("doc", "block", "component"), "join-homes")
-    homes = stage(known.join(sizes, "component").select("doc", "block", F.col("component").alias("family"), "members", (F.col("doc") == F.col("component")).alias("leads")), "join-homes")
+    homes = stage(known.join(sizes, "component").select("doc", "block", F.col("component").alias("family"), "members", (F.pmod(F.xxhash64(F.lit(1), F.col("doc")), F.col("members")) < LEADERS).alias("leads")), "join-homes")
     links = stage(search_families(send_sets(small, first_requests(homes, buckets), n), percent), "join-links")
     if homes.where(F.col("members") > PIECE).limit(1).count():
         classes = stage(connected_components(links), "join-classes")
