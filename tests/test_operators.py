@@ -16,7 +16,9 @@ from brindle.streaming import sightings
 NOW = dt.datetime(2026, 1, 10, 12)
 
 
-def test_components_match_union_find(spark):
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_components_match_union_find(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL", small)
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(500 + i, 500) for i in range(40)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7), (None, 3)]
     root: dict = {}
