@@ -12,7 +12,7 @@ A document is the set of its distinct word n-grams; two link when their Jaccard
    probes the long lists by binary search, and exact Jaccard similarity decides.
 4. Not every document of a family has to query.  After a few pivots have, the documents outside the largest class so far
    do: a pair inside that class needs no query, as only classes are asked for, and every other pair has a member that
-   queries.  A family of more than PIECE documents (very many near copies) is dealt over several tasks: some leaders
+   queries.  A family of more than PIECE shingles (very many near copies) is dealt over several tasks: some leaders
    meet every piece, then pieces of the documents outside the largest class meet every piece.  No link between classes is lost.
 
 Defined results: documents without words have an empty set and link with nothing; with fewer than n words the whole sequence
@@ -37,8 +37,8 @@ from brindle.operators.graph import connected_components
 
 WORD, SET, PREFIX, STAR = 0, 1, 2, 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Documents of a family that one task searches; larger families are dealt over several.
-PIECE = 2000
+#: Shingles of a family that one task searches (8 bytes each, a few copies); larger families are dealt over several.
+PIECE = 3_000_000
 #: Documents that query first inside a task, and those of a large family that meet all of its pieces.
 PIVOTS, LEADERS = 3, 40
 #: Shingles take more room than words, so blocks are smaller here.
@@ -404,8 +404,7 @@ def first_requests(homes: DataFrame, buckets: int) -> DataFrame:
     Leaders are about LEADERS documents of a family, by hash.  They tie the pieces' classes together, so that few documents
     stay outside the largest class; which ones they are has no influence on the result.
     """
-    pieces = F.ceil(F.col("members") / PIECE).cast("int")
-    placed = homes.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("doc"), pieces).cast("int"))
+    placed = homes.withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"))
     target = F.when(F.col("pieces") == 1, F.pmod(F.xxhash64("family"), F.lit(buckets))).otherwise(hashed_target("family", "piece"))
     yes = F.lit(True)
     own = placed.select("block", "doc", "family", target.alias("target"), yes.alias("asks"), yes.alias("listed"))
@@ -418,11 +417,11 @@ def first_requests(homes: DataFrame, buckets: int) -> DataFrame:
 
 def second_requests(homes: DataFrame, classes: DataFrame) -> DataFrame:
     """For families of several pieces: pieces of the documents outside the largest class meet every piece of the family."""
-    large = homes.where(F.col("members") > PIECE)
-    joined = stage(large.join(classes, large["doc"] == classes["node"], "left").select("block", "doc", "family", "members", F.coalesce("component", "doc").alias("class")), "join-large")
+    large = homes.where(F.col("pieces") > 1)
+    joined = stage(large.join(classes, large["doc"] == classes["node"], "left").select("block", "doc", "family", "members", "pieces", F.coalesce("component", "doc").alias("class")), "join-large")
     counts = joined.groupBy("family", "class").agg(F.count("*").alias("n"))
     most = stage(counts.groupBy("family").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0"), "join-most")
-    rows = joined.join(most, "family").withColumn("pieces", F.ceil(F.col("members") / PIECE).cast("int")).withColumn("groups", F.ceil(F.col("outside") / PIECE).cast("int"))
+    rows = joined.join(most, "family").withColumn("groups", F.ceil(F.col("outside") * F.col("pieces") / F.col("members")).cast("int"))
     piece, group = F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"), F.pmod(F.xxhash64("doc"), F.col("groups")).cast("int")
     members = rows.select("block", "doc", "family", piece.alias("piece"), F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(False).alias("asks"), F.lit(True).alias("listed"))
     asking = rows.where(F.col("class") != F.col("largest")).select("block", "doc", "family", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), group.alias("group"), F.lit(True).alias("asks"), F.lit(False).alias("listed"))
@@ -439,7 +438,6 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Data
     asked = with_answers(blocks, first, prefix_rows(n, percent, buckets), ASKED, asked_schema)
     lists = stage(asked.groupBy("bucket").applyInArrow(meet_lists, LISTED), "join-lists")
     families = stage(connected_components(lists.select(F.col("doc").alias("a"), F.col("first").alias("b"))), "join-families")
-    sizes = stage(families.groupBy("component").agg(F.count("*").alias("members")), "join-sizes")
 
     active = lists.groupBy("block").agg(F.collect_set("doc").alias("docs")).select("block", F.lit(0).alias("bucket"), F.lit(-1).alias("kind"), F.to_json("docs").cast("binary").alias("answer"))
     active_schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("vocabulary", pa.binary()), ("n_tokens", pa.int64()), ("all_ids", pa.list_(pa.int64())), ("all_n", pa.list_(pa.int64())), ("all_first", pa.list_(pa.int64()))])
@@ -459,11 +457,14 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Data
     reduced = stage(with_answers(blocks, first.unionByName(active), reduce, ACTIVE, active_schema), "join-active", "uncompressed")
     small = reduced.select("block", "n_tokens", "doc_ids", "sizes", "tokens", "vocabulary").where("n_tokens > 0")
 
+    numbers = reduced.select(F.explode(F.arrays_zip("all_first", "all_n")).alias("d")).groupBy(F.col("d.all_first").alias("node")).agg(F.max("d.all_n").alias("n"))
+    sizes = families.join(numbers, "node").groupBy("component").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / PIECE).cast("int").alias("pieces"))
+    sizes = stage(sizes, "join-sizes")
     each_home = lists.select("doc", "block").distinct()
     known = stage(each_home.join(families, each_home["doc"] == families["node"]).select("doc", "block", "component"), "join-homes")
-    homes = stage(known.join(sizes, "component").select("doc", "block", F.col("component").alias("family"), "members", (F.pmod(F.xxhash64(F.lit(1), F.col("doc")), F.col("members")) < LEADERS).alias("leads")), "join-homes")
+    homes = stage(known.join(sizes, "component").select("doc", "block", F.col("component").alias("family"), "members", "pieces", (F.pmod(F.xxhash64(F.lit(1), F.col("doc")), F.col("members")) < LEADERS).alias("leads")), "join-homes")
     links = stage(search_families(send_sets(small, first_requests(homes, buckets), n), percent), "join-links")
-    if homes.where(F.col("members") > PIECE).limit(1).count():
+    if homes.where(F.col("pieces") > 1).limit(1).count():
         classes = stage(connected_components(links), "join-classes")
         links = links.unionByName(stage(search_families(send_sets(small, second_requests(homes, classes), n), percent), "join-links"))
     components = stage(connected_components(links), "join-components")

@@ -80,7 +80,7 @@ def test_deep_shallow_order_and_prefixes():
             assert len({run[i] for i in long}) == len({texts[i][:depth] for i in long})
 
 
-@pytest.mark.parametrize("piece", [2000, 7])
+@pytest.mark.parametrize("piece", [3_000_000, 700])
 def test_ngram_join(spark, monkeypatch, piece):
     monkeypatch.setattr(ngram_join, "PIECE", piece)
     rows = documents()
