@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import dedup
+from brindle.operators.graph import written
 from brindle.plans.tables import read
 
 # SQL pieces that several statements share.
@@ -52,21 +53,27 @@ def _kept(spark, d):
     return dedup.exact_survivors(docs, "doc_id", "text").where("doc_id = survivor").select("doc_id").join(docs, "doc_id")
 
 
-def percentiles(spark, d):
-    """Positional percentiles from a histogram of lengths: no global sort, and no list of all values."""
-    sizes = _kept(spark, d).groupBy(F.length("text").alias("chars")).agg(F.count("*").alias("n"))
+def _percentiles(lengths):
+    """Positional percentiles from a histogram of `chars`: no global sort, and no list of all values."""
+    sizes = lengths.groupBy("chars").agg(F.count("*").alias("n"))
     upto = Window.orderBy("chars").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = sizes.withColumn("upto", F.sum("n").over(upto)).crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("total"))))
     at = lambda k: F.min(F.when(F.col("upto") > k, F.col("chars"))).cast("long")
     return run.agg(at(F.floor(F.col("total") / 2)).alias("p50"), at(F.floor(F.col("total") * 0.95)).alias("p95"), F.max("chars").cast("long").alias("longest"))
 
 
+def percentiles(spark, d):
+    """Lengths of the exact survivors of squeezed texts, as the SQL takes them; those of the whole export are in `export_report`."""
+    return _percentiles(_kept(spark, d).select(F.length("text").alias("chars")))
+
+
 def top_areas(spark, d):
     docs = read(spark, d, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     return docs.orderBy(F.desc("n"), "first").limit(15).select(F.concat_ws(" / ", "lang", "source").alias("area"), "n")
 
 
 def export_counters(spark, d):
+    """The first two passes on squeezed texts, as the SQL takes them; the whole export is in `export_report`."""
     docs = read(spark, d, "documents").select("doc_id", T.squeezed(F.col("text")).alias("text"))
     long_enough = docs.where(F.length("text") >= 80)
     exact = dedup.exact_survivors(long_enough, "doc_id", "text")
@@ -75,6 +82,18 @@ def export_counters(spark, d):
     )
 
 
+def export_report(spark, d):
+    """Counters and percentiles of the export, all from its output; of an empty export the percentiles are 0."""
+    rows = written(dedup.export(read(spark, d, "documents"), "doc_id", "text").select("fate", "poi_hint", F.col("char_count").alias("chars")), "export")
+    fate = lambda x: F.count_if(F.col("fate") == x)
+    counters = rows.agg(
+        F.count("*").alias("listings_read"), fate("short").alias("dropped_too_short"), fate("exact").alias("dropped_exact_duplicate"), fate("near").alias("dropped_near_duplicate"),
+        fate("written").alias("rows_written"), F.count_if((F.col("fate") == "written") & F.col("poi_hint")).alias("rows_with_poi_hint"),
+    )
+    sizes = _percentiles(rows.where("fate = 'written'").select("chars"))
+    return counters.crossJoin(sizes.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("p50", "p95", "longest")]))
+
+
 def shingle_counts(spark, d):
     return read(spark, d, "documents").select("doc_id", F.size(T.shingles(F.col("text"))).cast("long").alias("n_shingles"))
 
@@ -108,6 +127,7 @@ QUERIES = {
     "q_positional_percentiles": percentiles,
     "q_top_areas": top_areas,
     "q_export_counters": export_counters,
+    "q_export_report": export_report,
     "q_shingle_counts": shingle_counts,
     "q_near_dup_pairs": near_pairs,
     "q_near_dup_clusters": near_clusters,
