@@ -46,27 +46,48 @@ def point_in_polygon(spark, d):
 
 
 def support_mass(spark, d):
-    regions = read(spark, d, "supplier").where("s_suppkey <= 40").select(F.concat(F.lit("g"), (F.col("s_suppkey") % 20).cast("string")).alias("group_key"), (23.05 + (F.col("s_suppkey") % 5) * 0.1).alias("x"), (42.52 + (F.col("s_suppkey") % 4) * 0.05).alias("y"), (F.lit(300.0) + F.col("s_suppkey") * 10).alias("radius_m"))
+    """Every two neighbouring suppliers are one evidence region of two disks."""
+    regions = read(spark, d, "supplier").select(F.concat(F.lit("g"), F.floor(F.col("s_suppkey") / 2).cast("string")).alias("group_key"), (23.05 + (F.col("s_suppkey") % 5) * 0.1).alias("x"), (42.52 + (F.col("s_suppkey") % 4) * 0.05).alias("y"), (F.lit(300.0) + F.col("s_suppkey") * 10).alias("radius_m"))
     return S.support(regions, _units(spark)).select("group_key", "unit", F.round("mass", 3).alias("mass"))
 
 
-def _groups(spark, d):
+def _groups(lines):
     """Lines of an order as evidence groups: supplier is the unit, quantity the mass, shipping flags the kind."""
-    lines = read(spark, d, "lineitem").where("l_linenumber <= 4")
     kind = F.when(F.col("l_returnflag") == "A", "address").when(F.col("l_returnflag") == "R", "street").otherwise("park")
     return lines.select(F.col("l_orderkey").alias("listing_id"), F.col("l_linenumber").cast("string").alias("group_key"), kind.alias("kind"), (F.lit(1.0) + F.col("l_linenumber") % 3).alias("weight"), F.when(F.col("l_tax") > 0.04, 1.0).otherwise(0.85).alias("quality"), (F.lit(1) + F.col("l_partkey") % 3).cast("int").alias("n_places"), F.create_map((F.col("l_suppkey") % 7).cast("string"), F.col("l_quantity") / 50, (F.lit(7) + F.col("l_partkey") % 5).cast("string"), 1 - F.col("l_quantity") / 50).alias("support"))
 
 
-def weighted_support(spark, d):
-    ranked = G.rank_units(_groups(spark, d))
+def _first_lines(spark, d):
+    """The lines that the SQL of `q_weighted_support` and `q_top_vs_runner` reads; the queries named `_whole` read all."""
+    return read(spark, d, "lineitem").where("l_linenumber <= 4")
+
+
+def _weighted(lines):
+    ranked = G.rank_units(_groups(lines))
     return ranked.select("listing_id", "unit", F.round(F.col("features")[0], 9).alias("support"), F.round(F.col("features")[3], 9).alias("poi"), F.col("conflict"))
 
 
-def top_vs_runner(spark, d):
-    probable = G.probabilities(G.rank_units(_groups(spark, d)), G.WEIGHTS, 0.5)
+def _best(lines):
+    probable = G.probabilities(G.rank_units(_groups(lines)), G.WEIGHTS, 0.5)
     return G.accepted(probable).select("listing_id", "unit", F.round("probability", 6).alias("probability"), "accepted")
 
 
+def weighted_support(spark, d):
+    return _weighted(_first_lines(spark, d))
+
+
+def weighted_support_whole(spark, d):
+    return _weighted(read(spark, d, "lineitem"))
+
+
+def top_vs_runner(spark, d):
+    return _best(_first_lines(spark, d))
+
+
+def top_vs_runner_whole(spark, d):
+    return _best(read(spark, d, "lineitem"))
+
+
 def union_of_sources(spark, d):
     parts = read(spark, d, "part").select(F.lit("part").alias("dataset"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     suppliers = read(spark, d, "supplier").select(F.lit("supplier").alias("dataset"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
@@ -113,7 +134,9 @@ QUERIES = {
     "q_point_in_polygon": point_in_polygon,
     "q_support_mass": support_mass,
     "q_weighted_support": weighted_support,
+    "q_weighted_support_whole": weighted_support_whole,
     "q_top_vs_runner": top_vs_runner,
+    "q_top_vs_runner_whole": top_vs_runner_whole,
     "q_union_all_sources": union_of_sources,
     "q_set_ops": set_operations,
     "q_is_not_distinct": not_distinct,
@@ -150,3 +173,7 @@ SELECT k, 'both' AS part FROM (SELECT k FROM b INTERSECT SELECT k FROM r) UNION
 CASE WHEN regexp_matches(url, '/obiava-[a-z0-9]+') THEN regexp_extract(url, '/obiava-([a-z0-9]+)', 1) ELSE string_split(regexp_replace(url, '/+$', ''), '/')[-1] END AS external_id FROM pages""",
     "q_page_links": r"""SELECT page_id, regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', '') || '/p-3' || substr(url, length(regexp_extract(url, '^[^?#]*')) + 1) AS third, regexp_matches(url, '^https?://[^/@?#]+([/?#]|$)') AS safe FROM pages""",
 }
+
+# The same statements over all lines.
+for _name in ("q_weighted_support", "q_top_vs_runner"):
+    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(" FROM lineitem WHERE l_linenumber <= 4)", " FROM lineitem)")

@@ -2,11 +2,13 @@
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import dedup
-from brindle.plans import corpus
+from brindle.operators import spatial
+from brindle.plans import corpus, location
 
 
 def test_export_matches_brute_force(spark, tmp_path):
@@ -36,3 +38,41 @@ def test_export_matches_brute_force(spark, tmp_path):
     assert got["dropped_near_duplicate"] == 4 and got["dropped_exact_duplicate"] == 2 and got["rows_with_poi_hint"] == 1
     fates = {r["doc_id"]: r["fate"] for r in dedup.export(docs, "doc_id", "text").collect()}
     assert {i for i in fates if fates[i] == "written"} == set(kept)
+
+
+def test_support_mass_of_all_suppliers_matches_brute_force(spark, tmp_path):
+    keys = [1, 2, 3, 39, 40, 41, 77, 500, 501, 999]
+    spark.createDataFrame([(k,) for k in keys], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {(r["group_key"], r["unit"]): r["mass"] for r in location.support_mass(spark, str(tmp_path)).collect()}
+    want = {}
+    for group in {k // 2 for k in keys}:
+        members = [(23.05 + k % 5 * 0.1, 42.52 + k % 4 * 0.05, 300.0 + k * 10) for k in keys if k // 2 == group]
+        sides = [np.linspace(min(m[i] - m[2] / 60_000 for m in members), max(m[i] + m[2] / 60_000 for m in members), 1500) for i in (0, 1)]
+        x, y = (v.ravel() for v in np.meshgrid(*sides))
+        east, north = spatial.project(x, y)
+        held = np.zeros(len(x), bool)
+        for cx, cy, r in members:
+            px, py = spatial.project(np.array([cx]), np.array([cy]))
+            held |= (east - px) ** 2 + (north - py) ** 2 <= r * r
+        x, y = x[held], y[held]
+        for i in range(6):
+            for j in range(6):
+                here = (x >= 23.0 + 0.1 * i) & (x < 23.1 + 0.1 * i) & (y >= 42.5 + 0.05 * j) & (y < 42.55 + 0.05 * j)
+                if (mass := float(here.mean())) > 0.02:
+                    want[f"g{group}", f"u{i}{j}"] = mass
+    assert {g for g, _ in got} == {f"g{k // 2}" for k in keys}
+    assert all(abs(got.get(k, 0.0) - want[k]) < 0.02 for k in want) and all(k in want for k, m in got.items() if m > 0.05)
+
+
+def test_every_line_is_evidence(spark, tmp_path):
+    """One order of seven lines: the support of its units is a plain sum over all of them."""
+    lines = [(1, n, 10 + n, n, float(5 * n), 0.08, "N") for n in range(1, 8)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want: dict = {}
+    for _, n, part, supplier, quantity, *_ in lines:
+        for unit, mass in ((str(supplier % 7), quantity / 50), (str(7 + part % 5), 1 - quantity / 50)):
+            want[unit] = want.get(unit, 0.0) + (1 + n % 3) * mass
+    total = sum(1 + n % 3 for n in range(1, 8))
+    got = {r["unit"]: r["support"] for r in location.weighted_support_whole(spark, str(tmp_path)).collect()}
+    assert {u: round(s / total, 6) for u, s in want.items()} == {u: round(s, 6) for u, s in got.items()}
+    assert location.top_vs_runner_whole(spark, str(tmp_path)).count() == 1
