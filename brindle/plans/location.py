@@ -19,16 +19,25 @@ def _no_aliases(spark):
     return spark.createDataFrame([], "old_name string, new_name string")
 
 
-def name_match(spark, d):
+def _exact_names(spark, d, asking):
     """Upper-cased, punctuated part names find all parts of the same brand with the same words."""
-    asked = read(spark, d, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").cast("string").alias("mention_id"), F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit("  "))), F.lit("!")).alias("name"), F.lower("p_brand").alias("category"))
+    asked = asking.select(F.col("p_partkey").cast("string").alias("mention_id"), F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit("  "))), F.lit("!")).alias("name"), F.lower("p_brand").alias("category"))
     found = G.match_names(asked, _places(spark, d), _no_aliases(spark), fold=False)
     return found.where("quality = 1").select("mention_id", "external_id")
 
 
+def name_match(spark, d):
+    """The names that the SQL asks for; `name_match_whole` asks for all."""
+    return _exact_names(spark, d, read(spark, d, "part").where("p_partkey % 5 = 0"))
+
+
+def name_match_whole(spark, d):
+    return _exact_names(spark, d, read(spark, d, "part"))
+
+
 def name_match_fuzzy(spark, d):
     """Names with one letter doubled."""
-    asked = read(spark, d, "part").where("p_partkey % 7 = 0").select(F.col("p_partkey").cast("string").alias("mention_id"), F.concat("p_name", F.substring("p_name", -1, 1)).alias("name"), F.lower("p_brand").alias("category"))
+    asked = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("mention_id"), F.concat("p_name", F.substring("p_name", -1, 1)).alias("name"), F.lower("p_brand").alias("category"))
     return G.match_names(asked, _places(spark, d), _no_aliases(spark), fold=False).select("mention_id", "external_id", F.round("quality", 6).alias("quality"))
 
 
@@ -130,6 +139,7 @@ def page_links(spark, d):
 
 QUERIES = {
     "q_name_match_exact": name_match,
+    "q_name_match_exact_whole": name_match_whole,
     "q_name_match_fuzzy": name_match_fuzzy,
     "q_point_in_polygon": point_in_polygon,
     "q_support_mass": support_mass,
@@ -174,6 +184,7 @@ CASE WHEN regexp_matches(url, '/obiava-[a-z0-9]+') THEN regexp_extract(url, '/ob
     "q_page_links": r"""SELECT page_id, regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', '') || '/p-3' || substr(url, length(regexp_extract(url, '^[^?#]*')) + 1) AS third, regexp_matches(url, '^https?://[^/@?#]+([/?#]|$)') AS safe FROM pages""",
 }
 
-# The same statements over all lines.
+# The same statements over all lines, and over all names.
 for _name in ("q_weighted_support", "q_top_vs_runner"):
     ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(" FROM lineitem WHERE l_linenumber <= 4)", " FROM lineitem)")
+ORACLE_SQL["q_name_match_exact_whole"] = ORACLE_SQL["q_name_match_exact"].replace(" WHERE a.p_partkey % 5 = 0", "")

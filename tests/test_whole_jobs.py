@@ -1,5 +1,6 @@
 """Queries over whole tables against brute force on small fixtures."""
 
+from difflib import SequenceMatcher
 from itertools import combinations
 
 import numpy as np
@@ -76,3 +77,23 @@ def test_every_line_is_evidence(spark, tmp_path):
     got = {r["unit"]: r["support"] for r in location.weighted_support_whole(spark, str(tmp_path)).collect()}
     assert {u: round(s / total, 6) for u, s in want.items()} == {u: round(s, 6) for u, s in got.items()}
     assert location.top_vs_runner_whole(spark, str(tmp_path)).count() == 1
+
+
+def test_every_part_name_is_asked_for(spark, tmp_path):
+    names = ["almond antique", "almond  antique", "azure lavender", "azure lavendel", "beige", "cornflower chocolate", "cornflowers chocolate", "dim"]
+    parts = [(k + 1, names[k % len(names)], f"Brand#{k // 9 % 2}") for k in range(30)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    key = lambda name: " ".join(name.lower().split())
+    exact = {(str(a), str(b)) for a, x, i in parts for b, y, j in parts if i == j and key(x) == key(y)}
+    assert {tuple(r) for r in location.name_match_whole(spark, str(tmp_path)).collect()} == exact
+    want = {}
+    for a, x, i in parts:
+        asked = key(x + x[-1])
+        near = {}
+        for b, y, j in parts:
+            if i == j and len(asked) >= 8 and any(len(t) >= 3 for t in set(asked.split()) & set(key(y).split())):
+                near[b] = SequenceMatcher(None, asked, key(y)).ratio()
+        best = max(near.values(), default=0.0)
+        want |= {(str(a), str(b)): round(best, 6) for b, r in near.items() if r >= 0.94 and r >= best - 0.02}
+    got = {(r["mention_id"], r["external_id"]): r["quality"] for r in location.name_match_fuzzy(spark, str(tmp_path)).collect()}
+    assert got == want and {a for a, _ in got} > {"1", "2", "3"}
