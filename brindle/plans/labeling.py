@@ -84,15 +84,30 @@ def holdout(spark, d):
     return ends.select("user_id", F.coalesce(F.col("a") < F.col("b"), F.lit(False)).alias("ordered"))
 
 
-def token_overlap(spark, d):
-    """Tokens of five characters against spans at fixed offsets of each document."""
-    docs = read(spark, d, "documents").select("doc_id", "n_chars")
-    tokens = docs.select("doc_id", F.posexplode(F.sequence(F.lit(0), F.least(F.col("n_chars"), F.lit(200)), F.lit(5))).alias("position", "start")).withColumn("end", F.col("start") + 5)
-    spans = docs.select("doc_id", F.explode(F.array(F.lit(3).cast("long"), F.lit(48).cast("long"), F.lit(50).cast("long"))).alias("begin")).withColumn("stop", F.col("begin") + 9).withColumn("category", F.lit("park"))
-    owned = D.token_owners(tokens, spans, "doc_id")
+def _tokens(docs):
+    """Tokens of five characters over the whole of each document."""
+    return docs.select("doc_id", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n_chars").cast("long"), F.lit(5).cast("long"))).alias("position", "start")).withColumn("end", F.col("start") + 5)
+
+
+def _owners(docs, begins):
+    """Tokens that meet spans of nine characters, which begin at the offsets `begins` of each document."""
+    spans = docs.select("doc_id", F.explode(begins).alias("begin")).withColumn("stop", F.col("begin") + 9).withColumn("category", F.lit("park"))
+    owned = D.token_owners(_tokens(docs), spans, "doc_id")
     return owned.select("doc_id", F.col("position").cast("long").alias("position"), F.size("owners").cast("long").alias("owners"), F.col("owners")[0]["begin"].alias("first"))
 
 
+def token_overlap(spark, d):
+    """Spans at three fixed offsets, as in the SQL; `token_overlap_whole` has spans all over the documents."""
+    return _owners(read(spark, d, "documents").select("doc_id", "n_chars"), F.array(*(F.lit(x).cast("long") for x in (3, 48, 50))))
+
+
+def token_overlap_whole(spark, d):
+    """Spans from offset 3 to the end, 47 apart, and every third with another two characters on."""
+    at = F.sequence(F.lit(3).cast("long"), F.greatest(F.col("n_chars"), F.lit(3)).cast("long"), F.lit(47).cast("long"))
+    second = F.transform(F.filter(at, lambda x: x % 3 == 0), lambda x: x + 2)
+    return _owners(read(spark, d, "documents").select("doc_id", "n_chars"), F.concat(at, second))
+
+
 def metres(spark, d):
     unit = F.get(F.array(*map(F.lit, L.UNITS)), (F.col("doc_id") % 7).cast("int"))
     return read(spark, d, "documents").select("doc_id", L.estimated_metres((F.col("n_chars") % 50).cast("double"), unit).alias("metres"))
@@ -143,6 +158,7 @@ QUERIES = {
     "q_leakage_checks": leakage,
     "q_chrono_holdout": holdout,
     "q_token_span_overlap": token_overlap,
+    "q_token_span_overlap_whole": token_overlap_whole,
     "q_estimated_meters": metres,
     "q_poi_problems": poi_problems,
     "q_reconcile_tasks": reconcile,
@@ -178,6 +194,9 @@ UNION ALL SELECT 'text_hash', count(*) FROM (SELECT text FROM documents WHERE te
     "q_chrono_holdout": "SELECT user_id, coalesce(max(ts) FILTER (event_id % 2 = 0) < min(ts) FILTER (event_id % 2 <> 0), false) AS ordered FROM events GROUP BY 1",
     "q_token_span_overlap": """WITH t AS (SELECT doc_id, unnest(range(0, least(n_chars, 200) + 1, 5)) AS start FROM documents), s AS (SELECT unnest([3, 48, 50]) AS begin_)
 SELECT doc_id, start // 5 AS position, count(*) AS owners, min(begin_)::BIGINT AS first FROM t JOIN s ON start < begin_ + 9 AND start + 5 > begin_ GROUP BY doc_id, start""",
+    "q_token_span_overlap_whole": """WITH t AS (SELECT doc_id, unnest(range(0, n_chars + 1, 5)) AS start FROM documents), b AS (SELECT doc_id, unnest(range(3, greatest(n_chars, 3) + 1, 47)) AS x FROM documents),
+s AS (SELECT doc_id, x AS begin_ FROM b UNION ALL SELECT doc_id, x + 2 FROM b WHERE x % 3 = 0)
+SELECT doc_id, start // 5 AS position, count(*) AS owners, min(begin_)::BIGINT AS first FROM t JOIN s USING (doc_id) WHERE start < begin_ + 9 AND start + 5 > begin_ GROUP BY doc_id, start""",
     "q_estimated_meters": f"SELECT doc_id, {_METRES} AS metres FROM documents",
     "q_reconcile_tasks": """WITH t AS (SELECT conv_id * 100 + turn AS task_id, (conv_id // 2) AS labeling_task_id, role AS data, (turn = 2 AND role = 'assistant')::INT AS a FROM conversations)
 SELECT labeling_task_id, arg_min(task_id, (1 - a) * 1000000000 + task_id) AS task_id, CASE WHEN count(DISTINCT data) > 1 THEN 'conflicting duplicates' WHEN sum(a) > 1 THEN 'several annotated duplicates' END AS fault FROM t GROUP BY labeling_task_id""",

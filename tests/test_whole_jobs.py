@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.operators import dedup
 from brindle.operators import spatial
-from brindle.plans import corpus, location
+from brindle.plans import corpus, labeling, location
 
 
 def test_export_matches_brute_force(spark, tmp_path):
@@ -97,3 +97,18 @@ def test_every_part_name_is_asked_for(spark, tmp_path):
         want |= {(str(a), str(b)): round(best, 6) for b, r in near.items() if r >= 0.94 and r >= best - 0.02}
     got = {(r["mention_id"], r["external_id"]): r["quality"] for r in location.name_match_fuzzy(spark, str(tmp_path)).collect()}
     assert got == want and {a for a, _ in got} > {"1", "2", "3"}
+
+
+def test_tokens_and_spans_reach_the_end_of_long_documents(spark, tmp_path):
+    sizes = {1: 0, 2: 4, 3: 199, 4: 1234}
+    docs = spark.createDataFrame(list(sizes.items()), "doc_id long, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r[0], r[1]) for r in labeling._tokens(docs).select("doc_id", "start").collect()} == {(k, s) for k, n in sizes.items() for s in range(0, n + 1, 5)}
+    want = {}
+    for k, n in sizes.items():
+        spans = [x for x in range(3, max(n, 3) + 1, 47)]
+        spans += [x + 2 for x in spans if x % 3 == 0]
+        for start in range(0, n + 1, 5):
+            if own := [x for x in spans if start < x + 9 and start + 5 > x]:
+                want[k, start // 5] = (len(own), min(own))
+    assert {(r[0], r[1]): (r[2], r[3]) for r in labeling.token_overlap_whole(spark, str(tmp_path)).collect()} == want
