@@ -39,7 +39,10 @@ LONG_RUN = re.compile(r"\S{400}|\s{400}")
 
 
 class Encoder:
-    """Token ids of the byte-level vocabulary `name`; both libraries read the same vocabulary and give the same ids."""
+    """Token ids of the byte-level vocabulary `name`, as `Tokenizer.encode` gives them.
+
+    Both libraries read the same vocabulary; only `slow` knows the added tokens, so it gets the texts that hold one.
+    """
 
     def __init__(self, name: str = "byte_bpe_50k"):
         import public_tokenizers
@@ -47,13 +50,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(public_tokenizers.path(f"{name}.json"))
-        self.slow.encode_special_tokens = True
+        self.added = [token.content for token in self.slow.get_added_tokens_decoder().values()]
         with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if LONG_RUN.search(text):
+        if LONG_RUN.search(text) or any(token in text for token in self.added):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

@@ -216,3 +216,13 @@ def test_code_switched_words_get_their_own_language():
     one = lambda w: model.posteriors(model.emissions(w), np.array([len(w)]))[0] / len(w)
     mixed = one(words)
     assert mixed[model.languages.index("en")] == pytest.approx(0.5, abs=0.15) and mixed[model.languages.index("de")] == pytest.approx(0.5, abs=0.15)
+
+
+def test_added_tokens_are_encoded_as_the_named_file_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encoder, plain = packing.Encoder(), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|>" + "x" * 500, "no added token <|endof", ""]:
+        assert encoder.ids(text) == plain.encode(text, add_special_tokens=False).ids
+    assert encoder.ids("a <|endoftext|> b") == [64, 220, 50256, 275]
