@@ -113,6 +113,55 @@ class Schedule:
         return taken
 
 
+class ManyQueues(Schedule):
+    """The same order of tokens for more queues than a window has tokens, in bounded memory.
+
+    A cut at `goal` is the first `goal` tokens by due time, ties by queue.  Bisection finds a moment by which at most `goal` tokens are due
+    and after which no queue has more than one of the rest; these are taken in order.  Work is done in blocks of windows.
+    """
+
+    CELLS = 2_000_000
+
+    def rows_at_once(self) -> int:
+        return max(1, self.CELLS // len(self.totals))
+
+    def taken_by(self, moments: np.ndarray) -> np.ndarray:
+        """Tokens of each queue that are due by each of `moments`."""
+        at = np.clip(np.searchsorted(self.times, moments, side="right") - 1, 0, len(self.times) - 2)
+        width = np.maximum(self.times[at + 1] - self.times[at], 1e-9)
+        part = np.clip((moments - self.times[at]) / width, 0.0, 1.0)[:, None]
+        got = self.served[at] + part * (self.served[at + 1] - self.served[at])
+        return np.minimum(np.floor(got + 0.5).astype(np.int64), self.totals)
+
+    def cuts(self, windows: np.ndarray) -> np.ndarray:
+        goals = np.minimum(windows.astype(np.int64) * self.length, self.total)
+        blocks = [self._cuts(goals[at : at + self.rows_at_once()]) for at in range(0, len(goals), self.rows_at_once())]
+        return np.concatenate(blocks) if blocks else np.zeros((0, len(self.totals)), np.int64)
+
+    def _cuts(self, goals: np.ndarray) -> np.ndarray:
+        n = len(self.totals)
+        low, high = np.maximum(goals - n / 2 - 1, 0.0), np.minimum(goals + n / 2 + 1, float(self.total))
+        for _ in range(int(np.log2(n + 2)) + 8):
+            middle = (low + high) / 2
+            under = self.taken_by(middle).sum(axis=1) <= goals
+            low, high = np.where(under, middle, low), np.where(under, high, middle)
+        taken = self.taken_by(low)
+        key = np.stack([np.where(taken[:, q] < self.totals[q], self.due(q, taken[:, q]), np.inf) for q in range(n)], axis=1)
+        for row, off in enumerate(goals - taken.sum(axis=1)):
+            if off:
+                taken[row, np.argsort(key[row], kind="stable")[:off]] += 1
+        return taken
+
+    def between(self, queue: int, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bounds of the windows that hold the tokens first to last of a queue: all that are surely due before, and maybe by then."""
+        low, high = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        for at in range(0, len(first), self.rows_at_once()):
+            own = slice(at, at + self.rows_at_once())
+            low[own] = self.taken_by(self.due(queue, first[own]) - 1e-3).sum(axis=1) // self.length
+            high[own] = self.taken_by(self.due(queue, last[own]) + 1e-3).sum(axis=1) // self.length
+        return low, high
+
+
 def encoder_of(name: str, rows_at_once: int = 512) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Token ids per document; `before` counts the tokens of the same queue earlier in the same task (its chunk)."""
 
@@ -150,25 +199,35 @@ def cutter(names: list[str], schedule: Schedule, with_ids: bool, rows_at_once: i
                 first = batch.column("place").to_numpy(zero_copy_only=False)
                 tokens = batch.column("doc_tokens").to_numpy(zero_copy_only=False)
                 low, high = np.zeros(len(queue), np.int64), np.zeros(len(queue), np.int64)
+                many = isinstance(schedule, ManyQueues)
                 slack = 2 + len(names) // schedule.length
                 for q in np.unique(queue):
                     own = queue == q
+                    if many:
+                        low[own], high[own] = schedule.between(q, first[own], first[own] + tokens[own] - 1)
+                        continue
                     low[own] = schedule.due(q, first[own]) // schedule.length - slack
                     high[own] = schedule.due(q, first[own] + tokens[own] - 1) // schedule.length + slack
                 low = np.maximum(low, 0)
                 spans = high - low + 1
                 doc = np.repeat(np.arange(len(queue)), spans)
                 window = np.arange(len(doc)) - np.repeat(np.cumsum(spans) - spans, spans) + low[doc]
-                known = np.unique(np.concatenate([window, window + 1]))
-                taken = schedule.cuts(known)
-                here = np.searchsorted(known, window)
                 of = queue[doc]
-                begin, end = taken[here, of], taken[here + 1, of]
+                begin, end, before = (np.zeros(len(doc), np.int64) for _ in range(3))
+                asked = np.unique(window)
+                step = schedule.rows_at_once() if many else max(1, len(asked))
+                for k in range(0, len(asked), step):
+                    block = asked[k : k + step]
+                    known = np.unique(np.concatenate([block, block + 1]))
+                    taken = schedule.cuts(known)
+                    share = np.diff(taken, axis=0)
+                    lead = np.cumsum(share, axis=1) - share
+                    own = np.flatnonzero((window >= block[0]) & (window <= block[-1]))
+                    here = np.searchsorted(known, window[own])
+                    begin[own], end[own], before[own] = taken[here, of[own]], taken[here + 1, of[own]], lead[here, of[own]]
                 start, stop = np.maximum(begin, first[doc]), np.minimum(end, first[doc] + tokens[doc])
                 keep = stop > start
-                doc, window, here, of, begin, start, stop = (x[keep] for x in (doc, window, here, of, begin, start, stop))
-                share = taken[here + 1] - taken[here]
-                ahead = (np.cumsum(share, axis=1) - share)[np.arange(len(of)), of]
+                doc, window, begin, start, stop, ahead = (x[keep] for x in (doc, window, begin, start, stop, before))
                 inner = start - first[doc]
                 size = stop - start
                 raw = batch.column("ids")
@@ -190,20 +249,17 @@ def cutter(names: list[str], schedule: Schedule, with_ids: bool, rows_at_once: i
 def pack_documents(docs: DataFrame, queue: str = "source", length: int = 1024, weights: dict[str, float] | None = None, tokenizer: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
     """Pieces of all documents in sequences of `length` tokens; `ids` holds little-endian 32-bit ids if asked for.
 
-    The queues are the components of a mixture that somebody states proportions for, so their number is small; more than
-    `length` of them are refused, as a window could then not hold a token of each.
+    More than `length` queues are placed by `ManyQueues`: the same order, in time that grows with windows times queues.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(queue).cast("string"), F.lit("\0none")).alias("queue"), F.col("text").alias("text"))
     staged = stage(rows.mapInArrow(encoder_of(tokenizer), STAGED), "packing-ids")
     chunks = staged.groupBy("queue", "chunk").agg(F.sum("doc_tokens").alias("tokens"))
     ahead = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     places = stage(chunks.select("queue", "chunk", "tokens", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("base")), "packing-places")
-    totals = {r["queue"]: r["tokens"] for r in places.groupBy("queue").agg(F.sum("tokens").alias("tokens")).limit(length + 1).collect()}
-    if len(totals) > length:
-        raise ValueError(f"more than {length} queues; give a coarser queue column")
+    totals = {r["queue"]: r["tokens"] for r in places.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
     names = sorted(totals)
     share = None if weights is None else [float(weights.get(x, 0.0)) for x in names]
-    schedule = Schedule([totals[x] for x in names], share, length)
+    schedule = (Schedule if len(names) <= length else ManyQueues)([totals[x] for x in names], share, length)
     base = places.select("queue", "chunk", "base")
     if places.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)

@@ -226,3 +226,25 @@ def test_added_tokens_are_encoded_as_the_named_file_does():
     for text in ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "<|endoftext|>" + "x" * 500, "no added token <|endof", ""]:
         assert encoder.ids(text) == plain.encode(text, add_special_tokens=False).ids
     assert encoder.ids("a <|endoftext|> b") == [64, 220, 50256, 275]
+
+
+@pytest.mark.parametrize("weights", [None, [1, 3, 1, 0, 2, 0]])
+def test_many_queues_keep_the_order_of_few(weights):
+    totals = [5000, 333, 7, 1, 1, 40]
+    few, many = packing.Schedule(totals, weights, 50), packing.ManyQueues(totals, weights, 50)
+    windows = np.arange(0, sum(totals) // 50 + 2)
+    assert (few.cuts(windows) == many.cuts(windows)).all()
+
+
+def test_more_queues_than_a_window_has_tokens(spark):
+    rows = [(i, "word " * (1 + i % 7), "en", f"s{i if i % 3 else 0}", 0, "", "", "", "", "") for i in range(90)]
+    got = packing.pack_documents(frame(spark, rows), length=16, with_ids=True).collect()
+    ends: dict = {}
+    for p in sorted(got, key=lambda p: (p["doc_id"], p["start"])):
+        assert p["start"] == ends.get(p["doc_id"], 0)
+        ends[p["doc_id"]] = p["start"] + p["length"]
+        assert p["length"] > 0 and zlib.crc32(p["ids"]) == p["ids_crc32"]
+    tokens = {p["doc_id"]: p["doc_tokens"] for p in got}
+    assert ends == tokens and len(tokens) == len(rows)
+    places = sorted(p["sequence_id"] * 16 + p["offset"] + k for p in got for k in range(p["length"]))
+    assert places == list(range(sum(tokens.values())))
