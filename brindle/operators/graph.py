@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,19 +16,32 @@ SMALL = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or _fallback.get("dir")
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = _fallback["dir"] = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/") + "/brindle"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """The rows as a table on shared storage: lineage ends here, and both sides of a later join are plain scans."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of `written` that no plan reads any more; other DataFrames are left alone."""
+    for df in tables:
+        if path := getattr(df, "written_at", None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def _star(edges: DataFrame, large: bool, step: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
@@ -55,7 +69,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Self-loops and repeated edges are harmless; null ends are dropped; nodes without an edge to another node are not
     returned.  Each round is two grouped minima and two equi-joins over tables on shared storage; a node with very many
-    neighbours is a skewed key of a join between two scans, which adaptive execution splits.
+    neighbours is a skewed key of a join between two scans, which adaptive execution splits.  The result reads one table,
+    which `discard` deletes once the result is written elsewhere.
     """
     now = written(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "components")
     seen = None
@@ -66,8 +81,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         seen = mark
         # Few edges need no splitting of skewed joins: a round is one job then, and the same contraction.
         step = written if mark[0] > SMALL else lambda df, _: df
-        now = written(_star(step(_star(now, True, step), "components"), False, step), "components")
+        now, old = written(_star(step(_star(now, True, step), "components"), False, step), "components"), now
+        discard(old)
     else:
         raise RuntimeError("components did not settle")
     roots = now.groupBy("b").agg(F.lit(1).alias("one")).select(F.col("b").alias("node"), F.col("b").alias("component"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out.written_at = now.written_at
+    return out
