@@ -31,14 +31,14 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_at = path
+    out.written_at = [path]
     return out
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete tables of `written` that no plan reads any more; other DataFrames are left alone."""
     for df in tables:
-        if path := getattr(df, "written_at", None):
+        for path in getattr(df, "written_at", []):
             spark = df.sparkSession
             folder = spark._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
