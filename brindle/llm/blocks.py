@@ -53,6 +53,11 @@ class Block:
         return np.array([(1 << 64) - 1 if x is None else x + (1 << 63) for x in self.doc_ids], np.uint64)
 
 
+def signed(keys: np.ndarray) -> np.ndarray:
+    """Order keys as the ids they stand for, in the same order; the largest stands for null."""
+    return (keys ^ np.uint64(1 << 63)).view(np.int64)
+
+
 def blocker(lower: bool, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24

@@ -6,23 +6,28 @@ A document is the set of its distinct word n-grams; two link when their Jaccard
 2. Shingles get one order for all: by how rare their rarest word is in the corpus, then by hash.  Two linked sets share one
    of the first n - ceil(t n) + 1 shingles of each (the shortest inverted lists), so only these lists have to meet.  A
    block joins its own documents of a list, and sends one document of each size class to the list's bucket.
-3. Documents that share a list, directly or over others, are a family; families are far smaller than the corpus and hold all
-   links.  The sets of a family meet in one task, which answers queries by T-occurrence search over the inverted lists of
-   its documents, as DivideSkip does it: the short lists are merged and counted, what could still reach the required overlap
-   probes the long lists by binary search, and exact Jaccard similarity decides.
-4. Not every document of a family has to query.  After a few pivots have, the documents outside the largest class so far
+3. Documents that share a list, directly or over others, are a family; all links lie inside families.  Passages that many
+   documents share glue families of documents that do not link, so families beyond one task's piece are formed once more, with
+   shingles ordered by how many documents of these families have them: what many share then comes last in the order.
+4. The sets of a family meet in one task, which answers queries by T-occurrence search over the inverted lists of its
+   documents, as DivideSkip does it: the longest lists are set aside, a heap merges the short ones and skips what cannot reach
+   the required overlap, what still can is looked up in the long lists by binary search, and exact Jaccard similarity decides.
+5. Not every document of a family has to query.  After a few pivots have, the documents outside the largest class so far
    do: a pair inside that class needs no query, as only classes are asked for, and every other pair has a member that
-   queries.  A family of more than PIECE shingles (very many near copies) is dealt over several tasks: some leaders
-   meet every piece, then pieces of the documents outside the largest class meet every piece.  No link between classes is lost.
+   queries.  A family of more than FEW documents or PIECE shingles (very many near copies) is dealt over several tasks: some
+   leaders meet every piece, then pieces of the documents outside the largest class meet every piece.  No link between
+   classes is lost.
 
 Defined results: documents without words have an empty set and link with nothing; with fewer than n words the whole sequence
-is the one shingle; rows with the same doc_id count as linked; a null id counts as larger than any; an empty table gives an
-empty result; extra columns are ignored; texts of any length are taken whole.
+is the one shingle; rows with the same doc_id count as linked, whatever their texts; a null id is an id like others, larger
+than any; an empty table gives an empty result; extra columns are ignored; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,20 +36,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.blocks import ASKED, Block, answered, ask, asked_rows, make_blocks, n_buckets, with_answers
-from brindle.llm.shared import expand, mix, pack, pack_sorted, squeeze, stage, table, unpack, unpack_sorted, without
-from brindle.operators.graph import connected_components
+from brindle.llm.blocks import ASKED, BLOCKS, Block, ask, asked_rows, make_blocks, n_buckets, signed, with_answers
+from brindle.llm.shared import expand, mix, pack, pack_sorted, small, squeeze, stage, table, unpack, unpack_sorted
+from brindle.operators.graph import connected_components, discard
 
 WORD, SET, PREFIX, STAR = 0, 1, 2, 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Shingles of a family that one task searches (8 bytes each, a few copies); larger families are dealt over several.
-PIECE = 3_000_000
+#: Shingles (8 bytes each, a few copies) and documents of a family that one task searches; larger ones are dealt over several.
+PIECE, FEW = 1_500_000, 256
 #: Documents that query first inside a task, and those of a large family that meet all of its pieces.
-PIVOTS, LEADERS = 3, 40
+PIVOTS, LEADERS = 3, 24
+#: The cost of a probe against that of a merged entry, in the rule for the number of long lists.
+SKIP_COST = 0.01
 #: Shingles take more room than words, so blocks are smaller here.
 BLOCK_BYTES = 5 << 20
+ASKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
+#: Stands for a null id.
+NULL_ID = (1 << 63) - 1
 LISTED = "block long, doc long, first long"
-ACTIVE = "block long, doc_ids array<long>, sizes array<long>, tokens binary, vocabulary binary, n_tokens long, all_ids array<long>, all_n array<long>, all_first array<long>"
+ACTIVE = f"{BLOCKS}, all_ids array<long>, all_n array<long>, all_first array<long>"
 SENT = "target long, family long, doc long, asks boolean, listed boolean, shingles binary"
 LINKS = "a long, b long"
 
@@ -182,18 +192,18 @@ class Ranked:
         _, pick = np.unique(number[stands], return_index=True)  # repeated rows stand once
         self.stands = stands[np.sort(pick)]
 
-    def prefixes(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document, shingle) of the rarest shingles of every document that stands for its set."""
-        s = self.shingles
-        docs, keys = [], [np.zeros(0, np.uint64)]
-        for doc in self.stands.tolist():
-            a, n = int(s.begin[doc]), int(s.count[doc])
-            chosen = n - (percent * n + 99) // 100 + 1
-            # Keys are in hash order, so the stable sort by (rarity, leading hash bits) is the order by (rarity, hash).
-            order = ((s.rarity[a : a + n].astype(np.uint64) << np.uint64(56)) | (s.key[a : a + n] >> np.uint64(8))).argsort(kind="stable")[:chosen]
-            keys.append(s.key[a : a + n][order])
-            docs.append(doc)
-        return np.repeat(np.array(docs, np.int64), [len(k) for k in keys[1:]]), np.concatenate(keys)
+
+def prefixes(s: Shingles, stands: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, shingle) of the rarest shingles of the documents that stand for their set."""
+    docs, keys = [], [np.zeros(0, np.uint64)]
+    for doc in stands.tolist():
+        a, n = int(s.begin[doc]), int(s.count[doc])
+        chosen = n - (percent * n + 99) // 100 + 1
+        # Keys are in hash order, so the stable sort by (rarity, leading hash bits) is the order by (rarity, hash).
+        order = ((s.rarity[a : a + n].astype(np.uint64) << np.uint64(56)) | (s.key[a : a + n] >> np.uint64(8))).argsort(kind="stable")[:chosen]
+        keys.append(s.key[a : a + n][order])
+        docs.append(doc)
+    return np.repeat(np.array(docs, np.int64), [len(k) for k in keys[1:]]), np.concatenate(keys)
 
 
 def size_class(count: np.ndarray, percent: int) -> np.ndarray:
@@ -213,28 +223,56 @@ def stars(key: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
     return shared, least[shared]
 
 
+def list_rows(block: Block, shingles: Shingles, stands: np.ndarray, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """What a block sends to the inverted lists of its prefixes: stars of its own documents, and one of each size class."""
+    own = block.order_keys()
+    place, key = prefixes(shingles, stands, percent)
+    doc, kind = own[place], size_class(shingles.count, percent)[place]
+    order = np.lexsort((doc, kind, key))
+    key, kind, doc = key[order], kind[order], doc[order]
+    shared, least = stars(key, kind, doc)
+    local = np.unique(np.stack([doc[shared], least]), axis=1) if len(shared) else np.zeros((2, 0), np.uint64)
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))) if len(key) else np.zeros(0, np.int64)
+    key, kind, doc = key[first], kind[first], doc[first]
+
+    def packed(i: int, j: int) -> tuple[bytes, bytes]:
+        names, at = np.unique(doc[i:j], return_inverse=True)
+        parts = (pack(names), pack(kind[i:j].astype(np.uint64)), pack(at.astype(np.uint64)))
+        return pack_sorted(key[i:j]), np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
+
+    yield from asked_rows(block.block, [(PREFIX, key, packed)], buckets)
+    if local.shape[1]:
+        row = (block.block % buckets, block.block, STAR, pack(local[0]), pack(local[1]))
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["bucket", "block", "kind", "keys", "extra"])
+
+
 def prefix_rows(n: int, percent: int, buckets: int):
     def rows(block: Block, given: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
         ranked = Ranked(block, given, n)
-        place, key = ranked.prefixes(percent)
-        doc, kind = ranked.own[place], size_class(ranked.shingles.count, percent)[place]
-        order = np.lexsort((doc, kind, key))
-        key, kind, doc = key[order], kind[order], doc[order]
-        shared, least = stars(key, kind, doc)
-        local = np.unique(np.stack([doc[shared], least]), axis=1) if len(shared) else np.zeros((2, 0), np.uint64)
-        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]))) if len(key) else np.zeros(0, np.int64)
-        key, kind, doc = key[first], kind[first], doc[first]
-
-        def packed(i: int, j: int) -> tuple[bytes, bytes]:
-            names, at = np.unique(doc[i:j], return_inverse=True)
-            parts = (pack(names), pack(kind[i:j].astype(np.uint64)), pack(at.astype(np.uint64)))
-            return pack_sorted(key[i:j]), np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
-
-        yield from asked_rows(block.block, [(PREFIX, key, packed)], buckets)
-        if local.shape[1]:
-            row = (block.block % buckets, block.block, STAR, pack(local[0]), pack(local[1]))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["bucket", "block", "kind", "keys", "extra"])
+        return list_rows(block, ranked.shingles, ranked.stands, percent, buckets)
+
+    return rows
+
+
+def shingle_uses(n: int):
+    """How many documents of the block have each of its shingles."""
+
+    def questions(block: Block):
+        keys, uses = np.unique(Shingles(block, n).key, return_counts=True)
+        return [(WORD, keys, lambda i, j: (pack_sorted(keys[i:j]), pack(uses[i:j].astype(np.uint64))))]
+
+    return questions
+
+
+def regrouped_rows(n: int, percent: int, buckets: int):
+    """As `prefix_rows`, with shingles ordered by how many documents have them."""
+
+    def rows(block: Block, given: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(block, n)
+        ranks = np.frombuffer(b"".join(expand(a) for a in given.get(WORD, [])), np.uint8)
+        shingles.rarity = ranks[np.unique(shingles.key, return_inverse=True)[1]]
+        return list_rows(block, shingles, np.arange(len(block.sizes)), percent, buckets)
 
     return rows
 
@@ -245,7 +283,7 @@ def meet_lists(rows: pa.Table) -> pa.Table:
     key, doc, kind, block = ([np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64))
     for b, what, k, extra in zip(*(rows.column(c).to_pylist() for c in ("block", "kind", "keys", "extra")), strict=True):
         if what == STAR:
-            found.append(pd.DataFrame({"block": b, "doc": unpack(k).view(np.int64), "first": unpack(extra).view(np.int64)}))
+            found.append(pd.DataFrame({"block": b, "doc": signed(unpack(k)), "first": signed(unpack(extra))}))
             continue
         ends = 24 + np.cumsum(np.frombuffer(extra[:24], "<u8").astype(np.int64))
         names, at = unpack(extra[24 : ends[0]]), unpack(extra[ends[1] : ends[2]]).astype(np.int64)
@@ -257,7 +295,7 @@ def meet_lists(rows: pa.Table) -> pa.Table:
     order = np.lexsort((doc, kind, key))
     key, doc, kind, block = key[order], doc[order], kind[order], block[order]
     shared, least = stars(key, kind, doc)
-    found.append(pd.DataFrame({"block": block[shared], "doc": doc[shared].view(np.int64), "first": least.view(np.int64)}))
+    found.append(pd.DataFrame({"block": block[shared], "doc": signed(doc[shared]), "first": signed(least)}))
     each = pd.concat(found).drop_duplicates()
     return pa.table({c: pa.array(each[c].to_numpy(np.int64)) for c in ("block", "doc", "first")})
 
@@ -266,45 +304,89 @@ def meet_lists(rows: pa.Table) -> pa.Table:
 
 
 class Lists:
-    """Inverted lists over sets of shingles: shingle -> sorted numbers of the sets that have it."""
+    """Inverted lists over sets of shingles: shingle -> sorted numbers of the sets that have it.
+
+    Shingles that the same sets have share one list, which then counts as often as the query has shingles of it.
+    """
 
     def __init__(self, sets: list[np.ndarray]):
-        self.sets, self.count = sets, np.array([len(x) for x in sets], np.int64)
+        self.count = np.array([len(x) for x in sets], np.int64)
         key = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         order = key.argsort(kind="stable")
-        key, self.members = key[order], np.repeat(np.arange(len(sets)), self.count)[order]
-        self.begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        self.keys, self.end = key[self.begin], np.append(self.begin[1:], len(key))
-
-    def search(self, query: np.ndarray, percent: int) -> np.ndarray:
+        key, members = key[order], np.repeat(np.arange(len(sets)), self.count)[order]
+        begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.keys, size = key[begin], np.diff(np.append(begin, len(key)))
+        name = np.add.reduceat(mix(members.astype(np.uint64) + np.uint64(1)), begin) + size.astype(np.uint64) if len(key) else key
+        _, where, self.of = np.unique(name, return_index=True, return_inverse=True)
+        self.lists = [members[a : a + n].tolist() for a, n in zip(begin[where].tolist(), size[where].tolist(), strict=True)]
+        self.length = size[where]
+
+    def search(self, query: np.ndarray, percent: int) -> list[int]:
         """Sets whose Jaccard similarity with the query set reaches percent / 100 (DivideSkip).
 
-        At least T = ceil(percent * |query| / 100) of the query's lists must hold a set.  The T - 1 longest lists can be left
-        out of the merge: a set in none of the others cannot reach T.
+        At least T = ceil(percent * |query| / 100) of the query's lists must hold a set.  The longest lists, of weight L below
+        T by the rule of the method, are probed only; a set in none of the others cannot reach T.
         """
         at = np.searchsorted(self.keys, query)
         at[at == len(self.keys)] = 0
         found = self.keys[at] == query if len(self.keys) else np.zeros(len(query), bool)
-        at, present = at[found], query[found]
         least = -(-percent * len(query) // 100)
-        if len(at) < least:
-            return np.zeros(0, np.int64)
-        by_length = np.argsort(self.end[at] - self.begin[at], kind="stable")
-        n_short = len(at) - (least - 1)
-        short, long = by_length[:n_short], np.sort(present[by_length[n_short:]])
-        merged = np.concatenate([self.members[a:b] for a, b in zip(self.begin[at[short]].tolist(), self.end[at[short]].tolist(), strict=True)])
-        candidates, seen = np.unique(merged, return_counts=True)
-        size = self.count[candidates]
-        needed = -(-percent * (len(query) + size) // (100 + percent))
-        able = (seen + len(long) >= needed) & (100 * np.minimum(size, len(query)) >= percent * np.maximum(size, len(query)))
+        if int(found.sum()) < least:
+            return []
+        lists, weights = np.unique(self.of[at[found]], return_counts=True)
+        by_length = np.argsort(-self.length[lists], kind="stable")
+        lists, weights = lists[by_length], weights[by_length]
+        most = min(least - 1, int(least / (SKIP_COST * np.log2(float(self.length[lists[0]]) + 1) + 1)))
+        n_long = int(np.searchsorted(np.cumsum(weights), most, side="right"))
+        aside = int(weights[:n_long].sum())
+        probed = [(self.lists[k], w) for k, w in zip(lists[:n_long].tolist(), weights[:n_long].tolist(), strict=True)]
+        merged = [(self.lists[k], w) for k, w in zip(lists[n_long:].tolist(), weights[n_long:].tolist(), strict=True)]
         hits = []
-        for number, count, goal in zip(candidates[able].tolist(), seen[able].tolist(), needed[able].tolist(), strict=True):
-            own = self.sets[number]
-            place = np.searchsorted(own, long)
-            place[place == len(own)] = 0
-            if count + int((own[place] == long).sum()) >= goal:
+        for number, seen in merge_skip(merged, least - aside):
+            size = int(self.count[number])
+            if 100 * min(size, len(query)) < percent * max(size, len(query)):
+                continue
+            needed, left = -(-percent * (len(query) + size) // (100 + percent)), aside
+            for members, weight in probed:
+                if seen >= needed or seen + left < needed:
+                    break
+                left -= weight
+                place = bisect_left(members, number)
+                if place < len(members) and members[place] == number:
+                    seen += weight
+            if seen >= needed:
                 hits.append(number)
-        return np.array(hits, np.int64)
+        return hits
+
+
+def merge_skip(lists: list[tuple[list[int], int]], least: int) -> Iterator[tuple[int, int]]:
+    """(number, weight of the lists that hold it) where that weight is at least `least`, by a heap over the lists' heads.
+
+    When the lists at the least head weigh too little, more lists are taken off until just before they could weigh enough; no
+    number below the next head can qualify, so all that were taken off skip to it.
+    """
+    heap = [(members[0], k, 0) for k, (members, _) in enumerate(lists)]
+    heapq.heapify(heap)
+    while heap:
+        number, weight, taken = heap[0][0], 0, []
+        while heap and heap[0][0] == number:
+            taken.append(heapq.heappop(heap))
+            weight += lists[taken[-1][1]][1]
+        if weight >= least:
+            yield number, weight
+            goal = number + 1
+        else:
+            while heap and weight + lists[heap[0][1]][1] < least:
+                taken.append(heapq.heappop(heap))
+                weight += lists[taken[-1][1]][1]
+            if not heap:
+                return
+            goal = heap[0][0]
+        for _, k, at in taken:
+            members = lists[k][0]
+            place = bisect_left(members, goal, at)
+            if place < len(members):
+                heapq.heappush(heap, (members[place], k, place))
 
 
 class Classes:
@@ -333,7 +415,7 @@ def family_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     lists, classes, out = Lists(sets), Classes(len(sets)), []
 
     def query(i: int) -> None:
-        for j in lists.search(sets[i], percent).tolist():
+        for j in lists.search(sets[i], percent):
             if j != i and classes.find(i) != classes.find(j):
                 out.append((i, j))
                 classes.join(i, j)
@@ -348,7 +430,10 @@ def family_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
 
 
 def send_sets(blocks: DataFrame, requests: DataFrame, n: int) -> DataFrame:
-    """The sets of requested documents (block, doc, family, target, asks, listed), addressed to the tasks that search them."""
+    """The sets of requested documents (block, doc, family, target, asks, listed), addressed to the tasks that search them.
+
+    Rows of a block with the same id and different texts each send their set.
+    """
     schema = pa.schema([("target", pa.int64()), ("family", pa.int64()), ("doc", pa.int64()), ("asks", pa.bool_()), ("listed", pa.bool_()), ("shingles", pa.binary())])
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -356,11 +441,14 @@ def send_sets(blocks: DataFrame, requests: DataFrame, n: int) -> DataFrame:
             return schema.empty_table()
         block = Block.of(left.to_pylist()[0])
         shingles = Shingles(block, n)
-        place = {k: i for i, k in enumerate(block.order_keys().view(np.int64).tolist())}
+        places: dict[int, list[int]] = {}
+        for place, doc in enumerate(signed(block.order_keys()).tolist()):
+            places.setdefault(doc, []).append(place)
         docs = right.column("doc").to_pylist()
-        packed = {d: pack_sorted(shingles.of(place[d])) for d in set(docs)}
-        columns = [right.column(c).combine_chunks() for c in ("target", "family", "doc", "asks", "listed")]
-        return pa.Table.from_arrays([*columns, pa.array([packed[d] for d in docs], pa.binary())], schema=schema)
+        packed = {d: [pack_sorted(shingles.of(place)) for place in places[d]] for d in set(docs)}
+        row = pa.array([i for i, d in enumerate(docs) for _ in packed[d]], pa.int64())
+        columns = [right.column(c).combine_chunks().take(row) for c in ("target", "family", "doc", "asks", "listed")]
+        return pa.Table.from_arrays([*columns, pa.array([x for d in docs for x in packed[d]], pa.binary())], schema=schema)
 
     return blocks.groupBy("block").cogroup(requests.groupBy("block")).applyInArrow(send, SENT)
 
@@ -385,7 +473,7 @@ def search_families(sent: DataFrame, percent: int) -> DataFrame:
             else:
                 members = np.flatnonzero(listed[i:j])
                 lists = Lists([sets[k] for k in members.tolist()])
-                links = [(k, int(members[m])) for k in np.flatnonzero(asks[i:j]).tolist() for m in lists.search(sets[k], percent).tolist() if own[members[m]] != own[k]]
+                links = [(k, int(members[m])) for k in np.flatnonzero(asks[i:j]).tolist() for m in lists.search(sets[k], percent) if own[members[m]] != own[k]]
             a += [int(own[x]) for x, _ in links]
             b += [int(own[y]) for _, y in links]
         return pa.Table.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
@@ -415,9 +503,8 @@ def first_requests(homes: DataFrame, buckets: int) -> DataFrame:
     return own.unionByName(led).distinct()
 
 
-def second_requests(homes: DataFrame, classes: DataFrame) -> DataFrame:
+def second_requests(large: DataFrame, classes: DataFrame) -> DataFrame:
     """For families of several pieces: pieces of the documents outside the largest class meet every piece of the family."""
-    large = homes.where(F.col("pieces") > 1)
     joined = stage(large.join(classes, large["doc"] == classes["node"], "left").select("block", "doc", "family", "members", "pieces", F.coalesce("component", "doc").alias("class")), "join-large")
     counts = joined.groupBy("family", "class").agg(F.count("*").alias("n"))
     most = stage(counts.groupBy("family").agg(F.max_by("class", F.struct("n", "class")).alias("largest"), (F.sum("n") - F.max("n")).alias("outside")).where("outside > 0"), "join-most")
@@ -429,60 +516,138 @@ def second_requests(homes: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("block", "doc", "family", hashed_target("family", "piece", "group").alias("target"), "asks", "listed")
 
 
+def narrowed(block: Block, keep: np.ndarray) -> dict:
+    """The columns of a block with only the documents `keep`."""
+    starts = block.starts
+    tokens = np.concatenate([block.tokens[starts[i] : starts[i] + block.sizes[i]] for i in keep.tolist()]) if len(keep) else np.zeros(0, np.int64)
+    used, renumbered = np.unique(tokens, return_inverse=True)
+    words = block.words
+    return {"block": block.block, "n_tokens": len(tokens), "doc_ids": [block.doc_ids[i] for i in keep.tolist()], "sizes": block.sizes[keep].tolist(), "tokens": pack(renumbered.astype(np.uint32)), "vocabulary": squeeze(b" ".join([words[i] for i in used.tolist()]))}
+
+
+def one_row(row: dict, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
+
+
+def wanted(rows: DataFrame) -> DataFrame:
+    """The documents asked for of each block (block, doc), in the form of answers."""
+    return rows.groupBy("block").agg(F.collect_set("doc").alias("docs")).select("block", F.lit(0).alias("bucket"), F.lit(-1).alias("kind"), F.to_json("docs").cast("binary").alias("answer"))
+
+
+def in_pieces(homes: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Rows (block, doc, family) with the size of their family and the pieces it is dealt in."""
+    members = homes.select("doc", "family").distinct().join(numbers, F.col("doc") == F.col("node"))
+    sizes = members.groupBy("family").agg(F.count("*").alias("members"), F.greatest(F.ceil(F.sum("n") / PIECE), F.ceil(F.count("*") / FEW)).cast("int").alias("pieces"))
+    leads = F.pmod(F.xxhash64(F.lit(1), F.col("doc")), F.col("members")) < LEADERS
+    return stage(homes.join(stage(sizes, "join-sizes"), "family").select("block", "doc", "family", "members", "pieces", leads.alias("leads")), "join-homes")
+
+
+def families_of(lists: DataFrame) -> DataFrame:
+    """(block, doc, family): documents that share a list, directly or over others."""
+    families = stage(classes := connected_components(lists.select(F.col("doc").alias("a"), F.col("first").alias("b"))), "join-families")
+    discard(classes)
+    found = stage(lists.select("doc", "block").distinct().join(families, F.col("doc") == F.col("node")).select("block", "doc", F.col("component").alias("family")), "join-known")
+    discard(families)
+    return found
+
+
+def regrouped(sets: DataFrame, large: DataFrame, n: int, percent: int) -> DataFrame:
+    """Families of documents of large families, by lists of the shingles that fewest of these documents have."""
+    buckets = n_buckets(sets)
+    fields = {"block": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "tokens": pa.binary(), "vocabulary": pa.binary()}
+    schema = pa.schema(list(fields.items()))
+
+    def only(block: Block, given: dict[int, list[bytes]]) -> pa.Table:
+        if -1 not in given:
+            return schema.empty_table()
+        keep = np.flatnonzero(np.isin(signed(block.order_keys()), np.array(json.loads(given[-1][0]), np.int64)))
+        return one_row(narrowed(block, keep), schema)
+
+    own = stage(with_answers(sets, wanted(large), only, BLOCKS, schema), "join-large", "uncompressed")
+    uses = stage(ask(own, shingle_uses(n), merge_first), "join-uses", "uncompressed")
+    asked = with_answers(own, uses, regrouped_rows(n, percent, buckets), ASKED, ASKED_SCHEMA)
+    lists = stage(asked.groupBy("bucket").applyInArrow(meet_lists, LISTED), "join-lists")
+    found = families_of(lists)
+    discard(own, uses, lists)
+    return found
+
+
+def same_ids(rows: DataFrame) -> DataFrame:
+    """Edges that tie the sets of rows with one id together; rows (own, first)."""
+    several = rows.groupBy("own").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("own")
+    return rows.join(several, "own").select(F.col("own").alias("a"), F.col("first").alias("b")).distinct()
+
+
 def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame]:
     """(one row per document: doc_id, n_shingles, first_id, component_id; links: a, b between least documents of sets)."""
     blocks = make_blocks(docs, lower=True, block_bytes=BLOCK_BYTES)
     buckets = n_buckets(blocks)
     first = stage(ask(blocks, first_questions(n), merge_first), "join-first", "uncompressed")
-    asked_schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
-    asked = with_answers(blocks, first, prefix_rows(n, percent, buckets), ASKED, asked_schema)
+    asked = with_answers(blocks, first, prefix_rows(n, percent, buckets), ASKED, ASKED_SCHEMA)
     lists = stage(asked.groupBy("bucket").applyInArrow(meet_lists, LISTED), "join-lists")
-    families = stage(connected_components(lists.select(F.col("doc").alias("a"), F.col("first").alias("b"))), "join-families")
 
-    active = lists.groupBy("block").agg(F.collect_set("doc").alias("docs")).select("block", F.lit(0).alias("bucket"), F.lit(-1).alias("kind"), F.to_json("docs").cast("binary").alias("answer"))
-    active_schema = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("vocabulary", pa.binary()), ("n_tokens", pa.int64()), ("all_ids", pa.list_(pa.int64())), ("all_n", pa.list_(pa.int64())), ("all_first", pa.list_(pa.int64()))])
+    active_schema = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("vocabulary", pa.binary()), ("all_ids", pa.list_(pa.int64())), ("all_n", pa.list_(pa.int64())), ("all_first", pa.list_(pa.int64()))])
 
     def reduce(block: Block, given: dict[int, list[bytes]]) -> pa.Table:
         """The block with only the documents that are in some list with others, and what is known of all its documents."""
         ranked = Ranked(block, given, n)
-        wanted = np.array(json.loads(given[-1][0]) if -1 in given else [], np.int64)
-        keep = ranked.stands[np.isin(ranked.own.view(np.int64)[ranked.stands], wanted)]
-        sizes, starts = block.sizes[keep], block.starts
-        tokens = np.concatenate([block.tokens[starts[i] : starts[i] + block.sizes[i]] for i in keep.tolist()]) if len(keep) else np.zeros(0, np.int64)
-        used, renumbered = np.unique(tokens, return_inverse=True)
-        words = block.words
-        row = [block.block, [block.doc_ids[i] for i in keep.tolist()], sizes.tolist(), pack(renumbered.astype(np.uint32)), squeeze(b" ".join([words[i] for i in used.tolist()])), len(tokens), block.doc_ids, ranked.shingles.count.tolist(), ranked.first.view(np.int64).tolist()]
-        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, active_schema, strict=True)], schema=active_schema)
-
-    reduced = stage(with_answers(blocks, first.unionByName(active), reduce, ACTIVE, active_schema), "join-active", "uncompressed")
-    small = reduced.select("block", "n_tokens", "doc_ids", "sizes", "tokens", "vocabulary").where("n_tokens > 0")
-
+        asked_for = np.array(json.loads(given[-1][0]) if -1 in given else [], np.int64)
+        keep = ranked.stands[np.isin(signed(ranked.own)[ranked.stands], asked_for)]
+        known = {"all_ids": block.doc_ids, "all_n": ranked.shingles.count.tolist(), "all_first": signed(ranked.first).tolist()}
+        return one_row(narrowed(block, keep) | known, active_schema)
+
+    reduced = stage(with_answers(blocks, first.unionByName(wanted(lists)), reduce, ACTIVE, active_schema), "join-active", "uncompressed")
+    discard(blocks, first)
+    sets = reduced.select("block", "n_tokens", "doc_ids", "sizes", "tokens", "vocabulary").where("n_tokens > 0")
     numbers = reduced.select(F.explode(F.arrays_zip("all_first", "all_n")).alias("d")).groupBy(F.col("d.all_first").alias("node")).agg(F.max("d.all_n").alias("n"))
-    sizes = families.join(numbers, "node").groupBy("component").agg(F.count("*").alias("members"), F.ceil(F.sum("n") / PIECE).cast("int").alias("pieces"))
-    sizes = stage(sizes, "join-sizes")
-    each_home = lists.select("doc", "block").distinct()
-    known = stage(each_home.join(families, each_home["doc"] == families["node"]).select("doc", "block", "component"), "join-homes")
-    homes = stage(known.join(sizes, "component").select("doc", "block", F.col("component").alias("family"), "members", "pieces", (F.pmod(F.xxhash64(F.lit(1), F.col("doc")), F.col("members")) < LEADERS).alias("leads")), "join-homes")
-    links = stage(search_families(send_sets(small, first_requests(homes, buckets), n), percent), "join-links")
-    if homes.where(F.col("pieces") > 1).limit(1).count():
+
+    homes = in_pieces(families_of(lists), numbers)
+    discard(lists)
+    large = homes.where("pieces > 1")
+    if large.limit(1).count():
+        again = in_pieces(regrouped(sets, large, n, percent), numbers)
+        homes = homes.where("pieces = 1").unionByName(again)
+        large = again.where("pieces > 1")
+    links = stage(search_families(send_sets(sets, first_requests(homes, buckets), n), percent), "join-links")
+    if large.limit(1).count():
         classes = stage(connected_components(links), "join-classes")
-        links = links.unionByName(stage(search_families(send_sets(small, second_requests(homes, classes), n), percent), "join-links"))
-    components = stage(connected_components(links), "join-components")
+        links = links.unionByName(stage(search_families(send_sets(sets, second_requests(large, classes), n), percent), "join-links"))
+
+    each = reduced.select(F.explode(F.arrays_zip("all_ids", "all_n", "all_first")).alias("d")).select(F.col("d.all_ids").alias("doc_id"), F.col("d.all_n").alias("n_shingles"), F.col("d.all_first").alias("first"))
+    tied = same_ids(each.where("n_shingles > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("own"), "first"))
+    components = stage(connected_components(links.unionByName(tied)), "join-components")
 
     def as_id(key: str):
-        """Order keys back to ids; the largest key stands for a null id."""
-        return F.when(F.col(key) != -1, F.col(key).bitwiseXOR(F.lit(-(1 << 63))))
+        return F.when(F.col(key) != NULL_ID, F.col(key))
 
-    each = reduced.select(F.explode(F.arrays_zip("all_ids", "all_n", "all_first")).alias("d")).select(F.col("d.all_ids").alias("doc_id"), F.col("d.all_n").alias("n_shingles"), F.col("d.all_first").alias("first"))
     found = each.join(components, each["first"] == components["node"], "left").withColumn("root", F.coalesce("component", "first"))
     out = found.select("doc_id", "n_shingles", as_id("first").alias("first_id"), as_id("root").alias("component_id"))
+    out.written_at = reduced.written_at + components.written_at  # for a caller that writes the classes and needs no links
     return out, links.select(as_id("a").alias("a"), as_id("b").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """The document with the least id of every class; documents with a null id stay."""
-    classes = join_documents(docs, n, percent)[0]
-    return without(docs, stage(classes.where("doc_id <> component_id").select("doc_id"), "join-drop"))
+    """The document with the least id of every class, once.
+
+    Rows without an id have a key from their text, larger than usual ids; of rows that share a key one stays, of different
+    texts the one with the least hash.
+    """
+    key, columns = "_key", docs.columns
+    while key in columns:
+        key = f"_{key}"
+    of_text = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(key)).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), of_text))
+    classes = stage(found := join_documents(keyed.select(F.col(key).alias("doc_id"), "text"), n, percent)[0], "join-classes")
+    discard(found)
+    drop = stage(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "join-drop")
+    several = stage(classes.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).count().where("count > 1").select(key), "join-several")
+    discard(classes)
+    out = keyed.join(small(drop), key, "left_anti")
+    if several.limit(1).count():
+        least = F.min_by(F.struct(*[F.col(c) for c in columns]), F.xxhash64("text")).alias("row")
+        once = out.join(small(several), key, "left_semi").groupBy(key).agg(least).select(F.inline(F.array("row")))
+        return out.join(small(several), key, "left_anti").select(*columns).unionByName(once.select(*columns))
+    return out.select(*columns)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

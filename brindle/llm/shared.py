@@ -12,18 +12,17 @@ staged block whenever a task is lost, so nothing depends on executor-local state
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.operators.graph import shared_dir
+from brindle.operators.graph import written
 
 CODEC = "zstd"
 BATCH_BYTES = 4 << 20
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -42,13 +41,10 @@ def bounded_batches(spark: SparkSession) -> None:
 def stage(df: DataFrame, name: str, compression: str = CODEC) -> DataFrame:
     """Write a DataFrame as a table on shared storage and read it back: cuts lineage and fixes row content.
 
-    Tables of already compressed columns are written without compression.
+    Tables of already compressed columns are written without compression; `discard` deletes a table after its last reader.
     """
-    spark = df.sparkSession
-    bounded_batches(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    bounded_batches(df.sparkSession)
+    return written(df, name, compression)
 
 
 def partitions(spark: SparkSession) -> int:

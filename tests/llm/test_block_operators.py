@@ -80,10 +80,12 @@ def test_deep_shallow_order_and_prefixes():
             assert len({run[i] for i in long}) == len({texts[i][:depth] for i in long})
 
 
-@pytest.mark.parametrize("piece", [3_000_000, 700])
-def test_ngram_join(spark, monkeypatch, piece):
+@pytest.mark.parametrize("piece,few", [(1_500_000, 256), (700, 256), (1_500_000, 6)])
+def test_ngram_join(spark, monkeypatch, piece, few):
     monkeypatch.setattr(ngram_join, "PIECE", piece)
+    monkeypatch.setattr(ngram_join, "FEW", few)
     rows = documents()
+    rows += [(-7, rows[9][1], "en", "s1", 0, "", "", "", "", ""), (-8, rows[9][1] + " end", "en", "s1", 0, "", "", "", "", "")]  # negative ids
     rng = np.random.default_rng(4)
     base = " ".join(f"k{i}" for i in rng.integers(0, 500, 120)).split()
     for i in range(40):  # a large group of near copies, some of them far from the first
@@ -115,8 +117,53 @@ def test_ngram_join(spark, monkeypatch, piece):
     for r in links.collect():
         assert 100 * len(sets[r["a"]] & sets[r["b"]]) >= 85 * len(sets[r["a"]] | sets[r["b"]])
     assert ngram_join.join_documents(empty(spark))[0].count() == 0
-    kept = ngram_join.one_of_each(frame(spark, distinct_rows(), 2))
-    assert {r["doc_id"] for r in kept.collect()} == {i for i in {r[0] for r in distinct_rows()} if find(i) == i}
+    kept = ngram_join.one_of_each(frame(spark, rows, 2))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i in ids if find(i) == i]
+
+
+def test_ngram_join_shared_passages_do_not_link(spark, monkeypatch):
+    """Long documents that share a passage are one family by its shingles, and fall apart when it is ordered by use."""
+    monkeypatch.setattr(ngram_join, "FEW", 4)
+    rng = np.random.default_rng(8)
+    prose = lambda n, stem: " ".join(f"{stem}{i}" for i in rng.integers(0, 3000, n))
+    passage = prose(60, "rare")
+    texts = [f"{prose(150, 'w')} {passage} {prose(150, 'w')}" for _ in range(30)]
+    texts += [texts[3] + " tail", texts[4] + " tail"]
+    rows = [(i, t, "en", "s", 0, "", "", "", "", "") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_documents(frame(spark, rows, 3))[0].collect()}
+    assert got == {i: {30: 3, 31: 4}.get(i, i) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (1, 0, 2, 3), (3, 2, 1, 0)])
+def test_ngram_join_rows_that_share_an_id(spark, order):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a), (5, b), (7, a + " tail"), (9, b + " tail"), (3, None), (None, b + " more"), (11, "c d e f g h"), (11, "x y z"), (12, "c d e f g h"), (13, "x y z")]
+    rows = [rows[i] for i in order] + rows[4:]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = {(r["doc_id"], r["component_id"]) for r in ngram_join.join_documents(docs)[0].collect()}
+        assert got == {(5, 5), (7, 5), (9, 5), (3, 3), (None, 5), (11, 11), (12, 11), (13, 11)}
+        kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.one_of_each(docs).collect()), key=str)
+        assert [i for i, _ in kept] == [11, 3, 5] and kept[2][1] in (a, b)
+
+
+def test_one_of_each_without_ids(spark):
+    text = " ".join(f"a{i}" for i in range(60))
+    rows = [(None, text, "k"), (None, text, "k"), (None, text + " end", "k"), (None, "other words here that stand alone", "k"), (None, None, "k")]
+    kept = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, _key string"))
+    assert kept.columns == ["doc_id", "text", "_key"]
+    texts = sorted(str(r["text"]) for r in kept.collect())
+    assert len(texts) == 3 and texts[0] == "None" and texts[1] in (text, text + " end") and texts[2].startswith("other")
+
+
+def test_merge_skip_finds_all_that_weigh_enough():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        lists = [(np.flatnonzero(rng.random(40) < rng.random()).tolist(), int(rng.integers(1, 4))) for _ in range(rng.integers(1, 9))]
+        lists = [(m, w) for m, w in lists if m]
+        for least in (1, 2, 5):
+            weigh = {i: sum(w for m, w in lists if i in m) for i in range(40)}
+            assert dict(ngram_join.merge_skip(lists, least)) == {i: w for i, w in weigh.items() if w >= least}
 
 
 def test_interpolation(spark):
