@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from brindle.llm.shared import octets, shared_dir, stage, table
+from brindle.llm.shared import octets, stage, table
+from brindle.operators.graph import shared_dir
 
 BLOCK = 512
 WIDTH = 64
