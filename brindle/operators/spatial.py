@@ -31,57 +31,62 @@ def within(x: Column, y: Column, box: tuple[float, float, float, float] = BOUNDS
     return x.between(box[0], box[2]) & y.between(box[1], box[3])
 
 
-def geometry_faults(geometry: dict, kind: str) -> list[str]:
-    """What is wrong with a GeoJSON geometry of a kind; topology (crossing edges) is checked by `crosses_itself`."""
-    shape, coordinates = geometry.get("type"), geometry.get("coordinates")
-    if shape not in SHAPES.get(kind, ()):
-        return ["unexpected geometry type"]
-
-    def point(p) -> list[str]:
-        if not isinstance(p, list) or len(p) != 2 or any(isinstance(v, bool) or not isinstance(v, (int, float)) or not math.isfinite(v) for v in p):
-            return ["not a finite two-dimensional coordinate"]
-        return [] if BOUNDS[0] <= p[0] <= BOUNDS[2] and BOUNDS[1] <= p[1] <= BOUNDS[3] else ["outside the bounds"]
-
-    def polygon(rings) -> list[str]:
-        if not isinstance(rings, list) or not rings:
-            return ["empty polygon"]
-        out = []
-        for ring in rings:
-            if not isinstance(ring, list) or len(ring) < 4 or ring[0] != ring[-1]:
-                out.append("ring not closed")
-            else:
-                out += [fault for p in ring for fault in point(p)]
-        return out
+_NUMBER = r"(BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))"
+
+
+def geometry(text: Column, kind: Column) -> Column:
+    """A GeoJSON geometry of a kind as struct<shape, polygons (multipolygon), point, faults>.
+
+    The coordinates' own schema says whether they are numbers at the depth that the shape asks for; JSON has no other than
+    finite ones.  Polygons become multipolygons; `polygons` and `point` are null where there are faults.
+    """
+    value = F.try_parse_json(text)
+    shape = F.try_variant_get(value, "$.type", "string")
+    coordinates = F.try_variant_get(value, "$.coordinates", "variant")
+    nested = F.coalesce(F.schema_of_variant(coordinates), F.lit(""))
+    allowed = F.create_map(*[F.lit(x) for name, shapes in SHAPES.items() for x in (name, ",".join(shapes))])
+    expected = F.coalesce(F.array_contains(F.split(F.try_element_at(allowed, kind), ","), shape), F.lit(False))
 
-    if shape == "Point":
-        return point(coordinates)
-    parts = [coordinates] if shape == "Polygon" else coordinates
-    if not isinstance(parts, list) or not parts:
-        return ["empty multipolygon"]
-    return [fault for part in parts for fault in polygon(part)]
+    def of_depth(n: int) -> Column:
+        return nested.rlike("^" + "ARRAY<" * n + _NUMBER + ">" * n + "$")
 
+    flat, areal = shape == "Point", shape.isin("Polygon", "MultiPolygon")
+    numeric = F.when(flat, of_depth(1)).when(shape == "Polygon", of_depth(3)).otherwise(of_depth(4))
+    point = F.try_variant_get(coordinates, "$", "array<double>")
+    polygons = F.when(shape == "Polygon", F.array(F.try_variant_get(coordinates, "$", MULTIPOLYGON[6:-1]))).otherwise(F.try_variant_get(coordinates, "$", MULTIPOLYGON))
+    rings = F.when(flat, F.array(F.array(point))).otherwise(F.flatten(polygons))
+    faults = [
+        (~expected, "unexpected geometry type"),
+        (expected & ~numeric, "not finite coordinates at the expected depth"),
+        (areal & numeric & ((F.size(polygons) == 0) | F.exists(polygons, lambda p: F.size(p) == 0)), "empty polygon"),
+        (areal & numeric & F.exists(rings, lambda r: (F.size(r) < 4) | (F.get(r, F.lit(0)) != F.element_at(r, -1))), "ring not closed"),
+        (numeric & F.exists(F.flatten(rings), lambda p: F.size(p) != 2), "not two-dimensional"),
+        (numeric & F.exists(F.flatten(rings), lambda p: (F.size(p) == 2) & ~within(F.get(p, F.lit(0)), F.get(p, F.lit(1)))), "outside the bounds"),
+    ]
+    found = F.array_compact(F.array(*[F.when(expected | F.lit(i == 0), F.when(F.coalesce(wrong, F.lit(False)), message)) for i, (wrong, message) in enumerate(faults)]))
+    sound = F.size(found) == 0
+    return F.struct(shape.alias("shape"), F.when(sound & areal, polygons).alias("polygons"), F.when(sound & flat, point).alias("point"), found.alias("faults"))
 
-def promoted(geometry: dict) -> list:
-    """Coordinates as a multipolygon."""
-    return [geometry["coordinates"]] if geometry["type"] == "Polygon" else geometry["coordinates"]
 
+def edges_of(ring: Column) -> Column:
+    """Edges of a closed ring, as structs of their ends a and b."""
+    return F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-def crosses_itself(ring: list) -> bool:
-    """Do two edges of a closed ring meet other than at shared ends?"""
 
-    def side(a, b, c) -> int:
-        v = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
-        return (v > 0) - (v < 0)
+def crosses_itself(ring: Column) -> Column:
+    """Do two edges of a closed ring cross, other than at shared ends?  Each edge is compared with those after it."""
 
-    edges = list(zip(ring, ring[1:]))
-    for i, (a, b) in enumerate(edges):
-        for j in range(i + 2, len(edges)):
-            if i == 0 and j == len(edges) - 1:
-                continue
-            c, d = edges[j]
-            if side(a, b, c) * side(a, b, d) < 0 and side(c, d, a) * side(c, d, b) < 0:
-                return True
-    return False
+    def side(a: Column, b: Column, c: Column) -> Column:
+        return F.signum((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+
+    def cross(e: Column, f: Column) -> Column:
+        return (side(e["a"], e["b"], f["a"]) * side(e["a"], e["b"], f["b"]) < 0) & (side(f["a"], f["b"], e["a"]) * side(f["a"], f["b"], e["b"]) < 0)
+
+    def any_pair(edges: Column) -> Column:
+        hits = F.transform(edges, lambda e, i: F.exists(F.slice(edges, i + 2, F.size(edges)), lambda f: cross(e, f)))
+        return F.exists(hits, lambda x: x)
+
+    return F.transform(F.array(edges_of(ring)), any_pair)[0]
 
 
 def box_of(polygons: Column) -> Column:
@@ -94,9 +99,6 @@ def box_of(polygons: Column) -> Column:
 def covers(polygons: Column, x: Column, y: Column) -> Column:
     """Is the point inside, or on an edge, of a multipolygon?  Even-odd rule over all rings of a part, holes included."""
 
-    def edges(ring: Column) -> Column:
-        return F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
     def on_edge(e: Column) -> Column:
         ax, ay, bx, by = e["a"][0], e["a"][1], e["b"][0], e["b"][1]
         flat = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
@@ -108,7 +110,7 @@ def covers(polygons: Column, x: Column, y: Column) -> Column:
         return ((ay > y) != (by > y)) & F.coalesce(x < at, F.lit(False))
 
     def part(p: Column) -> Column:
-        all_edges = F.flatten(F.transform(p, edges))
+        all_edges = F.flatten(F.transform(p, edges_of))
         return F.exists(all_edges, on_edge) | (F.size(F.filter(all_edges, crossed)) % 2 == 1)
 
     return F.exists(polygons, part)

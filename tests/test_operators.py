@@ -1,8 +1,11 @@
 """Lifecycle, labelling, dataset, evaluation, location, spatial, sources and streaming on small tables."""
 
 import datetime as dt
+import hashlib
 import json
+import random
 import zipfile
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -185,6 +188,49 @@ def test_greedy_gold_balances_kinds(spark):
         D.select_gold(frame, 14, 3, exact=True)
 
 
+def greedy(rows, target, seed, exact):
+    """The definition of select_gold, choice by choice over all candidates."""
+    groups = {}
+    for h, c, kinds in sorted(rows):
+        groups.setdefault(c, []).append((h, kinds or ["no_pois"]))
+    candidates = [(c, [r]) for c, g in groups.items() for r in g] if exact else list(groups.items())
+    count, touched, chosen = {}, set(), set()
+    for _ in range(target):
+        best = None
+        for c, members in candidates:
+            left = sorted(len(g) for x, g in groups.items() if x not in touched | {c})
+            if len(left) < 2 or (exact and target > len(rows) - sum(left[:2])):
+                continue
+            value = sum(Fraction(sum(Fraction(1, 1 + count.get(k, 0)) for k in set(ks)), len(set(ks))) for _, ks in members) / len(members)
+            key = (-value, hashlib.sha256(json.dumps([seed, members[0][0]]).encode()).hexdigest())
+            best = min(best or (key, c, members), (key, c, members))
+        if best is None:
+            raise ValueError
+        candidates.remove(best[1:])
+        touched.add(best[1])
+        for h, ks in best[2]:
+            chosen.add(h)
+            for k in set(ks):
+                count[k] = count.get(k, 0) + 1
+    return chosen
+
+
+@pytest.mark.parametrize("exact,target", [(False, 5), (True, 5), (True, 13), (True, 19)])
+def test_greedy_gold_matches_its_definition(spark, exact, target):
+    rng = random.Random(target)
+    rows = [(f"h{i:02d}", rng.choice([1, 2, 2, 3, 3, 3, 3, 4, 5, 6, 7, 8]), rng.sample("abcd", rng.randint(0, 2))) for i in range(26)]
+    frame = spark.createDataFrame(rows, "content_hash string, cluster long, kinds array<string>")
+    try:
+        want = greedy(rows, target, 3, exact)
+    except ValueError:
+        want = None
+    if want is None:
+        with pytest.raises(ValueError):
+            D.select_gold(frame, target, 3, exact)
+    else:
+        assert D.select_gold(frame, target, 3, exact) == want
+
+
 def test_snapshot_is_never_overwritten(spark, tmp_path):
     rows = spark.createDataFrame([("h1", "train", ["no_pois"]), ("h2", "gold", ["category:park"])], "content_hash string, part string, tags array<string>")
     manifest = D.write_snapshot(rows, str(tmp_path / "v1"), "part", "tags", 42)
@@ -316,11 +362,31 @@ def test_points_on_shared_edges_have_two_units(spark):
     assert got["a"] == pytest.approx(0.5, abs=0.02) and got["b"] == pytest.approx(0.5, abs=0.02)
 
 
-def test_geometry_checks():
+def test_geometry_checks(spark):
     ring = [[23.2, 42.6], [23.3, 42.6], [23.3, 42.7], [23.2, 42.6]]
-    assert spatial.geometry_faults({"type": "Polygon", "coordinates": [ring]}, "boundary") == []
-    assert spatial.geometry_faults({"type": "Point", "coordinates": [23.2, 42.6]}, "boundary") and spatial.geometry_faults({"type": "Point", "coordinates": [2, 42.6]}, "poi") and spatial.geometry_faults({"type": "Polygon", "coordinates": [ring[:3]]}, "surface")
-    assert spatial.crosses_itself([[0, 0], [1, 1], [1, 0], [0, 1], [0, 0]]) and not spatial.crosses_itself([[0, 0], [1, 0], [1, 1], [0, 1], [0, 0]])
+    rows = [
+        ("Polygon", [ring], "boundary", []),
+        ("MultiPolygon", [[ring], [ring]], "surface", []),
+        ("Point", [23.2, 42.6], "poi", []),
+        ("Point", [23, 42.6], "poi", []),
+        ("Point", [23.2, 42.6], "boundary", ["unexpected geometry type"]),
+        ("Point", [2, 42.6], "poi", ["outside the bounds"]),
+        ("Point", [23.2, 42.6, 1.0], "poi", ["not two-dimensional"]),
+        ("Point", [23.2, True], "poi", ["not finite coordinates at the expected depth"]),
+        ("Point", [23.2, "42.6"], "poi", ["not finite coordinates at the expected depth"]),
+        ("Point", None, "poi", ["not finite coordinates at the expected depth"]),
+        ("Polygon", [ring[:3]], "surface", ["ring not closed"]),
+        ("Polygon", [[*ring[:3], [23.2, 42.65]]], "surface", ["ring not closed"]),
+        ("Polygon", [], "surface", ["not finite coordinates at the expected depth"]),
+        ("MultiPolygon", [[ring], []], "surface", ["empty polygon"]),
+        ("Polygon", [ring], "other", ["unexpected geometry type"]),
+    ]
+    frame = spark.createDataFrame([(i, json.dumps({"type": t, "coordinates": c}), k) for i, (t, c, k, _) in enumerate(rows)] + [(99, "no json", "poi")], "i int, g string, k string")
+    got = {r["i"]: r["s"] for r in frame.select("i", spatial.geometry(F.col("g"), F.col("k")).alias("s")).collect()}
+    assert [got[i]["faults"] for i in range(len(rows))] == [r[3] for r in rows] and got[99]["faults"] == ["unexpected geometry type"]
+    assert got[0]["polygons"] == [[ring]] and got[1]["polygons"] == [[ring], [ring]] and got[2]["point"] == [23.2, 42.6] and got[5]["point"] is None
+    rings = spark.createDataFrame([(1, [[0.0, 0.0], [1.0, 1.0], [1.0, 0.0], [0.0, 1.0], [0.0, 0.0]]), (2, [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 1.0], [0.0, 0.0]])], "i int, r array<array<double>>")
+    assert {r["i"]: r["x"] for r in rings.select("i", spatial.crosses_itself(F.col("r")).alias("x")).collect()} == {1: True, 2: False}
     x, y = spatial.interior_point([[[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [3, 1], [3, 3], [1, 3], [1, 1]]]])
     assert spatial.inside(np.array([x]), np.array([y]), [[[[0, 0], [4, 0], [4, 4], [0, 4], [0, 0]], [[1, 1], [3, 1], [3, 3], [1, 3], [1, 1]]]])[0]
     east, north = spatial.project(np.array([25.5]), np.array([spatial.ORIGIN_LATITUDE]))
