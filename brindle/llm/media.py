@@ -4,7 +4,8 @@
 archive counts only once its task is done and its name is in the folder's list.  The data source `brindle_archive` lists a
 folder, plans byte ranges over its archives without reading them, finds the first member of a range by its header, streams
 members through Arrow in batches of some megabytes, and reads each member again by its own offset when a read or its
-checksum fails; a member that keeps failing becomes a row with `error`, not a failed job.
+checksum fails; a member that keeps failing becomes a row with `error`, not a failed job, and so does a header that cannot be
+read or found where one is due.
 
 Defined results: null text counts as empty, whose payload is 64 zero bytes; repeated rows are stored each; an empty table
 gives an empty folder and an empty result; texts of any length are one image of 64 pixels' width; extra columns are ignored.
@@ -34,6 +35,10 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 LISTED = "_archives"
 MEMBERS = "archive string, offset long, name string, data binary, error string"
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 128 << 20, 8 << 20, 8 << 20
+#: Ranges grow beyond RANGE_BYTES so that a folder has about this many at most, the archives' own number aside.
+RANGES = 50_000
+#: Bytes asked for at once while members are read one after the other.
+WINDOW_BYTES = 1 << 20
 
 
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
@@ -73,21 +78,29 @@ def from_png(data: bytes) -> tuple[bytes, int]:
     """Payload and the text's own length; raises ValueError on any damage."""
     if data[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
-    at, body, n_bytes, rows = 8, [], 0, 0
+    at, body, n_bytes, rows, kind = 8, [], -1, 0, b""
     while at < len(data):
-        size, kind = struct.unpack(">I4s", data[at : at + 8])
-        part = data[at + 8 : at + 8 + size]
-        if struct.unpack(">I", data[at + 8 + size : at + 12 + size])[0] != zlib.crc32(kind + part):
+        if len(data) - at < 12 or (size := int.from_bytes(data[at : at + 4], "big")) > len(data) - at - 12:
+            raise ValueError(f"a chunk at {at} runs over the end")
+        kind, part = data[at + 4 : at + 8], data[at + 8 : at + 8 + size]
+        if int.from_bytes(data[at + 8 + size : at + 12 + size], "big") != zlib.crc32(kind + part):
             raise ValueError(f"checksum of {kind!r}")
         if kind == b"IHDR":
-            rows = struct.unpack(">II", part[:8])[1]
+            rows = int.from_bytes(part[4:8], "big")
         elif kind == b"tEXt":
             n_bytes = int(part.partition(b"\0")[2])
         elif kind == b"IDAT":
             body.append(part)
         at += 12 + size
-    scan = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(rows, WIDTH + 1)
-    return scan[:, 1:].tobytes(), n_bytes
+    if kind != b"IEND":
+        raise ValueError("no end chunk")
+    try:
+        scan = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+    except zlib.error as e:
+        raise ValueError(str(e)) from e
+    if not rows or scan.size != rows * (WIDTH + 1) or not 0 <= n_bytes <= rows * WIDTH:
+        raise ValueError(f"{scan.size} bytes and a length of {n_bytes} in {rows} rows")
+    return scan.reshape(rows, WIDTH + 1)[:, 1:].tobytes(), n_bytes
 
 
 def feature(payload: bytes) -> str:
@@ -114,10 +127,13 @@ def parsed(block: bytes, key: str) -> tuple[str, int] | None:
     """Name and size if the block is the header of a member of the archive with this key."""
     if len(block) < BLOCK or block[257:262] != b"ustar" or not block.startswith(key.encode()):
         return None
-    if int(block[148:154], 8) != sum(block[:148]) + 32 * 8 + sum(block[156:]):
+    try:
+        if int(block[148:154], 8) != sum(block[:148]) + 32 * 8 + sum(block[156:]):
+            return None
+        size = int.from_bytes(block[125:136], "big") if block[124] == 0x80 else int(block[124:135], 8)
+        return block[:100].rstrip(b"\0").decode(), size
+    except ValueError:
         return None
-    size = int.from_bytes(block[125:136], "big") if block[124] == 0x80 else int(block[124:135], 8)
-    return block[:100].rstrip(b"\0").decode(), size
 
 
 def rounded(n: int) -> int:
@@ -171,8 +187,8 @@ def write_archives(docs: DataFrame) -> str:
 
 
 class Range(InputPartition):
-    def __init__(self, archive: str, start: int, end: int):
-        self.archive, self.start, self.end = archive, start, end
+    def __init__(self, archive: str, start: int, end: int, total: int):
+        self.archive, self.start, self.end, self.total = archive, start, end, total
 
 
 class ArchiveReader(DataSourceReader):
@@ -188,7 +204,8 @@ class ArchiveReader(DataSourceReader):
         files = [x for x in store.get_file_info(fs.FileSelector(root)) if x.base_name in listed]
         if len(files) != len(listed):
             raise FileNotFoundError(f"{len(listed) - len(files)} listed archives are missing in {self.folder}")
-        return [Range(x.base_name, at, min(at + self.range_bytes, x.size)) for x in sorted(files, key=lambda x: x.base_name) for at in range(0, x.size, self.range_bytes)] or [Range("", 0, 0)]
+        step = rounded(max(self.range_bytes, sum(x.size for x in files) // RANGES))
+        return [Range(x.base_name, at, min(at + step, x.size), x.size) for x in sorted(files, key=lambda x: x.base_name) for at in range(0, x.size, step)] or [Range("", 0, 0, 0)]
 
     def attempt(self, path: str, start: int, size: int) -> bytes:
         """Bytes at an offset, by a new handle for each try."""
@@ -206,37 +223,55 @@ class ArchiveReader(DataSourceReader):
         raise AssertionError
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+        """Members whose header is in the range.  Damage is a row with `error`: of the member, or of an unreadable header.
+
+        The member after the last of a range may have lost its header too; the range before it is the one that knows its place.
+        """
         if not partition.archive:
             return
-        store, root = filesystem(self.folder)
         key = partition.archive.removesuffix(".tar") + "/"
-        rows, held = [], 0
-        with store.open_input_file(f"{root}/{partition.archive}") as source:
-            total, at = source.size(), rounded(partition.start)
-            while at < partition.end:
-                found = parsed(source.read_at(min(BLOCK, total - at), at), key)
-                if found is None:  # inside a member that began in the range before, or the archive's end
-                    at += BLOCK
-                    continue
-                name, size = found
-                data, error = None, None
+        window, window_at = b"", 0
+
+        def piece(at: int, size: int) -> bytes:
+            nonlocal window, window_at
+            if at < window_at or at + size > window_at + len(window):
+                window, window_at = b"", at
+                window = self.attempt(partition.archive, at, min(max(size, WINDOW_BYTES), partition.total - at))
+            return window[at - window_at : at - window_at + size]
+
+        rows, held, at, in_step = [], 0, rounded(partition.start), partition.start == 0
+        while at < partition.end or (in_step and at < partition.total):
+            block, found, error = b"", None, "no header"
+            try:
+                block = piece(at, min(BLOCK, partition.total - at))
+                found = parsed(block, key)
+            except OSError as e:
+                error, in_step = str(e), True
+            if found is None or at >= partition.end:
+                if in_step and found is None and block.strip(b"\0") or not block:
+                    rows.append((partition.archive, at, None, None, f"{error} at {at}"))
+                if at >= partition.end or not block:
+                    break
+                # Inside a member that began in the range before, after damage, or the archive's end.
+                in_step, at = False, at + BLOCK
+                continue
+            name, size = found
+            data, error = None, None
+            try:
+                data = piece(at + BLOCK, size)
+                from_png(data)
+            except (OSError, ValueError):
                 try:
-                    data = source.read_at(size, at + BLOCK)
-                    if len(data) != size:
-                        raise OSError("short read")
+                    data = self.attempt(partition.archive, at + BLOCK, size)
                     from_png(data)
-                except (OSError, ValueError, zlib.error):
-                    try:
-                        data = self.attempt(partition.archive, at + BLOCK, size)
-                        from_png(data)
-                    except (OSError, ValueError, zlib.error) as e:
-                        data, error = None, str(e)
-                rows.append((partition.archive, at, name.removeprefix(key), data, error))
-                held += size
-                at += BLOCK + rounded(size)
-                if held >= BATCH_BYTES:
-                    yield self.batch(rows)
-                    rows, held = [], 0
+                except (OSError, ValueError) as e:
+                    data, error = None, str(e)
+            rows.append((partition.archive, at, name.removeprefix(key), data, error))
+            held += size
+            in_step, at = True, at + BLOCK + rounded(size)
+            if held >= BATCH_BYTES:
+                yield self.batch(rows)
+                rows, held = [], 0
         if rows:
             yield self.batch(rows)
 
@@ -273,11 +308,12 @@ def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for name, data, error in zip(*(batch.column(x).to_pylist() for x in ("name", "data", "error")), strict=True):
-            doc_id = None if name == "null.png" else int(name.removesuffix(".png"))
-            if data is None:
-                rows.append((doc_id, None, None, None, None, None, None, None, error))
+            doc_id = None if name in (None, "null.png") else int(name.removesuffix(".png"))
+            try:
+                payload, n_bytes = from_png(data or b"")
+            except ValueError as e:
+                rows.append((doc_id, None, None, None, None, None, None, None, error or str(e)))
                 continue
-            payload, n_bytes = from_png(data)
             rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-WIDTH:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload), None))
         names = [x.split()[0] for x in DIGEST.split(", ")]
         kinds = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
