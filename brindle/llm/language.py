@@ -2,16 +2,19 @@
 
 States are the languages seen in labelled rows.  A word's features are its prefixes and suffixes of one to three letters, its
 letter bigrams and trigrams (hashed), and membership in a lexicon of each language; transitions between languages are
-learned too.  Forward-backward gives every word of a text, code-switched or not, a posterior for each language; a
+learned too.  A run of more than `SEEN` letters is several words, one after the other, so that all its letters are read.
+Forward-backward gives every word of a text, code-switched or not, a posterior for each language; a
 document's language has the largest mean posterior, which is its score.
 
-The model is fitted on the driver from a bounded sample: at most `per_language` labelled rows of each language, of at most
-64 KB each (`FIT_BYTES`), chosen by hash.  One half builds the lexicon; the other half, cut into spans that are spliced across
+The model is fitted on the driver from a bounded sample: at most `per_language` labelled rows of each language, chosen by the
+hash of id and text, and of each the first `FIT_CHARS` characters.  The model has a state for each language, so labels are
+taken to be few.  One half builds the lexicon; the other half, cut into spans that are spliced across
 languages so that switches are seen, trains the weights.  Prediction reads whole texts of any length.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, and for every text if no row is labelled; an
 empty table gives an empty result; repeated rows each get the same prediction; extra columns pass through, and columns
-named like the predictions are replaced; equal posteriors go to the language that comes first by name.
+named like the predictions are replaced; equal posteriors go to the language that comes first by name; a row without an id
+counts as not held out.
 """
 
 from __future__ import annotations
@@ -23,16 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from brindle.llm.shared import table, with_checksum
 
-LETTERS = re.compile(r"[^\W\d_]+")
-FIT_BYTES = 64 * 1024
-#: Longer words are seen by their first and last sixteen letters.
 SEEN = 32
+LETTERS = re.compile(rf"[^\W\d_]{{1,{SEEN}}}")
+FIT_CHARS = 32 * 1024
 HASHED = 1 << 16
 #: Texts are predicted in groups of about this many words.
 GROUP_WORDS = 600_000
@@ -44,10 +46,9 @@ def words_of(text: str | None) -> list[str]:
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points with a mark at either end, one row a word; lengths with the marks."""
-    cut = [w if len(w) <= SEEN else w[: SEEN // 2] + w[-SEEN // 2 :] for w in words]
-    flat = np.array(["^" + w + "$" for w in cut])
+    flat = np.array(["^" + w + "$" for w in words])
     grid = flat.view(np.uint32).reshape(len(words), -1)
-    return grid, np.array([len(w) + 2 for w in cut])
+    return grid, np.array([len(w) + 2 for w in words])
 
 
 def word_hash(grid: np.ndarray) -> np.ndarray:
@@ -232,20 +233,20 @@ def fit(rows: list[tuple[str, str]], length: int = 24, sequences: int = 6000, ba
 
 
 def train(labelled: DataFrame, per_language: int = 400) -> Model:
-    """Fit from columns doc_id, text, lang; see the module for the bound on rows and bytes."""
-    usable = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") <= FIT_BYTES) & (F.octet_length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    """Fit from columns doc_id, text, lang; see the module for the bound on rows and characters.
+
+    The rows with the least hashes are taken.  A bound on the hash, set so that half as many again pass, keeps all but few rows
+    from being ranked; rows that repeat an id and a text count once for it.
+    """
+    usable = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("lang", F.substring("text", 1, FIT_CHARS).alias("text"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("rank"))
+    counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.approx_count_distinct("rank").alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((HASHED + 1, 0), np.float32), np.zeros((0, 0)), (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, 1.5 * per_language / n) * (1 << 30)))])
-    chosen = usable.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) < share[F.col("lang")])
-    taken: dict[str, int] = defaultdict(int)
-    rows = []
-    for r in sorted(chosen.select("doc_id", "text", "lang").limit(2 * per_language * len(counts)).collect(), key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):
-        taken[r["lang"]] += 1
-        if taken[r["lang"]] <= per_language:
-            rows.append((r["text"], r["lang"]))
-    return fit(rows)
+    chosen = usable.where(F.pmod("rank", F.lit(1 << 30)) < share[F.col("lang")])
+    least = Window.partitionBy("lang").orderBy("rank", "text")
+    rows = chosen.withColumn("place", F.row_number().over(least)).where(F.col("place") <= per_language).orderBy("lang", "place").collect()
+    return fit([(r["text"], r["lang"]) for r in rows])
 
 
 def predictor(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -286,10 +287,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(predictor(model), StructType([*kept.fields]).add("lang_pred", StringType()).add("score", DoubleType()))
 
 
+def held_out(docs: DataFrame) -> Column:
+    """crc32(doc_id as text) mod 4 is 2; false without an id."""
+    return F.coalesce(with_checksum(docs, 4) == 2, F.lit(False))
+
+
 def spoken_only(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """Documents with a recognised language; those without a letter or with a near-uniform prediction go."""
     columns = docs.columns
-    labelled = docs.where(with_checksum(docs, 4) != 2).select("doc_id", "text", "lang")
+    labelled = docs.where(~held_out(docs)).select("doc_id", "text", "lang")
     names = {c: f"_{i}" for i, c in enumerate(columns) if c in ("lang_pred", "score")}
     found = identify(docs.withColumnsRenamed(names), train(labelled))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).drop("lang_pred", "score")
@@ -298,9 +304,8 @@ def spoken_only(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
 
 def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = with_checksum(docs, 4) == 2
-    model = train(docs.where(~held_out).select("doc_id", "text", "lang"))
-    return identify(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+    model = train(docs.where(~held_out(docs)).select("doc_id", "text", "lang"))
+    return identify(docs.select("doc_id", "text", held_out(docs).alias("held_out")), model).drop("text")
 
 
 QUERIES = {"op7_language_crf": op7_language_crf}
