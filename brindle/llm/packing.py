@@ -6,9 +6,9 @@ run one after another: for target proportions fixed in advance, the state of the
 a closed form (`Schedule.cuts`).  So any task places any document from three numbers (its queue, its offset there, its
 length), and deficits carry across windows and across partitions without any partition waiting for another.
 
-Queues are emptied completely.  Without weights the targets are the sources' shares of all tokens, so that all queues run
-dry together and every window has the mixture of the corpus; with weights, a queue that runs dry gives its share to the
-others in proportion.  Windows are filled to the last token, so only the last one is padded.
+Queues are emptied completely.  At temperature 1 the targets are the sources' shares of all tokens, so that all queues run
+dry together and every window has the mixture of the corpus; otherwise a queue that runs dry gives its share to the others in
+proportion.  The query's targets are tempered by 0.7, which gives small sources more of the early windows.  Windows are filled to the last token, so only the last one is padded.
 
 Defined results: null text counts as empty and gives the one end token; a null source is a queue of its own; repeated rows
 are packed each; an empty table gives an empty result; extra columns are ignored; texts are never truncated.
@@ -246,30 +246,35 @@ def cutter(names: list[str], schedule: Schedule, with_ids: bool, rows_at_once: i
     return cut
 
 
-def pack_documents(docs: DataFrame, queue: str = "source", length: int = 1024, weights: dict[str, float] | None = None, tokenizer: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, queue: str = "source", length: int = 1024, weights: dict[str | None, float] | None = None, temperature: float = 1.0, tokenizer: str = "byte_bpe_50k", with_ids: bool = False) -> DataFrame:
     """Pieces of all documents in sequences of `length` tokens; `ids` holds little-endian 32-bit ids if asked for.
 
+    Target proportions are `weights` by source, or else the sources' tokens to the power `temperature`.
     More than `length` queues are placed by `ManyQueues`: the same order, in time that grows with windows times queues.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(queue).cast("string"), F.lit("\0none")).alias("queue"), F.col("text").alias("text"))
+    name = F.coalesce(F.concat(F.lit("="), F.col(queue).cast("string")), F.lit(""))  # a null source stays apart from any name
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), name.alias("queue"), F.col("text").alias("text"))
     staged = stage(rows.mapInArrow(encoder_of(tokenizer), STAGED), "packing-ids")
     chunks = staged.groupBy("queue", "chunk").agg(F.sum("doc_tokens").alias("tokens"))
     ahead = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     places = stage(chunks.select("queue", "chunk", "tokens", F.coalesce(F.sum("tokens").over(ahead), F.lit(0)).alias("base")), "packing-places")
     totals = {r["queue"]: r["tokens"] for r in places.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect()}
     names = sorted(totals)
-    share = None if weights is None else [float(weights.get(x, 0.0)) for x in names]
+    if weights is not None:
+        share = [float(weights.get(x[1:] or None, 0.0)) for x in names]
+    else:
+        share = None if temperature == 1 else [float(totals[x]) ** temperature for x in names]
     schedule = (Schedule if len(names) <= length else ManyQueues)([totals[x] for x in names], share, length)
     base = places.select("queue", "chunk", "base")
     if places.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)
     placed = staged.join(base, ["queue", "chunk"]).select("doc_id", "queue", "doc_tokens", (F.col("base") + F.col("before")).alias("place"), "ids")
     out = placed.mapInArrow(cutter(names, schedule, with_ids), PIECES)
-    return out.withColumn("queue", F.when(F.col("queue") != "\0none", F.col("queue")))
+    return out.withColumn("queue", F.when(F.col("queue") != "", F.substring("queue", 2, 1 << 30)))
 
 
 def op4_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents")).withColumnRenamed("queue", "source").drop("ids")
+    return pack_documents(table(spark, sf_dir, "documents"), temperature=0.7).withColumnRenamed("queue", "source").drop("ids")
 
 
 QUERIES = {"op4_mixture_packing": op4_mixture_packing}
