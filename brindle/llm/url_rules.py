@@ -16,7 +16,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import stage, table
+from brindle.llm.shared import partitions, stage, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Mined rules up to this many are sent to every task; more are matched by a shuffled join.
@@ -106,6 +106,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     parsed = stage(parsed.select("rid", "page_id", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("label"), "tokens"), "urls")
     labelled = parsed.where(F.col("label").isNotNull() & (F.size("tokens") > 0)).select("tokens", "label")
     index = stage(index_rules(mine(labelled, support, confidence), labelled), "url-rules")
+    parsed = parsed.repartition(partitions(pages.sparkSession), "rid")  # few files hold many URLs; both joins use this dealing
     mined = judge(parsed.where(F.col("label").isNull()), index)
     out = parsed.join(mined, "rid", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("label", "mined", F.lit("allow")).alias("verdict"), "confidence")
