@@ -163,6 +163,40 @@ def test_small_ranges_and_damaged_members(spark, tmp_path):
         f.write(b"\xff\x00\xff")
     damaged = [m for p in ranges for b in reader.read(p) for m in b.to_pylist()]
     assert [bool(m["error"]) for m in damaged].count(True) == 1 and len(damaged) == 20
+    data = members[4]["data"]
+    with open(archive, "r+b") as f:
+        f.seek(members[4]["offset"] + 512)
+        f.write(data)
+        f.seek(members[7]["offset"] + 512 + 8)  # the length field of the first chunk
+        f.write(b"\xff\xff\xff\xff")
+        f.seek(members[9]["offset"] + 512 + 12)  # its type
+        f.write(b"\x00")
+        f.seek(members[11]["offset"] + 120)  # size and checksum of a header
+        f.write(b"zz")
+    for reader in (reader, media.ArchiveReader({"path": folder, "retries": "1"})):
+        found = [m for p in reader.partitions() for b in reader.read(p) for m in b.to_pylist()]
+        assert sorted(m["offset"] for m in found if m["error"]) == [members[k]["offset"] for k in (7, 9, 11)] and len(found) == 20
+        assert [m["name"] for m in found if m["error"]][2] is None
+    rows = media.read_archives(spark, folder).mapInArrow(media.digest, media.DIGEST).collect()
+    assert sum(r["error"] is not None for r in rows) == 3 and len(rows) == 20
+
+
+def test_any_damage_of_an_image_is_a_value_error():
+    image = media.to_png(media.padded(b"some text" * 20), 180)
+    rng = np.random.default_rng(1)
+    for at in range(len(image)):
+        other = image[:at] + bytes([image[at] ^ int(rng.integers(1, 256))]) + image[at + 1 :]
+        with pytest.raises(ValueError):
+            media.from_png(other)
+        with pytest.raises(ValueError):
+            media.from_png(image[:at])
+
+
+def test_feature_of_an_image():
+    payload = bytes(range(64)) * 16
+    grid = [[np.mean(range(8 * c, 8 * c + 8)) for c in range(8)]] * 8
+    bits = "".join("1" if grid[r][c] > np.mean(grid) else "0" for r in range(8) for c in range(8))
+    assert media.feature(payload) == f"{int(bits, 2):016x}-{int(31.5 * 1000)}-64"
 
 
 def speech(n: int = 240) -> list[tuple]:
@@ -191,6 +225,18 @@ def test_language_accuracy_and_edge_cases(spark):
     assert {r["lang_pred"] for r in language.identify(docs, none).collect()} == {"und"}
 
 
+def test_long_runs_are_read_whole_and_the_sample_is_fixed(spark):
+    assert language.words_of("a" * 70 + " b") == ["a" * 32, "a" * 32, "a" * 6, "b"]
+    rows = [(7, "the thing with that", "en")] * 300 + [(i, t * 40, lang) for i, t, lang in speech(90)] + [(5000, "ich nicht " * 20_000, "de")]
+    frame_of = lambda parts: spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+    one, other = (language.train(frame_of(parts), per_language=20) for parts in (1, 5))
+    assert one.languages == ["de", "en", "fr"] and (one.weights == other.weights).all()
+    only_long = language.train(spark.createDataFrame([(1, "ich nicht " * 20_000, "de"), (2, "the thing " * 20_000, "en")], "doc_id long, text string, lang string"))
+    assert only_long.languages == ["de", "en"]
+    docs = spark.createDataFrame([(None, "a"), (3, "b")], "doc_id long, text string")
+    assert {r[0] for r in docs.select(language.held_out(docs)).collect()} <= {True, False}
+
+
 def test_forward_backward_matches_enumeration():
     import itertools
 
@@ -236,6 +282,37 @@ def test_many_queues_keep_the_order_of_few(weights):
     assert (few.cuts(windows) == many.cuts(windows)).all()
 
 
+@pytest.mark.parametrize("weights", [None, [5, 1, 2, 1]])
+def test_closed_form_follows_a_scheduler_that_goes_window_by_window(weights):
+    totals, length = [4000, 900, 2600, 45], 64
+    cuts = packing.Schedule(totals, weights, length).cuts(np.arange(sum(totals) // length + 2))
+    target = np.array(totals if weights is None else weights, float)
+    left, deficit = np.array(totals, float), np.zeros(len(totals))
+    for window, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        room, share = min(length, int(left.sum())), np.zeros(len(totals))
+        while room - share.sum() > 1e-9:  # a queue that runs dry gives its share to the others
+            active = np.where(left - deficit - share > 1e-9, target, 0)
+            if not active.any():
+                break
+            rest = room - share.sum()
+            share += np.minimum(rest * active / active.sum(), np.maximum(left - deficit - share, 0))
+        deficit += share
+        take = np.minimum(np.floor(deficit + 1e-9), left)
+        for q in np.argsort(take - deficit, kind="stable"):
+            if take.sum() < room and take[q] < left[q]:
+                take[q] += 1
+        deficit -= take
+        left -= take
+        assert abs((b - a).sum() - room) == 0 and np.abs(b - (np.array(totals) - left)).max() <= 2, window
+    assert (cuts[-1] == totals).all()
+
+
+def test_null_and_odd_sources_stay_apart(spark):
+    rows = [(i, "a b c", "en", q, 0, "", "", "", "", "") for i, q in enumerate([None, "", "=", "\0none", "s", None])]
+    got = packing.pack_documents(frame(spark, rows), temperature=0.7).collect()
+    assert {(p["doc_id"], p["queue"]) for p in got} == {(r[0], r[3]) for r in rows}
+
+
 def test_more_queues_than_a_window_has_tokens(spark):
     rows = [(i, "word " * (1 + i % 7), "en", f"s{i if i % 3 else 0}", 0, "", "", "", "", "") for i in range(90)]
     got = packing.pack_documents(frame(spark, rows), length=16, with_ids=True).collect()
