@@ -3,12 +3,13 @@
 A document is the set of its distinct word n-grams; two link when their Jaccard similarity reaches `percent` / 100.
 
 1. Equal sets are collapsed: every block asks for the least document with each of its set fingerprints.
-2. Shingles get one order for all: by how rare their rarest word is in the corpus, then by hash.  Two linked sets share one
-   of the first n - ceil(t n) + 1 shingles of each (the shortest inverted lists), so only these lists have to meet.  A
-   block joins its own documents of a list, and sends one document of each size class to the list's bucket.
-3. Documents that share a list, directly or over others, are a family; all links lie inside families.  Passages that many
-   documents share glue families of documents that do not link, so families beyond one task's piece are formed once more, with
-   shingles ordered by how many documents of these families have them: what many share then comes last in the order.
+2. Shingles get one order for all: by how many documents share their cell of a counting sketch, then by hash.  Blocks ask for
+   the counts of their cells; a count is never too small, so a shingle whose cell was counted once is in no other set.
+3. Two linked sets share one of the first n - ceil(t n) + 1 shingles of each (the shortest inverted lists), so only these
+   lists have to meet, and of these only the shingles that are not surely alone.  A block joins its own documents of a list,
+   and sends one document of each size class to the list's bucket.  Documents that share a list, directly or over others, are
+   a family; all links lie inside families.  Texts and passages that many documents share come last in the order, so they
+   seldom glue documents that do not link.
 4. The sets of a family meet in one task, which answers queries by T-occurrence search over the inverted lists of its
    documents, as DivideSkip does it: the longest lists are set aside, a heap merges the short ones and skips what cannot reach
    the required overlap, what still can is looked up in the long lists by binary search, and exact Jaccard similarity decides.
@@ -26,7 +27,6 @@ than any; an empty table gives an empty result; extra columns are ignored; texts
 from __future__ import annotations
 
 import heapq
-import json
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -36,69 +36,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.blocks import ASKED, BLOCKS, Block, ask, asked_rows, make_blocks, n_buckets, signed, with_answers
+from brindle.llm.blocks import BLOCKS, Block, ask, asked_rows, make_blocks, n_buckets, signed, with_answers
 from brindle.llm.shared import expand, mix, pack, pack_sorted, small, squeeze, stage, table, unpack, unpack_sorted
 from brindle.operators.graph import connected_components, discard
 
-WORD, SET, PREFIX, STAR = 0, 1, 2, 3
+CELL, SET, PREFIX, STAR = 0, 1, 2, 3
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles (8 bytes each, a few copies) and documents of a family that one task searches; larger ones are dealt over several.
-PIECE, FEW = 1_500_000, 256
+PIECE, FEW = 1_500_000, 128
 #: Documents that query first inside a task, and those of a large family that meet all of its pieces.
-PIVOTS, LEADERS = 3, 24
+PIVOTS, LEADERS = 3, 16
 #: The cost of a probe against that of a merged entry, in the rule for the number of long lists.
 SKIP_COST = 0.01
 #: Shingles take more room than words, so blocks are smaller here.
 BLOCK_BYTES = 5 << 20
-ASKED_SCHEMA = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())])
+ACTIVE_SCHEMA = pa.schema(
+    [
+        ("block", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("vocabulary", pa.binary()),
+        ("all_ids", pa.list_(pa.int64())), ("all_n", pa.list_(pa.int64())), ("all_first", pa.list_(pa.int64())),
+        ("sent", pa.list_(pa.struct([("bucket", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary()), ("extra", pa.binary())]))),
+    ]
+)
 #: Stands for a null id.
 NULL_ID = (1 << 63) - 1
 LISTED = "block long, doc long, first long"
-ACTIVE = f"{BLOCKS}, all_ids array<long>, all_n array<long>, all_first array<long>"
+ACTIVE = f"{BLOCKS}, all_ids array<long>, all_n array<long>, all_first array<long>, sent array<struct<bucket:int,block:long,kind:int,keys:binary,extra:binary>>"
 SENT = "target long, family long, doc long, asks boolean, listed boolean, shingles binary"
 LINKS = "a long, b long"
 
 
 class Shingles:
-    """Distinct shingle hashes of each document of a block, document by document, in hash order; with word ranks if given."""
+    """Distinct shingle hashes of each document of a block, document by document, in hash order."""
 
-    def __init__(self, block: Block, n: int, rank: np.ndarray | None = None):
+    def __init__(self, block: Block, n: int):
         words = mix(block.hashes()[0])
         sizes, starts = block.sizes, block.starts
         whole = np.maximum(sizes - n + 1, 0)
         doc = np.repeat(np.arange(len(sizes)), whole)
         at = np.arange(len(doc)) - np.repeat(np.cumsum(whole) - whole, whole) + starts[doc]
-        parts = [(doc, self.hashed(words, block.tokens, at, n), self.rarest(rank, block.tokens, at, n))]
-        for length in range(1, n):
-            short = np.flatnonzero(sizes == length)
-            parts.append((short, self.hashed(words, block.tokens, starts[short], length), self.rarest(rank, block.tokens, starts[short], length)))
+        every = self.hashed(words, block.tokens, at, n)
         # Documents one by one: their sorts are small, and together far cheaper than one of the whole block.
         ends = np.cumsum(whole)
         keys: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(sizes)
-        rarities: list[np.ndarray] = [np.zeros(0, np.uint8)] * len(sizes)
         for i, (a, b) in enumerate(zip((ends - whole).tolist(), ends.tolist(), strict=True)):
             if b > a:
-                own = parts[0][1][a:b]
-                order = own.argsort()
-                own = own[order]
+                own = np.sort(every[a:b])
                 fresh = np.empty(b - a, bool)
                 fresh[0] = True
                 np.not_equal(own[1:], own[:-1], out=fresh[1:])
                 keys[i] = own[fresh]
-                if rank is not None:
-                    rarities[i] = parts[0][2][a:b][order][fresh]
-        for short, key, rarity in parts[1:]:
-            for j, i in enumerate(short.tolist()):
-                keys[i], rarities[i] = key[j : j + 1], rarity[j : j + 1]
+        for length in range(1, n):
+            short = np.flatnonzero(sizes == length)
+            for i, key in zip(short.tolist(), self.hashed(words, block.tokens, starts[short], length), strict=True):
+                keys[i] = np.array([key], np.uint64)
         self.count = np.array([len(k) for k in keys], np.int64)
         self.key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        self.rarity = np.concatenate(rarities) if rank is not None and rarities else np.zeros(len(self.key), np.uint8)
         self.begin = np.cumsum(self.count) - self.count
 
-    @property
-    def doc(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self.count)), self.count)
-
     @staticmethod
     def hashed(words: np.ndarray, tokens: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
         value = np.full(len(at), n, np.uint64)
@@ -106,15 +100,6 @@ class Shingles:
             value = value * BASE + words[tokens[at + k]]
         return mix(value)
 
-    @staticmethod
-    def rarest(rank: np.ndarray | None, tokens: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-        if rank is None or not len(at):
-            return np.zeros(len(at), np.uint8)
-        least = rank[tokens[at]]
-        for k in range(1, n):
-            least = np.minimum(least, rank[tokens[at + k]])
-        return least
-
     def of(self, doc: int) -> np.ndarray:
         return self.key[self.begin[doc] : self.begin[doc] + self.count[doc]]
 
@@ -141,28 +126,48 @@ def sets_of(block: Block, shingles: Shingles) -> tuple[np.ndarray, np.ndarray, n
     return a[order][start], b[order][start], np.minimum.reduceat(own, start) if len(start) else own, number
 
 
-def first_questions(n: int):
+def sketch_bits(n_words: int) -> int:
+    """Two to four cells a word: most shingles that occur once have a cell of their own."""
+    return min(60, max(10, int(2 * n_words).bit_length()))
+
+
+class Sketch:
+    """Cells of the shingles of a block's different sets; equal sets of a block count once."""
+
+    def __init__(self, shingles: Shingles, number: np.ndarray, bits: int):
+        full = np.flatnonzero(number >= 0)
+        self.sets = np.sort(full[np.unique(number[full], return_index=True)[1]])
+        self.shift = np.uint64(64 - bits)
+        counted = np.zeros(len(number), bool)
+        counted[self.sets] = True
+        self.mask = np.repeat(counted, shingles.count)
+        self.cells, self.where, self.counts = np.unique(shingles.key[self.mask] >> self.shift, return_inverse=True, return_counts=True)
+
+
+def first_questions(n: int, bits: int):
     def questions(block: Block):
-        keys, where = np.unique(mix(block.hashes()[0]), return_inverse=True)
-        uses = np.bincount(where[block.tokens], minlength=len(keys)).astype(np.uint64)
-        a, b, least, _ = sets_of(block, Shingles(block, n))
+        shingles = Shingles(block, n)
+        a, b, least, number = sets_of(block, shingles)
+        sketch = Sketch(shingles, number, bits)
+        counts = np.minimum(sketch.counts, 255).astype(np.uint8)
 
         def packed_set(i: int, j: int) -> tuple[bytes, bytes]:
             second = pack(b[i:j])
             return pack_sorted(a[i:j]), len(second).to_bytes(8, "little") + second + pack(least[i:j])
 
-        return [(WORD, keys, lambda i, j: (pack_sorted(keys[i:j]), pack(uses[i:j]))), (SET, a, packed_set)]
+        return [(CELL, sketch.cells << sketch.shift, lambda i, j: (pack_sorted(sketch.cells[i:j]), squeeze(counts[i:j]))), (SET, a, packed_set)]
 
     return questions
 
 
 def merge_first(kind: int, keys: list[bytes], extras: list[bytes]) -> list[bytes]:
-    """Words: how often the corpus uses them, by powers of two.  Sets: the least document that has each."""
+    """Cells: in how many sets their shingles are, by quarters of a power of two (0: once).  Sets: the least document that has each."""
     parts = [unpack_sorted(k) for k in keys]
     ends = np.cumsum([len(p) for p in parts])[:-1]
-    if kind == WORD:
+    if kind == CELL:
         distinct, where = np.unique(np.concatenate(parts), return_inverse=True)
-        total = np.bincount(where, weights=np.concatenate([unpack(e) for e in extras]).astype(float), minlength=len(distinct))
+        counts = np.frombuffer(b"".join(expand(e) for e in extras), np.uint8)
+        total = np.bincount(where, weights=counts.astype(float), minlength=len(distinct))
         rank = (4 * np.log2(np.maximum(total, 1))).astype(np.uint8)
         return [squeeze(x) for x in np.split(rank[where], ends)]
     n = [int.from_bytes(e[:8], "little") for e in extras]
@@ -178,32 +183,41 @@ def merge_first(kind: int, keys: list[bytes], extras: list[bytes]) -> list[bytes
 
 
 class Ranked:
-    """A block's shingles with corpus-wide word ranks, its sets' least documents, and the documents that stand for their set."""
+    """A block's shingles with their ranks, its sets' least documents, and the documents that stand for their set."""
 
-    def __init__(self, block: Block, given: dict[int, list[bytes]], n: int):
-        keys, where = np.unique(mix(block.hashes()[0]), return_inverse=True)
-        ranks = np.frombuffer(b"".join(expand(a) for a in given.get(WORD, [])), np.uint8)
-        self.shingles = Shingles(block, n, ranks[where])
+    def __init__(self, block: Block, given: dict[int, list[bytes]], n: int, bits: int):
+        self.shingles = Shingles(block, n)
         _, _, least, number = sets_of(block, self.shingles)
+        sketch = Sketch(self.shingles, number, bits)
+        self.rarity = np.zeros(len(self.shingles.key), np.uint8)
+        self.rarity[sketch.mask] = np.frombuffer(b"".join(expand(a) for a in given.get(CELL, [])), np.uint8)[sketch.where]
         first = np.concatenate([unpack(a) for a in given.get(SET, [])]) if len(least) else least
         self.own = block.order_keys()
         self.first = np.where(number >= 0, first[number] if len(first) else self.own, self.own)
-        stands = np.flatnonzero((number >= 0) & (self.first == self.own))
-        _, pick = np.unique(number[stands], return_index=True)  # repeated rows stand once
-        self.stands = stands[np.sort(pick)]
-
-
-def prefixes(s: Shingles, stands: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(document, shingle) of the rarest shingles of the documents that stand for their set."""
-    docs, keys = [], [np.zeros(0, np.uint64)]
-    for doc in stands.tolist():
-        a, n = int(s.begin[doc]), int(s.count[doc])
-        chosen = n - (percent * n + 99) // 100 + 1
-        # Keys are in hash order, so the stable sort by (rarity, leading hash bits) is the order by (rarity, hash).
-        order = ((s.rarity[a : a + n].astype(np.uint64) << np.uint64(56)) | (s.key[a : a + n] >> np.uint64(8))).argsort(kind="stable")[:chosen]
-        keys.append(s.key[a : a + n][order])
-        docs.append(doc)
-    return np.repeat(np.array(docs, np.int64), [len(k) for k in keys[1:]]), np.concatenate(keys)
+        # Of equal sets of a block the one that was counted stands, if its document is the least of all.
+        known = {int(number[i]): i for i in sketch.sets.tolist()}
+        stands = {int(number[i]): i for i in np.flatnonzero((number >= 0) & (self.first == self.own)).tolist()[::-1]}
+        self.stands = np.array(sorted(stands.values()), np.int64)
+        self.counted = np.array([known[int(number[i])] for i in self.stands.tolist()], np.int64)
+
+    def prefixes(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document, shingle) of the rarest shingles of the documents that stand for their set, without those that are alone."""
+        s = self.shingles
+        docs, keys = [], [np.zeros(0, np.uint64)]
+        for doc, same in zip(self.stands.tolist(), self.counted.tolist(), strict=True):
+            a, n = int(s.begin[same]), int(s.count[same])
+            chosen = n - (percent * n + 99) // 100 + 1
+            rarity, key = self.rarity[a : a + n], s.key[a : a + n]
+            shared = np.flatnonzero(rarity)
+            places = chosen - (n - len(shared))
+            if places <= 0:
+                continue
+            if places < len(shared):
+                # Keys are in hash order, so the stable sort by rank is the order by (rank, hash).
+                shared = shared[rarity[shared].argsort(kind="stable")[:places]]
+            keys.append(key[shared])
+            docs.append(doc)
+        return np.repeat(np.array(docs, np.int64), [len(k) for k in keys[1:]]), np.concatenate(keys)
 
 
 def size_class(count: np.ndarray, percent: int) -> np.ndarray:
@@ -223,11 +237,9 @@ def stars(key: np.ndarray, kind: np.ndarray, doc: np.ndarray) -> tuple[np.ndarra
     return shared, least[shared]
 
 
-def list_rows(block: Block, shingles: Shingles, stands: np.ndarray, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
+def list_rows(block: Block, ranked: Ranked, place: np.ndarray, key: np.ndarray, percent: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """What a block sends to the inverted lists of its prefixes: stars of its own documents, and one of each size class."""
-    own = block.order_keys()
-    place, key = prefixes(shingles, stands, percent)
-    doc, kind = own[place], size_class(shingles.count, percent)[place]
+    doc, kind = ranked.own[place], size_class(ranked.shingles.count, percent)[place]
     order = np.lexsort((doc, kind, key))
     key, kind, doc = key[order], kind[order], doc[order]
     shared, least = stars(key, kind, doc)
@@ -247,36 +259,6 @@ def list_rows(block: Block, shingles: Shingles, stands: np.ndarray, percent: int
         yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["bucket", "block", "kind", "keys", "extra"])
 
 
-def prefix_rows(n: int, percent: int, buckets: int):
-    def rows(block: Block, given: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        ranked = Ranked(block, given, n)
-        return list_rows(block, ranked.shingles, ranked.stands, percent, buckets)
-
-    return rows
-
-
-def shingle_uses(n: int):
-    """How many documents of the block have each of its shingles."""
-
-    def questions(block: Block):
-        keys, uses = np.unique(Shingles(block, n).key, return_counts=True)
-        return [(WORD, keys, lambda i, j: (pack_sorted(keys[i:j]), pack(uses[i:j].astype(np.uint64))))]
-
-    return questions
-
-
-def regrouped_rows(n: int, percent: int, buckets: int):
-    """As `prefix_rows`, with shingles ordered by how many documents have them."""
-
-    def rows(block: Block, given: dict[int, list[bytes]]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(block, n)
-        ranks = np.frombuffer(b"".join(expand(a) for a in given.get(WORD, [])), np.uint8)
-        shingles.rarity = ranks[np.unique(shingles.key, return_inverse=True)[1]]
-        return list_rows(block, shingles, np.arange(len(block.sizes)), percent, buckets)
-
-    return rows
-
-
 def meet_lists(rows: pa.Table) -> pa.Table:
     """Inverted lists of a bucket as stars: (block, document, least document of its run of size classes)."""
     found = []
@@ -525,15 +507,6 @@ def narrowed(block: Block, keep: np.ndarray) -> dict:
     return {"block": block.block, "n_tokens": len(tokens), "doc_ids": [block.doc_ids[i] for i in keep.tolist()], "sizes": block.sizes[keep].tolist(), "tokens": pack(renumbered.astype(np.uint32)), "vocabulary": squeeze(b" ".join([words[i] for i in used.tolist()]))}
 
 
-def one_row(row: dict, schema: pa.Schema) -> pa.Table:
-    return pa.Table.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
-
-
-def wanted(rows: DataFrame) -> DataFrame:
-    """The documents asked for of each block (block, doc), in the form of answers."""
-    return rows.groupBy("block").agg(F.collect_set("doc").alias("docs")).select("block", F.lit(0).alias("bucket"), F.lit(-1).alias("kind"), F.to_json("docs").cast("binary").alias("answer"))
-
-
 def in_pieces(homes: DataFrame, numbers: DataFrame) -> DataFrame:
     """Rows (block, doc, family) with the size of their family and the pieces it is dealt in."""
     members = homes.select("doc", "family").distinct().join(numbers, F.col("doc") == F.col("node"))
@@ -551,27 +524,6 @@ def families_of(lists: DataFrame) -> DataFrame:
     return found
 
 
-def regrouped(sets: DataFrame, large: DataFrame, n: int, percent: int) -> DataFrame:
-    """Families of documents of large families, by lists of the shingles that fewest of these documents have."""
-    buckets = n_buckets(sets)
-    fields = {"block": pa.int64(), "n_tokens": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.list_(pa.int64()), "tokens": pa.binary(), "vocabulary": pa.binary()}
-    schema = pa.schema(list(fields.items()))
-
-    def only(block: Block, given: dict[int, list[bytes]]) -> pa.Table:
-        if -1 not in given:
-            return schema.empty_table()
-        keep = np.flatnonzero(np.isin(signed(block.order_keys()), np.array(json.loads(given[-1][0]), np.int64)))
-        return one_row(narrowed(block, keep), schema)
-
-    own = stage(with_answers(sets, wanted(large), only, BLOCKS, schema), "join-large", "uncompressed")
-    uses = stage(ask(own, shingle_uses(n), merge_first), "join-uses", "uncompressed")
-    asked = with_answers(own, uses, regrouped_rows(n, percent, buckets), ASKED, ASKED_SCHEMA)
-    lists = stage(asked.groupBy("bucket").applyInArrow(meet_lists, LISTED), "join-lists")
-    found = families_of(lists)
-    discard(own, uses, lists)
-    return found
-
-
 def same_ids(rows: DataFrame) -> DataFrame:
     """Edges that tie the sets of rows with one id together; rows (own, first)."""
     several = rows.groupBy("own").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("own")
@@ -582,32 +534,27 @@ def join_documents(docs: DataFrame, n: int = 4, percent: int = 85) -> tuple[Data
     """(one row per document: doc_id, n_shingles, first_id, component_id; links: a, b between least documents of sets)."""
     blocks = make_blocks(docs, lower=True, block_bytes=BLOCK_BYTES)
     buckets = n_buckets(blocks)
-    first = stage(ask(blocks, first_questions(n), merge_first), "join-first", "uncompressed")
-    asked = with_answers(blocks, first, prefix_rows(n, percent, buckets), ASKED, ASKED_SCHEMA)
-    lists = stage(asked.groupBy("bucket").applyInArrow(meet_lists, LISTED), "join-lists")
-
-    active_schema = pa.schema([("block", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("tokens", pa.binary()), ("vocabulary", pa.binary()), ("all_ids", pa.list_(pa.int64())), ("all_n", pa.list_(pa.int64())), ("all_first", pa.list_(pa.int64()))])
+    bits = sketch_bits(blocks.agg(F.sum("n_tokens")).first()[0] or 0)
+    first = stage(ask(blocks, first_questions(n, bits), merge_first), "join-first", "uncompressed")
 
     def reduce(block: Block, given: dict[int, list[bytes]]) -> pa.Table:
-        """The block with only the documents that are in some list with others, and what is known of all its documents."""
-        ranked = Ranked(block, given, n)
-        asked_for = np.array(json.loads(given[-1][0]) if -1 in given else [], np.int64)
-        keep = ranked.stands[np.isin(signed(ranked.own)[ranked.stands], asked_for)]
-        known = {"all_ids": block.doc_ids, "all_n": ranked.shingles.count.tolist(), "all_first": signed(ranked.first).tolist()}
-        return one_row(narrowed(block, keep) | known, active_schema)
-
-    reduced = stage(with_answers(blocks, first.unionByName(wanted(lists)), reduce, ACTIVE, active_schema), "join-active", "uncompressed")
+        """The block with only the documents that send to some list, what they send, and what is known of all its documents."""
+        ranked = Ranked(block, given, n, bits)
+        place, key = ranked.prefixes(percent)
+        sent = [r for batch in list_rows(block, ranked, place, key, percent, buckets) for r in batch.to_pylist()]
+        known = {"all_ids": block.doc_ids, "all_n": ranked.shingles.count.tolist(), "all_first": signed(ranked.first).tolist(), "sent": sent}
+        row = narrowed(block, np.unique(place)) | known
+        return pa.Table.from_arrays([pa.array([row[f.name]], f.type) for f in ACTIVE_SCHEMA], schema=ACTIVE_SCHEMA)
+
+    reduced = stage(with_answers(blocks, first, reduce, ACTIVE, ACTIVE_SCHEMA), "join-active", "uncompressed")
     discard(blocks, first)
     sets = reduced.select("block", "n_tokens", "doc_ids", "sizes", "tokens", "vocabulary").where("n_tokens > 0")
     numbers = reduced.select(F.explode(F.arrays_zip("all_first", "all_n")).alias("d")).groupBy(F.col("d.all_first").alias("node")).agg(F.max("d.all_n").alias("n"))
 
+    lists = stage(reduced.select(F.inline("sent")).groupBy("bucket").applyInArrow(meet_lists, LISTED), "join-lists")
     homes = in_pieces(families_of(lists), numbers)
     discard(lists)
     large = homes.where("pieces > 1")
-    if large.limit(1).count():
-        again = in_pieces(regrouped(sets, large, n, percent), numbers)
-        homes = homes.where("pieces = 1").unionByName(again)
-        large = again.where("pieces > 1")
     links = stage(search_families(send_sets(sets, first_requests(homes, buckets), n), percent), "join-links")
     if large.limit(1).count():
         classes = stage(connected_components(links), "join-classes")
