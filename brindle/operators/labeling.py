@@ -6,10 +6,13 @@ one bad row does not fail a job.
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from brindle.functions import text as T
 
@@ -332,7 +335,7 @@ def batch_results(sent: DataFrame, lines: DataFrame) -> DataFrame:
 def pending_predictions(listings: DataFrame, model_version: str) -> DataFrame:
     """Listings with text whose places are missing, from another model, or from another text."""
     stale = F.col("pois").isNull() | ~F.col("poi_model_version").eqNullSafe(F.lit(model_version)) | ~F.col("poi_description_sha256").eqNullSafe(T.exact_hash(F.col("description")))
-    return listings.where((F.trim(F.coalesce("description", F.lit(""))) != "") & stale)
+    return listings.where((T.squeezed(F.col("description")) != "") & stale)
 
 
 def save_predictions(listings: DataFrame, predictions: DataFrame, model_version: str) -> DataFrame:
@@ -353,18 +356,10 @@ def export_faults(tasks: DataFrame) -> DataFrame:
 
 def fingerprint(value: object) -> str:
     """SHA-256 of canonical JSON (sorted keys, no NaN), for driver-side values."""
-    import hashlib
-
     return hashlib.sha256(json.dumps(value, sort_keys=True, ensure_ascii=False, allow_nan=False).encode()).hexdigest()
 
 
-def fingerprints(value: Column) -> Column:
+@F.pandas_udf(StringType())
+def fingerprints(texts: pd.Series) -> pd.Series:
     """The same for JSON texts of a column: canonical form needs sorted keys, which to_json does not give."""
-    import pandas as pd
-    from pyspark.sql.types import StringType
-
-    @F.pandas_udf(StringType())
-    def hashed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else fingerprint(json.loads(t)))
-
-    return hashed(value)
+    return texts.map(lambda t: None if t is None else fingerprint(json.loads(t)))
