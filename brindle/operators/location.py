@@ -255,6 +255,11 @@ def map_feed(assignments: DataFrame, listings: DataFrame, units: DataFrame, rele
     return fresh.select("listing_id", "title", T.safe_link(F.col("url")).alias("url"), "planning_unit_id", "confidence", "basis", "evidence", "resolver_version", F.lit("unit_only").alias("location_precision"), F.col("price_amount").cast("string").alias("price"), F.col("price_currency").alias("currency"))
 
 
+def map_counts(assignments: DataFrame, feed: DataFrame) -> DataFrame:
+    """One row: ads on the map, and assignments that are not shown."""
+    return feed.agg(F.count("*").alias("ads")).crossJoin(F.broadcast(assignments.agg(F.count("*").alias("n")))).select("ads", (F.col("n") - F.col("ads")).alias("excluded"))
+
+
 def current_resolutions(resolutions: DataFrame, snapshots: DataFrame, reviews: DataFrame) -> DataFrame:
     """The newest resolution per listing whose snapshot is still current, with its last review.
 
