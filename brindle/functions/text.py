@@ -109,9 +109,11 @@ def clean_description(text: Column, compose: bool = True) -> Column:
     out = F.translate(F.regexp_replace(out, "\r\n?", "\n"), " ", " ")
     for pattern in (URL, EMAIL, PHONE, REFERENCE):
         out = F.regexp_replace(out, pattern, "")
-    lines = F.transform(F.split(out, "\n", -1), lambda x: F.regexp_replace(F.regexp_replace(x, "[ \t]+", " "), r"(?U)^\s+|\s+$", ""))
-    kept = F.filter(lines, lambda x: (x == "") | x.rlike(WORD))
-    return F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), "\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
+    # Line by line, as patterns over the whole text: one space for blanks, no blanks at the ends, no line without a word.
+    out = F.regexp_replace(out, "[ \t]+", " ")
+    out = F.regexp_replace(out, r"(?dmU)^[\s&&[^\n]]+|[\s&&[^\n]]+$", "")
+    out = F.regexp_replace(out, r"(?dm)^[^\p{L}\p{N}\n]+(?:\n|\z)", "")
+    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"(?U)^\s+|\s+$", "")
 
 
 def place_hint(text: Column) -> Column:

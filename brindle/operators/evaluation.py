@@ -56,7 +56,7 @@ def compare_runs(old: DataFrame, new: DataFrame) -> DataFrame:
     b = confusion(new).select("id", F.col("text").alias("new_text"), identities(F.col("ground_truth")).alias("new_gold"), (F.col("fp") + F.col("fn")).alias("new_errors"))
     joined = a.join(b, "id")
     same = F.col("text").eqNullSafe(F.col("new_text")) & F.col("gold").eqNullSafe(F.col("new_gold"))
-    return joined.select("id", "old_errors", "new_errors", (F.col("new_errors") - F.col("old_errors")).alias("delta"), same.alias("comparable"))
+    return joined.select("id", "old_errors", "new_errors", (F.col("new_errors") - F.col("old_errors")).alias("delta"), same.alias("comparable")).orderBy("delta", "id")
 
 
 def wilson_lower(correct: Column, count: Column, z: float = 1.96) -> Column:
@@ -75,20 +75,27 @@ def acceptance(scored: DataFrame) -> DataFrame:
     return total.select("*", F.when(F.col("accepted") > 0, F.col("correct") / F.col("accepted")).alias("precision"), ratio(F.col("accepted"), F.col("examples")).alias("coverage"), wilson_lower(F.col("correct"), F.col("accepted")).alias("precision_lower"))
 
 
-def bio_spans(tags: DataFrame, key: str, position: str, tag: str) -> DataFrame:
+def bio_spans(tags: DataFrame, key: str, position: str, tag: str, piece: int = 4096) -> DataFrame:
     """Entities (key, start, end, category) from one tag a row; end is exclusive, an orphan I opens an entity.
 
-    A run ends where the next tag is O, a B, or an I of another category.
+    A run ends where the next tag is O, a B, or an I of another category.  A key of any length is cut into pieces of
+    positions; what a piece needs of those before it (their rows, their last tag, the entities they open) is carried forward
+    in a table with one row a piece.
     """
-    by = Window.partitionBy(key).orderBy(position)
     prefix, category = F.substring_index(tag, "-", 1), F.when(F.contains(F.col(tag), F.lit("-")), F.expr(f"substring({tag}, instr({tag}, '-') + 1)")).otherwise("")
-    placed = tags.select(key, F.col(position).alias("_p"), prefix.alias("_prefix"), category.alias("category")).withColumn("_at", F.row_number().over(by.orderBy("_p")) - 1)
-    order = Window.partitionBy(key).orderBy("_at")
-    inside = F.col("_prefix").isin("B", "I")
-    goes_on = (F.col("_prefix") == "I") & (F.lag("category").over(order) == F.col("category")) & F.lag("_prefix").over(order).isin("B", "I")
-    opened = placed.withColumn("_opens", inside & ~F.coalesce(goes_on, F.lit(False))).withColumn("_inside", inside)
-    numbered = opened.withColumn("_run", F.sum(F.col("_opens").cast("int")).over(order)).where("_inside")
-    return numbered.groupBy(key, "_run").agg(F.min("_at").cast("long").alias("start"), (F.max("_at") + 1).cast("long").alias("end"), F.first("category").alias("category")).drop("_run")
+    placed = tags.select(key, F.col(position).alias("_p"), F.floor(F.col(position) / piece).alias("_piece"), F.struct(prefix.alias("prefix"), category.alias("category")).alias("_t"))
+    inside = Window.partitionBy(key, "_piece").orderBy("_p")
+    earlier = Window.partitionBy(key).orderBy("_piece")
+    pieces = placed.groupBy(key, "_piece").agg(F.count("*").alias("_n"), F.max_by("_t", "_p").alias("_end"))
+    heads = pieces.select(key, "_piece", F.coalesce(F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_skip"), F.lag("_end").over(earlier).alias("_before"))
+    each = placed.withColumn("_i", F.row_number().over(inside) - 1).withColumn("_own", F.lag("_t").over(inside)).join(heads, [key, "_piece"])
+    last = F.when(F.col("_i") == 0, F.col("_before")).otherwise(F.col("_own"))
+    within = F.col("_t.prefix").isin("B", "I")
+    goes_on = (F.col("_t.prefix") == "I") & (last["category"] == F.col("_t.category")) & last["prefix"].isin("B", "I")
+    opened = each.select(key, "_piece", "_p", (F.col("_i") + F.col("_skip")).alias("_at"), F.col("_t.category").alias("category"), within.alias("_inside"), (within & ~F.coalesce(goes_on, F.lit(False))).cast("int").alias("_opens"))
+    counts = opened.groupBy(key, "_piece").agg(F.sum("_opens").alias("_c")).select(key, "_piece", F.coalesce(F.sum("_c").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_opened"))
+    numbered = opened.withColumn("_r", F.sum("_opens").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(counts, [key, "_piece"]).where("_inside")
+    return numbered.groupBy(key, (F.col("_r") + F.col("_opened")).alias("_run")).agg(F.min("_at").cast("long").alias("start"), (F.max("_at") + 1).cast("long").alias("end"), F.min("category").alias("category")).drop("_run")
 
 
 def bio_spans_of(tags: Column) -> Column:

@@ -109,11 +109,20 @@ def last_before(rows: DataFrame, key: str, at: str, tie: str, value: Column, nam
 
 
 def streaks(rows: DataFrame, key: str, order: Sequence[str], flag: Column, least: int) -> DataFrame:
-    """Maximal runs of at least `least` consecutive rows with the flag: key, run number, length, first and last position."""
-    by = Window.partitionBy(key).orderBy(*order)
-    placed = rows.select(F.col(key), F.row_number().over(by).alias("_at"), flag.alias("_on"), *[F.col(c) for c in order if c != key])
-    gap = placed.where("_on").withColumn("_island", F.col("_at") - F.row_number().over(Window.partitionBy(key).orderBy("_at")))
-    return gap.groupBy(key, "_island").agg(F.count("*").alias("length"), F.min("_at").cast("long").alias("first_at"), F.max("_at").cast("long").alias("last_at")).where(F.col("length") >= least).drop("_island")
+    """Maximal runs of at least `least` consecutive rows with the flag: key, length, first and last position.
+
+    The first column of `order` is a time.  A key of any size is split by day: counts of days are carried forward in a table
+    with one row a key and day, and only the rows of one day are ordered together.  Rows of one run have the same number of
+    rows without the flag before them.
+    """
+    tagged = rows.select(F.col(key), F.to_date(order[0]).alias("_day"), F.coalesce(flag, F.lit(False)).alias("_on"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    before = Window.partitionBy(key).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = tagged.groupBy(key, "_day").agg(F.count("*").alias("_n"), F.count_if(~F.col("_on")).alias("_off"))
+    carried = days.select(F.col(key), F.col("_day"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("_n", "_off")])
+    inside = Window.partitionBy(key, "_day").orderBy(*[f"_o{i}" for i in range(len(order))])
+    placed = tagged.withColumn("_at", F.row_number().over(inside)).withColumn("_gone", F.count_if(~F.col("_on")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    runs = placed.where("_on").join(carried, [key, "_day"]).select(F.col(key), (F.col("_at") + F.col("_n_before")).alias("_at"), (F.col("_gone") + F.col("_off_before")).alias("_run"))
+    return runs.groupBy(key, "_run").agg(F.count("*").alias("length"), F.min("_at").alias("first_at"), F.max("_at").alias("last_at")).where(F.col("length") >= least).drop("_run")
 
 
 def swap_pointer(current: DataFrame, update: DataFrame, key: str) -> DataFrame:

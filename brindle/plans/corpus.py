@@ -42,15 +42,22 @@ def exact_dedup(spark, d):
     return dedup.exact_survivors(read(spark, d, "documents"), "doc_id", "text")
 
 
-def cleaned(spark, d):
-    """Length and hash of cleaned texts; these tables are in composed form, so all stays in the JVM."""
-    out = T.clean_description(F.col("text"), compose=False)
-    return read(spark, d, "documents").select("doc_id", out.alias("clean")).select("doc_id", F.length("clean").cast("long").alias("chars"), F.sha2("clean", 256).alias("hash"))
+def _noisy(spark, d):
+    """Texts with something that cleaning must remove: a phone, a reference, invisible and decomposed letters, lines of signs."""
+    k = (F.col("doc_id") % 5 + 1).cast("int")
+    noise = F.element_at(
+        F.array(
+            F.lit("\nтел. 0888 123 456, +359-2-9876543 и 12345"), F.concat(F.lit(" Реф. номер: AB-"), F.col("doc_id").cast("string"), F.lit(" ref.no. X1 преф. № 7")), F.lit("\u200b не\u00advidimo e\u0301te\u0300\u00a0 \tдруго \n"),
+            F.lit("\r\n *** \r\n\n\n\n https://x.org/a?b=1 край www.y.bg info@x-y.co.uk \r-"), F.lit(""),
+        ),
+        k,
+    )
+    return read(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), noise).alias("text"))
 
 
-def _kept(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", "lang", "source", T.squeezed(F.col("text")).alias("text")).where(F.length("text") >= 80)
-    return dedup.exact_survivors(docs, "doc_id", "text").where("doc_id = survivor").select("doc_id").join(docs, "doc_id")
+def cleaned(spark, d):
+    """Length and hash of cleaned texts."""
+    return _noisy(spark, d).select("doc_id", T.clean_description(F.col("text")).alias("clean")).select("doc_id", F.length("clean").cast("long").alias("chars"), F.sha2("clean", 256).alias("hash"))
 
 
 def _percentiles(lengths):
@@ -63,8 +70,9 @@ def _percentiles(lengths):
 
 
 def percentiles(spark, d):
-    """Lengths of the exact survivors of squeezed texts, as the SQL takes them; those of the whole export are in `export_report`."""
-    return _percentiles(_kept(spark, d).select(F.length("text").alias("chars")))
+    """Lengths of the rows that the export writes."""
+    sizes = _percentiles(_export(spark, d).where("fate = 'written'").select("chars"))
+    return sizes.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("p50", "p95", "longest")])
 
 
 def top_areas(spark, d):
@@ -72,26 +80,33 @@ def top_areas(spark, d):
     return docs.orderBy(F.desc("n"), "first").limit(15).select(F.concat_ws(" / ", "lang", "source").alias("area"), "n")
 
 
+def _export(spark, d):
+    rows = dedup.export(read(spark, d, "documents"), "doc_id", "text")
+    return written(rows.select("doc_id", "fate", "poi_hint", F.col("char_count").cast("long").alias("chars")), "export")
+
+
+def export_fates(spark, d):
+    """What becomes of each document: short, exact copy, near copy or written."""
+    return _export(spark, d).select("doc_id", "fate", "chars")
+
+
 def export_counters(spark, d):
-    """The first two passes on squeezed texts, as the SQL takes them; the whole export is in `export_report`."""
-    docs = read(spark, d, "documents").select("doc_id", T.squeezed(F.col("text")).alias("text"))
-    long_enough = docs.where(F.length("text") >= 80)
-    exact = dedup.exact_survivors(long_enough, "doc_id", "text")
-    return docs.agg(F.count("*").alias("listings_read"), F.count_if(F.length("text") < 80).alias("dropped_too_short")).crossJoin(
-        exact.agg(F.count_if(F.expr("doc_id <> survivor")).alias("dropped_exact_duplicate"), F.count_if(F.expr("doc_id = survivor")).alias("rows_written"))
-    )
-
-
-def export_report(spark, d):
-    """Counters and percentiles of the export, all from its output; of an empty export the percentiles are 0."""
-    rows = written(dedup.export(read(spark, d, "documents"), "doc_id", "text").select("fate", "poi_hint", F.col("char_count").alias("chars")), "export")
+    """Counters of the export."""
     fate = lambda x: F.count_if(F.col("fate") == x)
-    counters = rows.agg(
+    return _export(spark, d).agg(
         F.count("*").alias("listings_read"), fate("short").alias("dropped_too_short"), fate("exact").alias("dropped_exact_duplicate"), fate("near").alias("dropped_near_duplicate"),
         fate("written").alias("rows_written"), F.count_if((F.col("fate") == "written") & F.col("poi_hint")).alias("rows_with_poi_hint"),
     )
-    sizes = _percentiles(rows.where("fate = 'written'").select("chars"))
-    return counters.crossJoin(sizes.select(*[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("p50", "p95", "longest")]))
+
+
+def duplicate_ids(spark, d):
+    """For each text that stands, the ids of its exact copies in order."""
+    return dedup.copies(dedup.exact_survivors(read(spark, d, "documents"), "doc_id", "text"), "doc_id").select("survivor", F.array_join(F.transform("copies", lambda x: x.cast("string")), ",").alias("copies"))
+
+
+def cluster_numbers(spark, d):
+    """Near-duplicate classes numbered in the order of their least documents."""
+    return dedup.dense_numbers(dedup.near_duplicate_clusters(read(spark, d, "documents"), "doc_id", "text"), "doc_id")
 
 
 def shingle_counts(spark, d):
@@ -108,8 +123,10 @@ def near_clusters(spark, d):
 
 
 def place_hints(spark, d):
-    """Texts that mention something like a distance in metres or minutes, a park or a centre."""
-    return read(spark, d, "documents").select("doc_id", T.place_hint(F.concat(F.col("text"), F.lit(" "), F.col("source"), F.lit(" парк"))).alias("hint"))
+    """Texts with and without something that hints at a place nearby."""
+    k = (F.col("doc_id") % 6 + 1).cast("int")
+    more = F.element_at(F.array(F.lit("до парка"), F.lit("на 5 мин пеша"), F.lit("тристаен"), F.lit("УЧИЛИЩЕ"), F.lit("молив и смола"), F.lit("мол")), k)
+    return read(spark, d, "documents").select("doc_id", T.place_hint(F.concat(F.col("lang"), F.lit(" "), more, F.lit(" "), F.col("source"))).alias("hint"))
 
 
 def slugs(spark, d):
@@ -127,7 +144,9 @@ QUERIES = {
     "q_positional_percentiles": percentiles,
     "q_top_areas": top_areas,
     "q_export_counters": export_counters,
-    "q_export_report": export_report,
+    "q_export_fates": export_fates,
+    "q_duplicate_ids": duplicate_ids,
+    "q_cluster_numbers": cluster_numbers,
     "q_shingle_counts": shingle_counts,
     "q_near_dup_pairs": near_pairs,
     "q_near_dup_clusters": near_clusters,
@@ -146,12 +165,41 @@ pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared, x.n AS n_a, y
   FROM each_gram x JOIN each_gram y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY 1, 2, 4, 5
   HAVING count(*) / (x.n + y.n - count(*)) >= 0.8)"""
 
-_CLEAN = rf"""
-lines AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)),
-  '(?i)(?:https?://|www\.)\S+', '', 'g'), '{_EMAIL}', '', 'g'), chr(10))) AS line, generate_subscripts(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1) AS pos FROM documents),
+_PHONE = r"(^|[^0-9+])(?:\+359|00359|0)(?:[\s\-./]?[0-9]){8,9}($|[^0-9])"
+_REFERENCE = r"(?i)(^|[^\p{L}\p{N}_])(?:реф(?:ерентен)?\.?\s*(?:номер|№)|ref\.?\s*(?:no\.?|№))\s*[:.]?\s*\S+"
+_TIDY = rf"""flat AS (SELECT doc_id, replace(replace(replace(regexp_replace(nfc_normalize(text), '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{2060}}\x{{FEFF}}\x{{00AD}}]', '', 'g'), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(160), ' ') AS t FROM noisy),
+plain AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?i)(?:https?://|www\.)\S+', '', 'g'), '{_EMAIL}', '', 'g'),
+  '{_PHONE}', '\1\2', 'g'), '{_PHONE}', '\1\2', 'g'), '{_REFERENCE}', '\1', 'g') AS t FROM flat),
+lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM plain),
 tidy AS (SELECT doc_id, pos, trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ' || chr(9)) AS line FROM lines),
 joined AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS body FROM tidy WHERE line = '' OR regexp_matches(line, '[\p{{L}}\p{{N}}]') GROUP BY doc_id),
-clean AS (SELECT d.doc_id, regexp_replace(regexp_replace(coalesce(body, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM documents d LEFT JOIN joined USING (doc_id))"""
+clean AS (SELECT d.doc_id, regexp_replace(regexp_replace(coalesce(body, ''), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS body FROM noisy d LEFT JOIN joined USING (doc_id))"""
+_CLEAN = f"""noisy AS (SELECT doc_id, coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN chr(10) || 'тел. 0888 123 456, +359-2-9876543 и 12345' WHEN 1 THEN ' Реф. номер: AB-' || doc_id || ' ref.no. X1 преф. № 7'
+  WHEN 2 THEN chr(8203) || ' не' || chr(173) || 'vidimo e' || chr(769) || 'te' || chr(768) || chr(160) || ' ' || chr(9) || 'друго ' || chr(10)
+  WHEN 3 THEN chr(13) || chr(10) || ' *** ' || chr(13) || chr(10) || chr(10) || chr(10) || chr(10) || ' https://x.org/a?b=1 край www.y.bg info@x-y.co.uk ' || chr(13) || '-' ELSE '' END AS text FROM documents), {_TIDY}"""
+
+# The export on cleaned texts: the fate of every document.
+_EXPORT = f"""noisy AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {_TIDY},
+hashed AS (SELECT doc_id, length(body) AS chars, body, regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+') AS w FROM clean),
+long AS (SELECT *, min(doc_id) OVER (PARTITION BY array_to_string(w, ' ')) AS survivor FROM hashed WHERE chars >= 80),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS grams FROM long WHERE doc_id = survivor),
+each_gram AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b FROM each_gram x JOIN each_gram y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.8),
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(node, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+classes AS (SELECT node, min(other) AS cluster FROM reach GROUP BY node),
+fates AS (SELECT h.doc_id, h.chars, h.body, CASE WHEN h.chars < 80 THEN 'short' WHEN l.doc_id <> l.survivor THEN 'exact' WHEN c.cluster <> h.doc_id THEN 'near' ELSE 'written' END AS fate FROM hashed h LEFT JOIN long l USING (doc_id) LEFT JOIN classes c ON c.node = h.doc_id)"""
+_HINT = (
+    r"(?i)метро|спирк|трамва|автобус|училищ|гимназ|детск[аи] градин|университет|парк|(^|[^\p{L}\p{N}_])мол([^\p{L}\p{N}_]|$)|магазин|супермаркет|лидл|билла|"
+    r"кауфланд|фантастико|болниц|аптек|фитнес|център|[0-9]+\s*(?:мин|м\.?([^\p{L}\p{N}_]|$)|км)|в близост|близо до|до\s+(?:бул|ул)\."
+)
+
+_CLUSTERS = f"""WITH RECURSIVE {_SETS},
+links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+reach(node, other) AS (SELECT doc_id, doc_id FROM standing UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+classes AS (SELECT node, min(other) AS cluster FROM reach GROUP BY node),
+full_words AS (SELECT doc_id, hash, min(doc_id) OVER (PARTITION BY hash) AS survivor, len({_WORDS}) AS n FROM hashed)
+SELECT f.doc_id, CASE WHEN f.n = 0 THEN f.doc_id ELSE c.cluster END AS cluster FROM full_words f JOIN classes c ON c.node = f.survivor"""
 
 ORACLE_SQL = {
     "q_filter_active_described": "SELECT doc_id, source FROM documents WHERE lang = 'en' AND text IS NOT NULL",
@@ -161,25 +209,20 @@ ORACLE_SQL = {
     "q_exact_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
     "q_exact_dedup_survivor": f"""WITH h AS (SELECT doc_id, sha256(array_to_string({_WORDS}, ' ')) AS content_hash FROM documents)
 SELECT doc_id, content_hash, min(doc_id) OVER (PARTITION BY content_hash) AS survivor FROM h""",
-    "q_positional_percentiles": rf"""WITH t AS (SELECT doc_id, {_SQUEEZED} AS s FROM documents),
-h AS (SELECT doc_id, s, sha256(array_to_string(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+'), ' ')) AS hash FROM t WHERE length(s) >= 80),
-k AS (SELECT list(length(s) ORDER BY length(s)) AS v FROM h WHERE doc_id = (SELECT min(x.doc_id) FROM h x WHERE x.hash = h.hash))
+    "q_positional_percentiles": f"""WITH RECURSIVE {_EXPORT}, k AS (SELECT list(chars ORDER BY chars) AS v FROM fates WHERE fate = 'written')
 SELECT v[len(v) // 2 + 1] AS p50, v[floor(len(v) * 0.95)::BIGINT + 1] AS p95, v[-1] AS longest FROM k""",
     "q_top_areas": "SELECT lang || ' / ' || source AS area, n FROM (SELECT lang, source, count(*) AS n, min(doc_id) AS f FROM documents GROUP BY 1, 2 ORDER BY n DESC, f LIMIT 15)",
-    "q_export_counters": rf"""WITH t AS (SELECT doc_id, {_SQUEEZED} AS s FROM documents),
-h AS (SELECT sha256(array_to_string(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}]+'), ' ')) AS hash FROM t WHERE length(s) >= 80)
-SELECT (SELECT count(*) FROM t) AS listings_read, (SELECT count(*) FROM t WHERE length(s) < 80) AS dropped_too_short,
-count(*) - count(DISTINCT hash) AS dropped_exact_duplicate, count(DISTINCT hash) AS rows_written FROM h""",
+    "q_export_counters": f"""WITH RECURSIVE {_EXPORT} SELECT count(*) AS listings_read, count(*) FILTER (fate = 'short') AS dropped_too_short, count(*) FILTER (fate = 'exact') AS dropped_exact_duplicate, count(*) FILTER (fate = 'near') AS dropped_near_duplicate,
+count(*) FILTER (fate = 'written') AS rows_written, count(*) FILTER (fate = 'written' AND regexp_matches(body, '{_HINT}')) AS rows_with_poi_hint FROM fates""",
+    "q_export_fates": f"WITH RECURSIVE {_EXPORT} SELECT doc_id, fate, chars FROM fates",
+    "q_duplicate_ids": f"""WITH h AS (SELECT doc_id, sha256(array_to_string({_WORDS}, ' ')) AS k FROM documents), g AS (SELECT min(doc_id) AS survivor, list(doc_id ORDER BY doc_id) AS ids FROM h GROUP BY k)
+SELECT survivor, array_to_string(ids[2:], ',') AS copies FROM g WHERE len(ids) > 1""",
     "q_shingle_counts": f"""WITH words AS (SELECT doc_id, {_WORDS} AS w FROM documents)
 SELECT doc_id, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) < 3 THEN 1 ELSE len(list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) END::BIGINT AS n_shingles FROM words""",
     "q_near_dup_pairs": f"WITH {_SETS} SELECT a, b, shared, round(shared / (n_a + n_b - shared), 9) AS jaccard FROM pairs",
     "q_clean_description": f"WITH {_CLEAN} SELECT doc_id, length(body) AS chars, sha256(body) AS hash FROM clean",
-    "q_near_dup_clusters": f"""WITH RECURSIVE {_SETS},
-links AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
-reach(node, other) AS (SELECT doc_id, doc_id FROM standing UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
-classes AS (SELECT node, min(other) AS cluster FROM reach GROUP BY node),
-full_words AS (SELECT doc_id, hash, min(doc_id) OVER (PARTITION BY hash) AS survivor, len({_WORDS}) AS n FROM hashed)
-SELECT f.doc_id, CASE WHEN f.n = 0 THEN f.doc_id ELSE c.cluster END AS cluster FROM full_words f JOIN classes c ON c.node = f.survivor""",
-    "q_place_hint": "SELECT doc_id, true AS hint FROM documents",
+    "q_near_dup_clusters": _CLUSTERS,
+    "q_cluster_numbers": f"WITH c AS ({_CLUSTERS}) SELECT doc_id, cluster, dense_rank() OVER (ORDER BY cluster) - 1 AS cluster_number FROM c",
+    "q_place_hint": f"SELECT doc_id, regexp_matches(concat_ws(' ', lang, ['до парка', 'на 5 мин пеша', 'тристаен', 'УЧИЛИЩЕ', 'молив и смола', 'мол'][doc_id % 6 + 1], source), '{_HINT}') AS hint FROM documents",
     "q_slugify": "SELECT n_nationkey, 'yuzhen-shtarkel-zh-' || array_to_string(string_split(lower(n_name), ' '), '-') AS slug FROM nation",
 }

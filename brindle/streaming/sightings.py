@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from brindle.operators.graph import shared_dir, written
 from brindle.operators.lifecycle import EXPIRY_DAYS, unseen
 
 EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
@@ -77,21 +78,45 @@ def append_new(path: str, key: list[str], schema: str) -> Callable[[DataFrame, i
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process all files that are there now; the result is a table in memory (tests and small reports)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Process all files that are there now into a table on shared storage, and read it: appended, or rewritten each batch."""
+    spark = stream.sparkSession
+    root = f"{shared_dir(spark)}/stream-{name}"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/log").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", f"{root}/rows").start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{root}/rows")).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
-def slots(requests: DataFrame, interval_seconds: float) -> DataFrame:
+def single(rows: DataFrame, step: Callable[[DataFrame], DataFrame], attempts: int = 3) -> DataFrame:
+    """One micro-batch through an idempotent step, tried again when it fails."""
+    for left in range(attempts - 1, -1, -1):
+        try:
+            return written(step(rows), "batch")
+        except Exception:
+            if not left:
+                raise
+    raise AssertionError
+
+
+def scheduled(stream: DataFrame, step: Callable[[DataFrame, int], None], folder: str, every: str = "10 minutes"):
+    """A running query that hands over what is new every so often; a batch that takes longer delays the next one."""
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", folder).trigger(processingTime=every).start()
+
+
+def slots(requests: DataFrame, interval_seconds: float, piece_seconds: float = 3600.0) -> DataFrame:
     """Reserved times (request, at, slot) at least an interval apart: slot i is the later of its time and slot i - 1 + interval.
 
-    max over earlier requests of (at_j - j * interval) + i * interval, which is a running maximum.
+    max over earlier requests of (at_j - j * interval) + i * interval, a running maximum.  Requests are cut into pieces of
+    time; counts and maxima of earlier pieces are carried forward in a table with one row a piece.
     """
-    from pyspark.sql import Window
-
-    order = Window.orderBy("at", "request").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n = F.row_number().over(Window.orderBy("at", "request"))
-    numbered = requests.withColumn("_n", n)
-    lead = F.max(F.col("at") - F.col("_n") * interval_seconds).over(order)
-    return numbered.withColumn("slot", lead + F.col("_n") * interval_seconds).drop("_n")
+    cut = requests.withColumn("_piece", F.floor(F.col("at") / piece_seconds))
+    inside, earlier = Window.partitionBy("_piece").orderBy("at", "request"), Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy("_piece").agg(F.count("*").alias("_n"))
+    skipped = counts.select("_piece", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
+    numbered = cut.join(skipped, "_piece").withColumn("_i", F.row_number().over(inside) + F.col("_skip")).withColumn("_lead", F.col("at") - F.col("_i") * interval_seconds)
+    most = numbered.groupBy("_piece").agg(F.max("_lead").alias("_most")).select("_piece", F.max("_most").over(earlier).alias("_carried"))
+    lead = F.greatest(F.max("_lead").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("_carried"))
+    return numbered.join(most, "_piece").withColumn("slot", lead + F.col("_i") * interval_seconds).select(*requests.columns, "slot")
