@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
 import math
 from pathlib import Path
@@ -63,3 +64,13 @@ def files_fingerprint(folder: str, settings: dict, block: int = 1 << 20) -> str:
 def drift(expected: dict, found: dict) -> list[str]:
     """Keys (file digests, split memberships) whose recorded and present values differ."""
     return sorted(k for k in expected.keys() | found.keys() if expected.get(k) != found.get(k))
+
+
+def instant(text: str, required: bool = True) -> float | None:
+    """Seconds since 1970 of an ISO time with a zone (`Z` or an offset); a naive time is refused, or null if not required."""
+    parsed = dt.datetime.fromisoformat(text)
+    if parsed.tzinfo is None:
+        if required:
+            raise ValueError(f"{text} has no time zone")
+        return None
+    return parsed.timestamp()

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from brindle.functions import text as T
 from brindle.plans.tables import read
 
-KEY = F.col("p_partkey")
+def key():
+    return F.col("p_partkey")
 
 
 def _text(*parts):
@@ -24,7 +25,7 @@ def _parts(spark, d):
 
 def listing_cards(spark, d):
     """Two cards and one without a link on each page."""
-    card = lambda n, kind: _text('<div class="x item"><a href="//www.imot.bg/obiava-', KEY, f'x{n}" class="saveSlink wide">', kind, " <b>", KEY % 4 + 1, '-СТАЕН</b></a><div class="price">', F.col("p_size"), f" {n}00 &euro;", F.when(KEY % 2 == 0, " €").otherwise(""), "</div></div>")
+    card = lambda n, kind: _text('<div class="x item"><a href="//www.imot.bg/obiava-', key(), f'x{n}" class="saveSlink wide">', kind, " <b>", key() % 4 + 1, '-СТАЕН</b></a><div class="price">', F.col("p_size"), f" {n}00 &euro;", F.when(key() % 2 == 0, " €").otherwise(""), "</div></div>")
     html = F.concat(F.lit("<html><body>"), card(1, "Продава"), F.lit('<div class="item"><p>реклама</p></div>'), card(2, "Дава под наем"), F.lit("</body></html>"))
     each = _parts(spark, d).select("p_partkey", F.posexplode(T.listing_cards(html)).alias("pos", "c"))
     return each.select("p_partkey", F.col("pos").cast("long").alias("pos"), "c.url", "c.title", F.col("c.price.amount").alias("amount"), F.col("c.price.currency").alias("currency"), "c.external_id", "c.kind")
@@ -33,65 +34,65 @@ def listing_cards(spark, d):
 def listing_page(spark, d):
     """Whole pages; every fifth lacks a price, every seventh its images."""
     html = _text(
-        '<div class="title big">Продава ', KEY % 5 + 1, '-СТАЕН апартамент</div><div class="cena">', F.when(KEY % 5 != 0, _text(F.col("p_size"), " 000 €")).otherwise("по договаряне"),
-        '</div><div class="location">град София, Район ', KEY % 9, '<br>ул. Оборище</div><div class="text">Текст <i>', KEY, '</i> &amp; още</div><div class="phone">0888 ', KEY % 1000, ' 1</div><div class="adParams"><div>Площ: <b>',
-        F.col("p_size"), ",5 кв.м</b></div><div>Етаж: ", KEY % 8, " от ", KEY % 8 + 2, "</div><div>Площ: 1 кв.м</div></section>", F.when(KEY % 7 != 0, _text('<img alt="" data-src="//cdn.imot.bg/', KEY, '.jpg"><img x="1" data-src="/a.png">')).otherwise(""),
+        '<div class="title big">Продава ', key() % 5 + 1, '-СТАЕН апартамент</div><div class="cena">', F.when(key() % 5 != 0, _text(F.col("p_size"), " 000 €")).otherwise("по договаряне"),
+        '</div><div class="location">град София, Район ', key() % 9, '<br>ул. Оборище</div><div class="text">Текст <i>', key(), '</i> &amp; още</div><div class="phone">0888 ', key() % 1000, ' 1</div><div class="adParams"><div>Площ: <b>',
+        F.col("p_size"), ",5 кв.м</b></div><div>Етаж: ", key() % 8, " от ", key() % 8 + 2, "</div><div>Площ: 1 кв.м</div></section>", F.when(key() % 7 != 0, _text('<img alt="" data-src="//cdn.imot.bg/', key(), '.jpg"><img x="1" data-src="/a.png">')).otherwise(""),
     )
     page = _parts(spark, d).select("p_partkey", T.listing_page(html).alias("l"))
     return page.select("p_partkey", "l.title", F.col("l.price.amount").alias("amount"), "l.kind", F.col("l.rooms").cast("long").alias("rooms"), "l.city", "l.area", "l.street", "l.description", "l.phone", "l.area_sqm", F.col("l.floor").cast("long").alias("floor"), F.col("l.building_floors").cast("long").alias("building_floors"), F.array_join("l.image_urls", " ").alias("images"), F.array_join("l.missing", " ").alias("missing"))
 
 
 def location_split(spark, d):
-    raw = F.when(KEY % 3 == 0, _text("  гр. София , Младост ", KEY, ", Юг \n  ул. ", F.col("p_name"), "  \n")).when(KEY % 3 == 1, _text("село ", F.col("p_name"), "\r\n\n")).otherwise(F.lit(None))
+    raw = F.when(key() % 3 == 0, _text("  гр. София , Младост ", key(), ", Юг \n  ул. ", F.col("p_name"), "  \n")).when(key() % 3 == 1, _text("село ", F.col("p_name"), "\r\n\n")).otherwise(F.lit(None))
     place = _parts(spark, d).select("p_partkey", T.location(raw).alias("p"))
     return place.select("p_partkey", "p.city", "p.area", "p.street")
 
 
 def phones_and_numbers(spark, d):
-    raw = F.when(KEY % 4 == 0, F.lit(" \t ")).otherwise(_text(" 08", KEY % 10, "\t", KEY, " 77\n"))
-    number = F.when(KEY % 4 == 1, F.lit("без")).otherwise(_text("около ", F.col("p_size"), F.when(KEY % 2 == 0, ",25").otherwise(".5"), " или ", KEY))
+    raw = F.when(key() % 4 == 0, F.lit(" \t ")).otherwise(_text(" 08", key() % 10, "\t", key(), " 77\n"))
+    number = F.when(key() % 4 == 1, F.lit("без")).otherwise(_text("около ", F.col("p_size"), F.when(key() % 2 == 0, ",25").otherwise(".5"), " или ", key()))
     return _parts(spark, d).select("p_partkey", T.phone(raw).alias("phone"), T.first_number(number).alias("number"))
 
 
 def parameters(spark, d):
     """Rows of a grid; the second value of a label and rows without a label are ignored."""
-    rows = F.array(_text("Площ : ", F.col("p_size"), "  кв.м"), F.lit("без двоеточие"), _text("Етаж:", KEY % 9, ":от 9"), F.lit(": сам"), _text("Площ: ", KEY))
+    rows = F.array(_text("Площ : ", F.col("p_size"), "  кв.м"), F.lit("без двоеточие"), _text("Етаж:", key() % 9, ":от 9"), F.lit(": сам"), _text("Площ: ", key()))
     grid = _parts(spark, d).select("p_partkey", T.parameters(rows).alias("g"))
     return grid.select("p_partkey", F.size("g").cast("long").alias("n"), F.try_element_at("g", F.lit("Площ")).alias("area"), F.try_element_at("g", F.lit("Етаж")).alias("floor"))
 
 
 def image_urls(spark, d):
-    sources = F.array(_text("//cdn.x.bg/", KEY % 7, ".jpg"), F.lit("data:image/png;base64,AA"), F.lit(""), _text("/big/", KEY, ".webp"), F.lit(None).cast("string"), _text("//cdn.x.bg/", KEY % 7, ".jpg"), _text("http://o.org/", KEY, ".PNG?x=.gif"), _text("rel/", KEY))
+    sources = F.array(_text("//cdn.x.bg/", key() % 7, ".jpg"), F.lit("data:image/png;base64,AA"), F.lit(""), _text("/big/", key(), ".webp"), F.lit(None).cast("string"), _text("//cdn.x.bg/", key() % 7, ".jpg"), _text("http://o.org/", key(), ".PNG?x=.gif"), _text("rel/", key()))
     found = _parts(spark, d).select("p_partkey", F.posexplode(T.image_urls(sources)).alias("pos", "url"))
     return found.select("p_partkey", F.col("pos").cast("long").alias("pos"), "url", T.image_kind(F.col("url"))["extension"].alias("extension"), T.image_kind(F.col("url"))["content_type"].alias("content_type"))
 
 
 def search_scope(spark, d):
     slugs = {"ednostaen": 1, "dvustaen": 2, "tristaen": 3}
-    room = F.element_at(F.array(F.lit("dvustaen"), F.lit("tristaen"), F.lit("garazh")), (KEY % 3 + 1).cast("int"))
-    url = F.when(KEY % 2 == 0, _text("https://www.imot.bg/obiavi/prodazhbi/grad-sofia/a", KEY % 11, "%20b/", room, "/ednostaen/p-3?x=1")).otherwise(_text("https://www.imot.bg/obiavi/", room))
+    room = F.element_at(F.array(F.lit("dvustaen"), F.lit("tristaen"), F.lit("garazh")), (key() % 3 + 1).cast("int"))
+    url = F.when(key() % 2 == 0, _text("https://www.imot.bg/obiavi/prodazhbi/grad-sofia/a", key() % 11, "%20b/", room, "/ednostaen/p-3?x=1")).otherwise(_text("https://www.imot.bg/obiavi/", room))
     scope = _parts(spark, d).select("p_partkey", T.search_scope(url, slugs).alias("s"))
     return scope.select("p_partkey", F.array_join("s.area_slugs", ",").alias("areas"), F.array_join(F.transform("s.rooms", lambda r: r.cast("string")), ",").alias("rooms"))
 
 
 def removals(spark, d):
     """Redirects to the search pages, notices on pages without a title, and states of answers."""
-    final = F.element_at(F.array(F.lit("https://imot.bg/obiavi/prodazhbi/grad-sofia"), F.lit("https://www.imot.bg/obiavi/prodazhbishte"), F.lit("https://example.org/obiavi/prodazhbi"), F.lit("http://WWW.imot.bg/obiavi/prodazhbi")), (KEY % 4 + 1).cast("int"))
-    asked = F.when(KEY % 5 == 0, F.lit("https://www.imot.bg/kvartali")).otherwise(_text("https://www.imot.bg/obiava-", KEY))
-    body = F.when(KEY % 3 == 0, F.lit("Начало\n Обявата  е ИЗТРИТА!. \nкрай")).otherwise(F.lit("Обявата е изтрита от автора"))
-    status = F.element_at(F.array(F.lit(200), F.lit(301), F.lit(404), F.lit(410), F.lit(403), F.lit(500), F.lit(None).cast("int")), (KEY % 7 + 1).cast("int"))
-    return _parts(spark, d).select("p_partkey", T.removal_redirect(asked, final).alias("redirected"), T.removal_notice(body, KEY % 2 == 0).alias("noticed"), T.http_outcome(status).alias("outcome"))
+    final = F.element_at(F.array(F.lit("https://imot.bg/obiavi/prodazhbi/grad-sofia"), F.lit("https://www.imot.bg/obiavi/prodazhbishte"), F.lit("https://example.org/obiavi/prodazhbi"), F.lit("http://WWW.imot.bg/obiavi/prodazhbi")), (key() % 4 + 1).cast("int"))
+    asked = F.when(key() % 5 == 0, F.lit("https://www.imot.bg/kvartali")).otherwise(_text("https://www.imot.bg/obiava-", key()))
+    body = F.when(key() % 3 == 0, F.lit("Начало\n Обявата  е ИЗТРИТА!. \nкрай")).otherwise(F.lit("Обявата е изтрита от автора"))
+    status = F.element_at(F.array(F.lit(200), F.lit(301), F.lit(404), F.lit(410), F.lit(403), F.lit(500), F.lit(None).cast("int")), (key() % 7 + 1).cast("int"))
+    return _parts(spark, d).select("p_partkey", T.removal_redirect(asked, final).alias("redirected"), T.removal_notice(body, key() % 2 == 0).alias("noticed"), T.http_outcome(status).alias("outcome"))
 
 
 def pagers(spark, d):
-    pager = F.when(KEY % 5 == 0, F.lit("няма")).otherwise(_text("Страница 1 от ", KEY % 30))
+    pager = F.when(key() % 5 == 0, F.lit("няма")).otherwise(_text("Страница 1 от ", key() % 30))
     last = F.regexp_extract(pager, r"\d+$", 0)
-    return _parts(spark, d).select("p_partkey", T.last_page(last).cast("long").alias("last"), T.page_url(_text("https://x.bg/a/?q=", KEY, "#f"), (KEY % 3 + 1).cast("int")).alias("url"))
+    return _parts(spark, d).select("p_partkey", T.last_page(last).cast("long").alias("last"), T.page_url(_text("https://x.bg/a/?q=", key(), "#f"), (key() % 3 + 1).cast("int")).alias("url"))
 
 
 def missing_fields(spark, d):
     """Core fields that a parsed listing lacks."""
-    rows = _parts(spark, d).select("p_partkey", F.when(KEY % 2 == 0, F.col("p_name")).otherwise("").alias("title"), F.when(KEY % 3 != 0, F.col("p_retailprice")).alias("price"), F.array_repeat(F.lit("i"), (KEY % 4).cast("int")).alias("images"))
+    rows = _parts(spark, d).select("p_partkey", F.when(key() % 2 == 0, F.col("p_name")).otherwise("").alias("title"), F.when(key() % 3 != 0, F.col("p_retailprice")).alias("price"), F.array_repeat(F.lit("i"), (key() % 4).cast("int")).alias("images"))
     found = T.missing_fields(title=F.col("title") == "", price=F.col("price").isNull(), images=F.size("images") == 0)
     return rows.select("p_partkey", F.array_join(found, ",").alias("missing"), (F.coalesce("price", F.lit(0.0)) >= 0).alias("money_ok"))
 
@@ -105,14 +106,14 @@ def street_addresses(spark, d):
 
 def name_keys(spark, d):
     """Folded keys: prefixes dropped, compatibility forms composed, cases folded."""
-    name = _text("бул. ", F.initcap("p_name"), F.when(KEY % 2 == 0, "  ѝ ГР. Ｗ").otherwise(" Straße-12"))
+    name = _text("бул. ", F.initcap("p_name"), F.when(key() % 2 == 0, "  ѝ ГР. Ｗ").otherwise(" Straße-12"))
     return _parts(spark, d).select("p_partkey", T.name_key(name).alias("key"))
 
 
 def attached_distances(spark, d):
     """A distance before, after, on both sides, none, and one that is too far."""
-    n = KEY % 90 + 1
-    case = (KEY % 5).cast("int")
+    n = key() % 90 + 1
+    case = (key() % 5).cast("int")
     before = F.element_at(F.array(_text("Само ", n, " м до "), F.lit("Хубав "), _text("На ", n, " км от "), F.lit("До "), _text("На ", n * 100, " метра от ")), case + 1)
     after = F.element_at(F.array(F.lit(" е тук"), _text(" е на ", n, " метра"), F.lit(" и край"), F.lit(" без число"), _text(" - ", n, " м")), case + 1)
     text = F.concat(before, F.lit("Южен парк"), after)
@@ -122,16 +123,16 @@ def attached_distances(spark, d):
 
 
 def excluded_contexts(spark, d):
-    pad = F.repeat(F.lit("x"), (KEY % 90).cast("int"))
-    phrase = F.element_at(F.array(F.lit("не е  близо до"), F.lit("Далеч от"), F.lit("близо до")), (KEY % 3 + 1).cast("int"))
+    pad = F.repeat(F.lit("x"), (key() % 90).cast("int"))
+    phrase = F.element_at(F.array(F.lit("не е  близо до"), F.lit("Далеч от"), F.lit("близо до")), (key() % 3 + 1).cast("int"))
     before = F.concat(phrase, F.lit(" "), pad, F.lit(" "))
-    text = F.concat(before, F.lit("метро"), F.when(KEY % 10 == 0, " и нашият офис").otherwise(""))
+    text = F.concat(before, F.lit("метро"), F.when(key() % 10 == 0, " и нашият офис").otherwise(""))
     return _parts(spark, d).select("p_partkey", T.excluded_context(text, F.length(before), F.length(before) + 5).alias("excluded"))
 
 
 def prompts_and_sources(spark, d):
     """User turns of labelling requests, links that may be shown, and addresses that may be downloaded."""
-    url = F.element_at(F.array(F.lit("https://gis.sofiaplan.bg/a?b=1"), F.lit("http://gis.sofiaplan.bg/a"), F.lit("https://gis.sofiaplan.bg:8443/a"), F.lit("https://u:p@gis.sofiaplan.bg/a"), F.lit("https://gis.sofiaplan.bg:443/a"), F.lit("ftp://gis.sofiaplan.bg"), F.lit("https://evil.org/gis.sofiaplan.bg")), (KEY % 7 + 1).cast("int"))
+    url = F.element_at(F.array(F.lit("https://gis.sofiaplan.bg/a?b=1"), F.lit("http://gis.sofiaplan.bg/a"), F.lit("https://gis.sofiaplan.bg:8443/a"), F.lit("https://u:p@gis.sofiaplan.bg/a"), F.lit("https://gis.sofiaplan.bg:443/a"), F.lit("ftp://gis.sofiaplan.bg"), F.lit("https://evil.org/gis.sofiaplan.bg")), (key() % 7 + 1).cast("int"))
     return _parts(spark, d).select("p_partkey", T.user_prompt(F.col("p_name"), F.lit("София"), F.col("p_brand"), F.col("p_type")).alias("prompt"), T.approved_source(url, ("gis.sofiaplan.bg",)).alias("approved"), T.safe_link(url).alias("link"))
 
 

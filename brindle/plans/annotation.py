@@ -7,20 +7,21 @@ from pyspark.sql import functions as F
 from brindle.operators import dataset as D
 from brindle.operators import evaluation as E
 from brindle.operators import labeling as L
-from brindle.plans.advertisements import KEY, _text
+from brindle.plans.advertisements import _text, key
 from brindle.plans.tables import read
 
-_TITLE = F.concat(F.lit("Парк "), F.initcap("p_name"))
+def _title():
+    return F.concat(F.lit("Парк "), F.initcap("p_name"))
 
 
 def _ads(spark, d):
     """Texts that name a numbered park and a street, with what a teacher says about them: the third place is not in the text."""
-    text = _text("До ", _TITLE, "  ", KEY, " има тролей. На ", KEY % 9 + 1, " минути е ул. Бор ", KEY % 50, ".")
+    text = _text("До ", _title(), "  ", key(), " има тролей. На ", key() % 9 + 1, " минути е ул. Бор ", key() % 50, ".")
     poi = lambda category, name, value, unit, evidence: F.struct(F.lit(category).alias("category"), name.alias("name"), F.struct(value.cast("double").alias("value"), F.lit(unit).alias("unit")).alias("distance"), evidence.alias("evidence"))
-    street = poi("street", _text("Бор ", KEY % 50), KEY % 9 + 1, "min_walk", _text("НА ", KEY % 9 + 1, "  минути Е  ул. бор ", KEY % 50))
-    park = poi("park", _text(_TITLE, " ", KEY), F.lit(None), "nearby", _text("до ", F.upper(_TITLE), " ", KEY))
+    street = poi("street", _text("Бор ", key() % 50), key() % 9 + 1, "min_walk", _text("НА ", key() % 9 + 1, "  минути Е  ул. бор ", key() % 50))
+    park = poi("park", _text(_title(), " ", key()), F.lit(None), "nearby", _text("до ", F.upper(_title()), " ", key()))
     lost = poi("school", _text("7 СУ"), F.lit(-1), "m", _text("до 7 СУ"))
-    return read(spark, d, "part").select("p_partkey", text.alias("text"), F.when(KEY % 3 == 0, F.array(street, park, lost)).otherwise(F.array(street, park)).alias("pois"))
+    return read(spark, d, "part").select("p_partkey", text.alias("text"), F.when(key() % 3 == 0, F.array(street, park, lost)).otherwise(F.array(street, park)).alias("pois"))
 
 
 def find_evidence(spark, d):
@@ -47,8 +48,8 @@ def all_problems(spark, d):
 
 def schema_problems(spark, d):
     """Categories and units from columns that mostly do not belong to the contract."""
-    category = F.element_at(F.array(F.lit("park"), F.lit("Park"), F.lit("street"), F.lit(None).cast("string")), (KEY % 4 + 1).cast("int"))
-    unit = F.element_at(F.array(F.lit("m"), F.lit("metres"), F.lit("nearby")), (KEY % 3 + 1).cast("int"))
+    category = F.element_at(F.array(F.lit("park"), F.lit("Park"), F.lit("street"), F.lit(None).cast("string")), (key() % 4 + 1).cast("int"))
+    unit = F.element_at(F.array(F.lit("m"), F.lit("metres"), F.lit("nearby")), (key() % 3 + 1).cast("int"))
     poi = F.struct(category.alias("category"), F.col("p_name").alias("name"), F.struct(F.lit(1.0).alias("value"), unit.alias("unit")).alias("distance"), F.col("p_name").alias("evidence"))
     return read(spark, d, "part").select("p_partkey", F.array_join(L.schema_problems(F.array(poi)), "; ").alias("problems"))
 
@@ -74,7 +75,7 @@ def places_from_regions(spark, d):
 
 def checked_annotations(spark, d):
     """Annotations whose first region of every seventh text lost its unit: they are problems, not places."""
-    rows = _annotations(spark, d).withColumn("regions", F.when(KEY % 7 == 0, F.filter("regions", lambda r: ~((r["id"] == "t0") & (r["from_name"] == "unit")))).otherwise(F.col("regions")))
+    rows = _annotations(spark, d).withColumn("regions", F.when(key() % 7 == 0, F.filter("regions", lambda r: ~((r["id"] == "t0") & (r["from_name"] == "unit")))).otherwise(F.col("regions")))
     return L.checked_annotations(rows, "p_partkey", "text", "regions").select("p_partkey", F.size("pois").cast("long").alias("places"), F.size("problems").cast("long").alias("problems"))
 
 
@@ -87,11 +88,11 @@ def latest_annotation(spark, d):
 
 def task_payloads(spark, d):
     """Fields of the documents that are sent to the labelling tool."""
-    status = F.element_at(F.array(F.lit("ok"), F.lit("missing"), F.lit("refused"), F.lit("invalid")), (KEY % 4 + 1).cast("int"))
+    status = F.element_at(F.array(F.lit("ok"), F.lit("missing"), F.lit("refused"), F.lit("invalid")), (key() % 4 + 1).cast("int"))
     rows = _ads(spark, d).select(
-        F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("l"), KEY.cast("string")).alias("listing_id"), F.col("text").alias("description_snapshot"), F.lit("h").alias("content_hash"), F.when(KEY % 2 == 0, F.lit("b1")).alias("selection_batch_id"),
+        F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("l"), key().cast("string")).alias("listing_id"), F.col("text").alias("description_snapshot"), F.lit("h").alias("content_hash"), F.when(key() % 2 == 0, F.lit("b1")).alias("selection_batch_id"),
         status.alias("teacher_status"), F.when(status.isin("ok", "invalid"), F.col("pois")).alias("teacher_result"), F.when(status == "invalid", F.array(F.lit("check it"))).alias("teacher_problems"),
-        F.when(KEY % 3 == 0, F.lit("p")).alias("teacher_provider"), F.lit("m").alias("teacher_model"), F.lit(None).cast("string").alias("teacher_prompt_version"),
+        F.when(key() % 3 == 0, F.lit("p")).alias("teacher_provider"), F.lit("m").alias("teacher_model"), F.lit(None).cast("string").alias("teacher_prompt_version"),
     )
     sent = L.task_payload(rows)
     at = lambda path: F.get_json_object("payload", path)
@@ -135,8 +136,8 @@ def approved_current(spark, d):
 
 def teacher_results(spark, d):
     """Status of teacher outcomes: refused, failed, unreadable, with problems, or good."""
-    outcome = F.element_at(F.array(F.lit("text"), F.lit("refused"), F.lit("error"), F.lit("text")), (KEY % 4 + 1).cast("int"))
-    pois = F.when(KEY % 8 != 3, F.col("pois"))
+    outcome = F.element_at(F.array(F.lit("text"), F.lit("refused"), F.lit("error"), F.lit("text")), (key() % 4 + 1).cast("int"))
+    pois = F.when(key() % 8 != 3, F.col("pois"))
     return _ads(spark, d).select("p_partkey", L.teacher_status(outcome, pois, F.col("text")).alias("status"))
 
 
@@ -149,8 +150,8 @@ def teacher_pending(spark, d):
 def batch_results(spark, d):
     """Result and error lines of a provider's batch; what was sent and did not come back is an error."""
     sent = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("content_hash"))
-    body = F.when(KEY % 5 == 1, _text('{"choices":[{"message":{"content":"c', KEY, '"}}]}')).when(KEY % 5 == 2, F.lit('{"choices":[{"message":{"refusal":"no"}}]}')).when(KEY % 5 == 3, F.lit("{broken"))
-    lines = read(spark, d, "part").where("p_partkey % 5 <> 0").select(KEY.cast("string").alias("custom_id"), body.alias("body"), F.when(KEY % 5 == 4, F.lit('{"message":"late"}')).alias("error"))
+    body = F.when(key() % 5 == 1, _text('{"choices":[{"message":{"content":"c', key(), '"}}]}')).when(key() % 5 == 2, F.lit('{"choices":[{"message":{"refusal":"no"}}]}')).when(key() % 5 == 3, F.lit("{broken"))
+    lines = read(spark, d, "part").where("p_partkey % 5 <> 0").select(key().cast("string").alias("custom_id"), body.alias("body"), F.when(key() % 5 == 4, F.lit('{"message":"late"}')).alias("error"))
     return L.batch_results(sent, lines).select("content_hash", "outcome", "content")
 
 
@@ -178,13 +179,13 @@ def saved_predictions(spark, d):
 
 def export_faults(spark, d):
     """Tasks of an exported file without the fields that the import wrote."""
-    data = F.when(KEY % 6 != 0, F.map_filter(F.create_map(*[x for c in ("id", "content_hash", "text", "split") for x in (F.lit(c), F.lit("v"))]), lambda k, v: ~((k == "split") & (KEY % 3 == 1)) & ~((k == "text") & (KEY % 4 == 1))))
-    return L.export_faults(read(spark, d, "part").select(KEY.alias("task"), data.alias("data")))
+    data = F.when(key() % 6 != 0, F.map_filter(F.create_map(*[x for c in ("id", "content_hash", "text", "split") for x in (F.lit(c), F.lit("v"))]), lambda k, v: ~((k == "split") & (key() % 3 == 1)) & ~((k == "text") & (key() % 4 == 1))))
+    return L.export_faults(read(spark, d, "part").select(key().alias("task"), data.alias("data")))
 
 
 def fingerprints(spark, d):
     """SHA-256 of canonical JSON, whatever the order of the keys in the text."""
-    value = _text('{"size":', F.col("p_size"), ',"name":"', F.col("p_name"), '","also":[1,', KEY, ',null]}')
+    value = _text('{"size":', F.col("p_size"), ',"name":"', F.col("p_name"), '","also":[1,', key(), ',null]}')
     return read(spark, d, "part").select("p_partkey", L.fingerprints(value).alias("fingerprint"))
 
 
@@ -201,9 +202,9 @@ def task_pages(spark, d):
 def _tagged(spark, d):
     """Six words of a text as tokens: names of two words begin at places that vary."""
     offsets = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 0), (0, 2), (3, 7), (8, 12), (13, 17), (18, 20), (0, 0))])
-    kind = F.element_at(F.array(F.lit("park"), F.lit("school"), F.lit("bank")), (KEY % 3 + 1).cast("int"))
-    begin = F.element_at(F.array(F.lit(3), F.lit(8), F.lit(4)), (KEY % 3 + 1).cast("int"))
-    spans = F.array(F.struct(begin.alias("start"), (begin + F.when(KEY % 2 == 0, 9).otherwise(4)).alias("end"), kind.alias("category")))
+    kind = F.element_at(F.array(F.lit("park"), F.lit("school"), F.lit("bank")), (key() % 3 + 1).cast("int"))
+    begin = F.element_at(F.array(F.lit(3), F.lit(8), F.lit(4)), (key() % 3 + 1).cast("int"))
+    spans = F.array(F.struct(begin.alias("start"), (begin + F.when(key() % 2 == 0, 9).otherwise(4)).alias("end"), kind.alias("category")))
     return read(spark, d, "part").select("p_partkey", F.lit("до Парк Юлии леля тя").alias("text"), offsets.alias("offsets"), spans.alias("spans"))
 
 
@@ -236,7 +237,7 @@ def inference_windows(spark, d):
 def decoded_spans(spark, d):
     """Spans of characters from tags of tokens; confidence is the least score of a span's tokens."""
     offsets = F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((0, 0), (0, 2), (2, 7), (7, 12), (13, 17), (0, 0))])
-    tags = F.array(F.lit("O"), F.lit("O"), F.lit("B-park"), F.when(KEY % 2 == 0, "I-park").otherwise("O"), F.when(KEY % 3 == 0, "I-bank").otherwise("O"), F.lit("O"))
+    tags = F.array(F.lit("O"), F.lit("O"), F.lit("B-park"), F.when(key() % 2 == 0, "I-park").otherwise("O"), F.when(key() % 3 == 0, "I-bank").otherwise("O"), F.lit("O"))
     scores = F.array(F.lit(0.0), F.lit(0.5), F.col("p_size") / 50, F.lit(0.40625), F.lit(0.123456), F.lit(0.0))
     found = read(spark, d, "part").select("p_partkey", F.inline(D.decode_spans(F.lit("до Парк Юлии леля"), offsets, tags, scores)))
     return found.select("p_partkey", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "name", "category", "confidence")
@@ -244,14 +245,14 @@ def decoded_spans(spark, d):
 
 def token_scores(spark, d):
     """Micro scores of tags against tags that are shifted by the parity of the part; ignored positions do not count."""
-    gold = F.array(F.lit("O"), F.lit("B-park"), F.when(KEY % 2 == 0, "I-park").otherwise("O"), F.lit(None).cast("string"), F.lit("B-bank"))
-    found = F.array(F.lit("O"), F.lit("B-park"), F.lit("I-park"), F.lit("B-park"), F.when(KEY % 5 == 0, "B-bank").otherwise("O"))
+    gold = F.array(F.lit("O"), F.lit("B-park"), F.when(key() % 2 == 0, "I-park").otherwise("O"), F.lit(None).cast("string"), F.lit("B-bank"))
+    found = F.array(F.lit("O"), F.lit("B-park"), F.lit("I-park"), F.lit("B-park"), F.when(key() % 5 == 0, "B-bank").otherwise("O"))
     return E.token_scores(read(spark, d, "part").select(gold.alias("g"), found.alias("f")), "g", "f").select("tp", "fp", "fn", F.round("f1", 9).alias("f1"))
 
 
 def greedy_overlap(spark, d):
     """Spans in list order; one that overlaps a kept one goes."""
-    a, b = KEY % 10, KEY % 7
+    a, b = key() % 10, key() % 7
     span = lambda s, e, c: F.struct(s.cast("int").alias("start"), e.cast("int").alias("end"), F.lit(c).alias("category"))
     kept = E.disjoint(F.array(span(a, a + 4, "x"), span(b, b + 3, "y"), span(F.lit(13), F.lit(15), "z")))
     return read(spark, d, "part").select("p_partkey", F.array_join(F.transform(kept, lambda s: s["category"]), "").alias("kept"))
@@ -260,7 +261,7 @@ def greedy_overlap(spark, d):
 def outcome_filters(spark, d):
     """Records that a reviewer of missed spans, of false ones, of any error or of none would see."""
     span = lambda s: F.struct(s.cast("int").alias("start"), (s + 3).cast("int").alias("end"), F.lit("park").alias("category"))
-    scored = E.confusion(read(spark, d, "part").select("p_partkey", F.array(span(KEY % 3), span(F.lit(9))).alias("ground_truth"), F.array(span(KEY % 2), span(F.lit(9))).alias("predictions")))
+    scored = E.confusion(read(spark, d, "part").select("p_partkey", F.array(span(key() % 3), span(F.lit(9))).alias("ground_truth"), F.array(span(key() % 2), span(F.lit(9))).alias("predictions")))
     counts = [E.outcome_filter(scored, c).agg(F.lit(c).alias("choice"), F.count("*").alias("n")) for c in ("errors", "missed", "false", "correct", "all")]
     out = counts[0]
     for one in counts[1:]:

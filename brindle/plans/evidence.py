@@ -11,7 +11,10 @@ from brindle.plans.advertisements import _text
 from brindle.plans.location import _no_aliases, _units
 from brindle.plans.tables import read
 
-KEY = F.col("s_suppkey")
+def key():
+    return F.col("s_suppkey")
+
+
 PLACE = "dataset string, external_id string, name string, category string, settlement string, number string"
 
 
@@ -37,14 +40,14 @@ def _span(name, start, category, confidence):
 def _listings(spark, d):
     """Suppliers as listings near one park or two; confidence goes from 0.75 to 1, every eleventh has stale predictions."""
     park = lambda k: _text("Парк Н", F.floor(k / 6), k % 6)
-    one, two = park(KEY % 36), park((KEY + 1) % 36)
-    confidence = F.lit(0.75) + (KEY % 6) * 0.05
-    text = F.when(KEY % 7 == 3, F.concat(F.lit("До "), one, F.lit(" и "), two)).otherwise(F.concat(F.lit("До "), one, F.lit(" е.")))
+    one, two = park(key() % 36), park((key() + 1) % 36)
+    confidence = F.lit(0.75) + (key() % 6) * 0.05
+    text = F.when(key() % 7 == 3, F.concat(F.lit("До "), one, F.lit(" и "), two)).otherwise(F.concat(F.lit("До "), one, F.lit(" е.")))
     first = _span(one, F.lit(3), "park", confidence)
-    pois = F.when(KEY % 7 == 3, F.array(first, _span(two, F.lit(14), "park", confidence))).otherwise(F.array(first))
+    pois = F.when(key() % 7 == 3, F.array(first, _span(two, F.lit(14), "park", confidence))).otherwise(F.array(first))
     return read(spark, d, "supplier").select(
-        _text("l", F.lpad(KEY.cast("string"), 9, "0")).alias("listing_id"), text.alias("description"), F.lit("гр. София").alias("city"), _text("Район ", KEY % 4).alias("area"), F.lit("").alias("street"), pois.alias("pois"),
-        F.sha2(F.when(KEY % 11 == 0, F.lit("old")).otherwise(text), 256).alias("poi_description_sha256"), _text("snap", KEY).alias("snapshot_hash"), KEY.alias("s_suppkey"),
+        _text("l", F.lpad(key().cast("string"), 9, "0")).alias("listing_id"), text.alias("description"), F.lit("гр. София").alias("city"), _text("Район ", key() % 4).alias("area"), F.lit("").alias("street"), pois.alias("pois"),
+        F.sha2(F.when(key() % 11 == 0, F.lit("old")).otherwise(text), 256).alias("poi_description_sha256"), _text("snap", key()).alias("snapshot_hash"), key().alias("s_suppkey"),
     )
 
 
@@ -54,7 +57,7 @@ _MODEL = {"version": "m1", "weights": G.WEIGHTS, "temperature": 2.0, "ready": Tr
 
 def _resolved(spark, d):
     listings = _listings(spark, d)
-    stored = listings.where(KEY % 10 == 9).select("listing_id", R.input_fingerprint(F.col("snapshot_hash"), _CONTEXT, "m1").alias("input_fingerprint"))
+    stored = listings.where(key() % 10 == 9).select("listing_id", R.input_fingerprint(F.col("snapshot_hash"), _CONTEXT, "m1").alias("input_fingerprint"))
     return R.resolve(listings.drop("s_suppkey"), _parks(spark), _no_aliases(spark), _points(spark), _units(spark), stored, _CONTEXT, 10_000, _MODEL, fold=False)
 
 
@@ -70,20 +73,20 @@ def ranked_candidates(spark, d):
     """Candidates of a resolver that also knows which units an area has: a weak vote for each of them."""
     crosswalk = spark.createDataFrame([("район 1", "u00"), ("район 1", "u11"), ("район 2", "u22")], "area_key string, unit string")
     none = spark.createDataFrame([], "listing_id string, input_fingerprint string")
-    out = R.resolve(_listings(spark, d).where(KEY % 7 != 3).drop("s_suppkey"), _parks(spark), _no_aliases(spark), _points(spark), _units(spark), none, _CONTEXT, 10_000, None, crosswalk, fold=False)
+    out = R.resolve(_listings(spark, d).where(key() % 7 != 3).drop("s_suppkey"), _parks(spark), _no_aliases(spark), _points(spark), _units(spark), none, _CONTEXT, 10_000, None, crosswalk, fold=False)
     return out["candidates"].select("listing_id", "unit", F.round(F.col("features")[0], 6).alias("support"), F.round("score", 6).alias("score"), F.col("position").cast("long").alias("position"))
 
 
 def _home_listings(spark, d):
     """Listings with a street of their own, some with a house number, and a street, a house or a school in the text."""
-    own = F.when(KEY % 4 == 0, _text("ул. Бор ", KEY % 6, " № ", KEY % 3)).when(KEY % 4 == 1, _text("бул. Бор ", KEY % 6))
-    name = F.when(KEY % 5 < 3, _text("Бор ", KEY % 6)).otherwise(_text(KEY % 6, " СУ"))
-    after = F.when(KEY % 5 == 0, _text(" № ", KEY % 2 + 1, " е")).when(KEY % 5 == 3, F.lit(" на 300 м")).otherwise("")
-    kind = F.when(KEY % 5 < 3, "street").otherwise("school")
+    own = F.when(key() % 4 == 0, _text("ул. Бор ", key() % 6, " № ", key() % 3)).when(key() % 4 == 1, _text("бул. Бор ", key() % 6))
+    name = F.when(key() % 5 < 3, _text("Бор ", key() % 6)).otherwise(_text(key() % 6, " СУ"))
+    after = F.when(key() % 5 == 0, _text(" № ", key() % 2 + 1, " е")).when(key() % 5 == 3, F.lit(" на 300 м")).otherwise("")
+    kind = F.when(key() % 5 < 3, "street").otherwise("school")
     poi = F.struct(name.alias("name"), kind.alias("category"), F.lit(3).alias("start"), (F.lit(3) + F.length(name)).cast("int").alias("end"), F.lit(0.9).alias("confidence"))
     text = F.concat(F.lit("До "), name, after)
     return read(spark, d, "supplier").select(
-        KEY.alias("listing_id"), text.alias("description"), F.lit("гр. София").alias("city"), F.lit("").alias("area"), own.alias("street"), F.array(poi).alias("pois"), F.sha2(text, 256).alias("poi_description_sha256"), F.lit("s").alias("snapshot_hash")
+        key().alias("listing_id"), text.alias("description"), F.lit("гр. София").alias("city"), F.lit("").alias("area"), own.alias("street"), F.array(poi).alias("pois"), F.sha2(text, 256).alias("poi_description_sha256"), F.lit("s").alias("snapshot_hash")
     )
 
 
@@ -101,7 +104,7 @@ def evidence_notes(spark, d):
 def verified_spots(spark, d):
     """The newest verified coordinate of a listing is evidence of its own, with its uncertainty as radius."""
     seen = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("listing_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("observation_id"), F.col("l_returnflag").alias("source"), (F.col("l_quantity") * 50).alias("uncertainty_m"), F.col("l_shipdate").alias("created_at"), F.lit(23.2).alias("x"), F.lit(42.6).alias("y"))
-    listings = read(spark, d, "supplier").select(KEY.alias("listing_id"))
+    listings = read(spark, d, "supplier").select(key().alias("listing_id"))
     return G.observations(listings, seen).select("listing_id", "text", "radius_m", "weight")
 
 
@@ -114,19 +117,19 @@ def usable_mentions(spark, d):
 def aliases(spark, d):
     """Streets are also found under their new names; other categories are not renamed."""
     renamed = spark.createDataFrame([("Стара 1", "Бор 1"), ("Стара 2", "Бор 2")], "old_name string, new_name string")
-    asked = read(spark, d, "supplier").select(KEY.cast("string").alias("mention_id"), _text("ул. Стара ", KEY % 4).alias("name"), F.when(KEY % 2 == 0, "street").otherwise("park").alias("category"))
+    asked = read(spark, d, "supplier").select(key().cast("string").alias("mention_id"), _text("ул. Стара ", key() % 4).alias("name"), F.when(key() % 2 == 0, "street").otherwise("park").alias("category"))
     return G.match_names(asked, _parks(spark), renamed, fold=False).select("mention_id", "external_id", "quality")
 
 
 def addresses(spark, d):
     renamed = spark.createDataFrame([("Стара", "Бор 3")], "old_name string, new_name string")
-    name = F.when(KEY % 3 == 0, _text("ул. Стара № ", KEY % 3 + 1)).otherwise(_text("Бор ", KEY % 8, " ", KEY % 4))
-    asked = read(spark, d, "supplier").select(KEY.cast("string").alias("mention_id"), name.alias("name"), F.when(KEY % 5 != 0, "София").otherwise("Перник").alias("city"))
+    name = F.when(key() % 3 == 0, _text("ул. Стара № ", key() % 3 + 1)).otherwise(_text("Бор ", key() % 8, " ", key() % 4))
+    asked = read(spark, d, "supplier").select(key().cast("string").alias("mention_id"), name.alias("name"), F.when(key() % 5 != 0, "София").otherwise("Перник").alias("city"))
     return G.addresses(asked, _parks(spark), renamed, fold=False).select("mention_id", "external_id")
 
 
 def school_numbers(spark, d):
-    asked = read(spark, d, "supplier").select(KEY.cast("string").alias("mention_id"), F.when(KEY % 2 == 0, _text(KEY % 9, " СОУ Друго")).otherwise(_text(KEY % 9, " гимназия")).alias("name"), F.lit("school").alias("category"))
+    asked = read(spark, d, "supplier").select(key().cast("string").alias("mention_id"), F.when(key() % 2 == 0, _text(key() % 9, " СОУ Друго")).otherwise(_text(key() % 9, " гимназия")).alias("name"), F.lit("school").alias("category"))
     return G.match_names(asked, _parks(spark), _no_aliases(spark), fold=False).select("mention_id", "external_id", "quality")
 
 
@@ -145,13 +148,13 @@ def places_of_release(spark, d):
     """Named features, surfaces as streets, addresses; boundaries and unnamed features are no places."""
     kind = F.element_at(F.array(F.lit("poi"), F.lit("surface"), F.lit("boundary")), (F.col("p_partkey") % 3 + 1).cast("int"))
     features = read(spark, d, "part").select(F.lit("f").alias("dataset"), F.col("p_partkey").cast("string").alias("external_id"), F.when(F.col("p_partkey") % 5 != 0, F.col("p_name")).alias("name"), kind.alias("kind"), F.when(F.col("p_partkey") % 7 != 0, F.lit("park")).alias("category"))
-    houses = read(spark, d, "supplier").select(KEY.cast("string").alias("external_id"), F.col("s_name").alias("street"), F.lit("София").alias("settlement"), KEY.cast("string").alias("number"))
+    houses = read(spark, d, "supplier").select(key().cast("string").alias("external_id"), F.col("s_name").alias("street"), F.lit("София").alias("settlement"), key().cast("string").alias("number"))
     return G.places_of(features, houses, spark.createDataFrame([], "old_name string, new_name string"))[0].select("dataset", "external_id", "name", "category", "number")
 
 
 def crosswalk_support(spark, d):
     walk = read(spark, d, "nation").select(_text("район ", F.col("n_regionkey")).alias("area_key"), F.col("n_name").alias("unit"))
-    asked = read(spark, d, "supplier").select(KEY.alias("listing_id"), _text("Район ", KEY % 7, "!").alias("area"))
+    asked = read(spark, d, "supplier").select(key().alias("listing_id"), _text("Район ", key() % 7, "!").alias("area"))
     return G.crosswalk_support(asked, walk, fold=False).select("listing_id", "group_key", "unit", F.round("mass", 9).alias("mass"))
 
 

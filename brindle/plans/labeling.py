@@ -97,11 +97,6 @@ def _owners(docs, begins):
 
 
 def token_overlap(spark, d):
-    """Spans at three fixed offsets, as in the SQL; `token_overlap_whole` has spans all over the documents."""
-    return _owners(read(spark, d, "documents").select("doc_id", "n_chars"), F.array(*(F.lit(x).cast("long") for x in (3, 48, 50))))
-
-
-def token_overlap_whole(spark, d):
     """Spans from offset 3 to the end, 47 apart, and every third with another two characters on."""
     at = F.sequence(F.lit(3).cast("long"), F.greatest(F.col("n_chars"), F.lit(3)).cast("long"), F.lit(47).cast("long"))
     second = F.transform(F.filter(at, lambda x: x % 3 == 0), lambda x: x + 2)
@@ -114,13 +109,16 @@ def metres(spark, d):
 
 
 def poi_problems(spark, d):
-    """The first words of each text as a place: name, evidence and distance vary by id."""
-    first = F.regexp_extract("text", r"^\S+\s+\S+", 0)
+    """The first and the last two words of each text as places: name, evidence and distance vary by id."""
     unit = F.get(F.array(*map(F.lit, L.UNITS)), (F.col("doc_id") % 7).cast("int"))
     value = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise((F.col("doc_id") % 5 - 1).cast("double"))
-    name = F.when(F.col("doc_id") % 4 == 0, F.lower(first)).otherwise(first)
-    poi = F.struct(F.lit("park").alias("category"), name.alias("name"), F.struct(value.alias("value"), unit.alias("unit")).alias("distance"), first.alias("evidence"))
-    return read(spark, d, "documents").where(F.length(first) > 0).select("doc_id", F.size(L.problems(F.array(poi), F.col("text"))).cast("long").alias("n_problems"))
+
+    def poi(words):
+        name = F.when(F.col("doc_id") % 4 == 0, F.lower(words)).otherwise(words)
+        return F.struct(F.lit("park").alias("category"), name.alias("name"), F.struct(value.alias("value"), unit.alias("unit")).alias("distance"), words.alias("evidence"))
+
+    first, last = F.regexp_extract("text", r"^\s*(\S+\s+\S+)", 1), F.regexp_extract("text", r"(\S+\s+\S+)\s*$", 1)
+    return read(spark, d, "documents").where(F.length(first) > 0).select("doc_id", F.size(L.problems(F.array(poi(first), poi(last)), F.col("text"))).cast("long").alias("n_problems"))
 
 
 def reconcile(spark, d):
@@ -158,7 +156,6 @@ QUERIES = {
     "q_leakage_checks": leakage,
     "q_chrono_holdout": holdout,
     "q_token_span_overlap": token_overlap,
-    "q_token_span_overlap_whole": token_overlap_whole,
     "q_estimated_meters": metres,
     "q_poi_problems": poi_problems,
     "q_reconcile_tasks": reconcile,
@@ -192,12 +189,12 @@ CASE WHEN length(text) >= 1500 THEN 'long_description' END, 'city:' || lang, 'ar
     "q_leakage_checks": """SELECT 'source' AS kind, count(*) AS n FROM (SELECT source FROM documents GROUP BY 1 HAVING min(lang) <> max(lang)) HAVING count(*) > 0
 UNION ALL SELECT 'text_hash', count(*) FROM (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING min(lang) <> max(lang)) HAVING count(*) > 0""",
     "q_chrono_holdout": "SELECT user_id, coalesce(max(ts) FILTER (event_id % 2 = 0) < min(ts) FILTER (event_id % 2 <> 0), false) AS ordered FROM events GROUP BY 1",
-    "q_token_span_overlap": """WITH t AS (SELECT doc_id, unnest(range(0, least(n_chars, 200) + 1, 5)) AS start FROM documents), s AS (SELECT unnest([3, 48, 50]) AS begin_)
-SELECT doc_id, start // 5 AS position, count(*) AS owners, min(begin_)::BIGINT AS first FROM t JOIN s ON start < begin_ + 9 AND start + 5 > begin_ GROUP BY doc_id, start""",
-    "q_token_span_overlap_whole": """WITH t AS (SELECT doc_id, unnest(range(0, n_chars + 1, 5)) AS start FROM documents), b AS (SELECT doc_id, unnest(range(3, greatest(n_chars, 3) + 1, 47)) AS x FROM documents),
+    "q_token_span_overlap": """WITH t AS (SELECT doc_id, unnest(range(0, n_chars + 1, 5)) AS start FROM documents), b AS (SELECT doc_id, unnest(range(3, greatest(n_chars, 3) + 1, 47)) AS x FROM documents),
 s AS (SELECT doc_id, x AS begin_ FROM b UNION ALL SELECT doc_id, x + 2 FROM b WHERE x % 3 = 0)
 SELECT doc_id, start // 5 AS position, count(*) AS owners, min(begin_)::BIGINT AS first FROM t JOIN s USING (doc_id) WHERE start < begin_ + 9 AND start + 5 > begin_ GROUP BY doc_id, start""",
     "q_estimated_meters": f"SELECT doc_id, {_METRES} AS metres FROM documents",
+    "q_poi_problems": r"""WITH w AS (SELECT doc_id, unnest([regexp_extract(text, '^\s*(\S+\s+\S+)', 1), regexp_extract(text, '(\S+\s+\S+)\s*$', 1)]) AS e, doc_id % 7 = 6 AS nearby, CASE WHEN doc_id % 3 <> 0 THEN doc_id % 5 - 1 END AS v FROM documents WHERE regexp_matches(text, '\S\s+\S'))
+SELECT doc_id, sum((NOT regexp_matches(CASE WHEN doc_id % 4 = 0 THEN lower(e) ELSE e END, '[\p{Nd}\p{Lu}]'))::INT + (nearby AND v IS NOT NULL)::INT + (NOT nearby AND v IS NULL)::INT + coalesce(v <= 0, false)::INT)::BIGINT AS n_problems FROM w GROUP BY doc_id""",
     "q_reconcile_tasks": """WITH t AS (SELECT conv_id * 100 + turn AS task_id, (conv_id // 2) AS labeling_task_id, role AS data, (turn = 2 AND role = 'assistant')::INT AS a FROM conversations)
 SELECT labeling_task_id, arg_min(task_id, (1 - a) * 1000000000 + task_id) AS task_id, CASE WHEN count(DISTINCT data) > 1 THEN 'conflicting duplicates' WHEN sum(a) > 1 THEN 'several annotated duplicates' END AS fault FROM t GROUP BY labeling_task_id""",
     "q_batch_approval": """SELECT (conv_id % 40)::VARCHAR AS selection_batch_id, count(*) AS tasks, count(*) FILTER (turn < 5 AND role <> 'system') AS ready, bool_and(turn < 5 AND role <> 'system') AS approved FROM conversations GROUP BY 1""",

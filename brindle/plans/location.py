@@ -19,22 +19,13 @@ def _no_aliases(spark):
     return spark.createDataFrame([], "old_name string, new_name string")
 
 
-def _exact_names(spark, d, asking):
+def name_match(spark, d):
     """Upper-cased, punctuated part names find all parts of the same brand with the same words."""
-    asked = asking.select(F.col("p_partkey").cast("string").alias("mention_id"), F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit("  "))), F.lit("!")).alias("name"), F.lower("p_brand").alias("category"))
+    asked = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("mention_id"), F.concat(F.upper(F.replace("p_name", F.lit(" "), F.lit("  "))), F.lit("!")).alias("name"), F.lower("p_brand").alias("category"))
     found = G.match_names(asked, _places(spark, d), _no_aliases(spark), fold=False)
     return found.where("quality = 1").select("mention_id", "external_id")
 
 
-def name_match(spark, d):
-    """The names that the SQL asks for; `name_match_whole` asks for all."""
-    return _exact_names(spark, d, read(spark, d, "part").where("p_partkey % 5 = 0"))
-
-
-def name_match_whole(spark, d):
-    return _exact_names(spark, d, read(spark, d, "part"))
-
-
 def name_match_fuzzy(spark, d):
     """Names with one letter doubled."""
     asked = read(spark, d, "part").select(F.col("p_partkey").cast("string").alias("mention_id"), F.concat("p_name", F.substring("p_name", -1, 1)).alias("name"), F.lower("p_brand").alias("category"))
@@ -60,44 +51,24 @@ def support_mass(spark, d):
     return S.support(regions, _units(spark)).select("group_key", "unit", F.round("mass", 3).alias("mass"))
 
 
-def _groups(lines):
+def _groups(spark, d):
     """Lines of an order as evidence groups: supplier is the unit, quantity the mass, shipping flags the kind."""
     kind = F.when(F.col("l_returnflag") == "A", "address").when(F.col("l_returnflag") == "R", "street").otherwise("park")
-    return lines.select(F.col("l_orderkey").alias("listing_id"), F.col("l_linenumber").cast("string").alias("group_key"), kind.alias("kind"), (F.lit(1.0) + F.col("l_linenumber") % 3).alias("weight"), F.when(F.col("l_tax") > 0.04, 1.0).otherwise(0.85).alias("quality"), (F.lit(1) + F.col("l_partkey") % 3).cast("int").alias("n_places"), F.create_map((F.col("l_suppkey") % 7).cast("string"), F.col("l_quantity") / 50, (F.lit(7) + F.col("l_partkey") % 5).cast("string"), 1 - F.col("l_quantity") / 50).alias("support"))
-
-
-def _first_lines(spark, d):
-    """The lines that the SQL of `q_weighted_support` and `q_top_vs_runner` reads; the queries named `_whole` read all."""
-    return read(spark, d, "lineitem").where("l_linenumber <= 4")
-
-
-def _weighted(lines):
-    ranked = G.rank_units(_groups(lines))
-    return ranked.select("listing_id", "unit", F.round(F.col("features")[0], 9).alias("support"), F.round(F.col("features")[3], 9).alias("poi"), F.col("conflict"))
-
-
-def _best(lines):
-    probable = G.probabilities(G.rank_units(_groups(lines)), G.WEIGHTS, 0.5)
-    return G.accepted(probable).select("listing_id", "unit", F.round("probability", 6).alias("probability"), "accepted")
+    return read(spark, d, "lineitem").select(F.col("l_orderkey").alias("listing_id"), F.col("l_linenumber").cast("string").alias("group_key"), kind.alias("kind"), (F.lit(1.0) + F.col("l_linenumber") % 3).alias("weight"), F.when(F.col("l_tax") > 0.04, 1.0).otherwise(0.85).alias("quality"), (F.lit(1) + F.col("l_partkey") % 3).cast("int").alias("n_places"), F.create_map((F.col("l_suppkey") % 7).cast("string"), F.col("l_quantity") / 50, (F.lit(7) + F.col("l_partkey") % 5).cast("string"), 1 - F.col("l_quantity") / 50).alias("support"))
 
 
 def weighted_support(spark, d):
-    return _weighted(_first_lines(spark, d))
-
-
-def weighted_support_whole(spark, d):
-    return _weighted(read(spark, d, "lineitem"))
+    ranked = G.rank_units(_groups(spark, d))
+    return ranked.select("listing_id", "unit", F.round(F.col("features")[0], 9).alias("support"), F.round(F.col("features")[3], 9).alias("poi"), F.col("conflict"))
 
 
 def top_vs_runner(spark, d):
-    return _best(_first_lines(spark, d))
-
-
-def top_vs_runner_whole(spark, d):
-    return _best(read(spark, d, "lineitem"))
+    probable = G.probabilities(G.rank_units(_groups(spark, d)), G.WEIGHTS, 0.5)
+    return G.accepted(probable).select("listing_id", "unit", F.round("probability", 6).alias("probability"), "accepted")
 
 
 def union_of_sources(spark, d):
+    """Three sources under one schema."""
     parts = read(spark, d, "part").select(F.lit("part").alias("dataset"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     suppliers = read(spark, d, "supplier").select(F.lit("supplier").alias("dataset"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     nations = read(spark, d, "nation").select(F.lit("nation").alias("dataset"), F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
@@ -139,14 +110,11 @@ def page_links(spark, d):
 
 QUERIES = {
     "q_name_match_exact": name_match,
-    "q_name_match_exact_whole": name_match_whole,
     "q_name_match_fuzzy": name_match_fuzzy,
     "q_point_in_polygon": point_in_polygon,
     "q_support_mass": support_mass,
     "q_weighted_support": weighted_support,
-    "q_weighted_support_whole": weighted_support_whole,
     "q_top_vs_runner": top_vs_runner,
-    "q_top_vs_runner_whole": top_vs_runner_whole,
     "q_union_all_sources": union_of_sources,
     "q_set_ops": set_operations,
     "q_is_not_distinct": not_distinct,
@@ -156,7 +124,7 @@ QUERIES = {
 }
 
 _MASS = """g AS (SELECT l_orderkey AS listing_id, l_linenumber AS k, CASE l_returnflag WHEN 'A' THEN 'address' WHEN 'R' THEN 'street' ELSE 'park' END AS kind, 1.0 + l_linenumber % 3 AS w,
-CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.85 END AS q, 1 + l_partkey % 3 AS places, l_quantity / 50 AS m, l_suppkey % 7 AS a, 7 + l_partkey % 5 AS b FROM lineitem WHERE l_linenumber <= 4),
+CASE WHEN l_tax > 0.04 THEN 1.0 ELSE 0.85 END AS q, 1 + l_partkey % 3 AS places, l_quantity / 50 AS m, l_suppkey % 7 AS a, 7 + l_partkey % 5 AS b FROM lineitem),
 c AS (SELECT listing_id, k, kind, w, q, places, a::VARCHAR AS unit, m AS mass FROM g UNION ALL SELECT listing_id, k, kind, w, q, places, b::VARCHAR, 1 - m FROM g),
 t AS (SELECT listing_id, sum(w * q) AS total, count(*) FILTER (q >= 0.9) AS strong FROM g GROUP BY 1),
 s AS (SELECT listing_id, max(n) AS most FROM (SELECT listing_id, unit, count(DISTINCT k) AS n FROM c WHERE q >= 0.9 AND mass >= 0.1 GROUP BY 1, 2) GROUP BY 1),
@@ -165,7 +133,7 @@ count(*) FILTER (mass > 0.1) AS votes, coalesce(sum(1 / greatest(1, places)) FIL
 r AS (SELECT x.listing_id, unit, support / total AS support, address, street, poi, least(votes / 3, 1) AS independent, strong >= 2 AND coalesce(most, 0) < strong AS conflict, 1 - branches / greatest(votes, 1) AS ambiguity, quality FROM x JOIN t USING (listing_id) LEFT JOIN s USING (listing_id))"""
 
 ORACLE_SQL = {
-    "q_name_match_exact": "SELECT a.p_partkey::VARCHAR AS mention_id, b.p_partkey::VARCHAR AS external_id FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) AND lower(a.p_brand) = lower(b.p_brand) WHERE a.p_partkey % 5 = 0",
+    "q_name_match_exact": "SELECT a.p_partkey::VARCHAR AS mention_id, b.p_partkey::VARCHAR AS external_id FROM part a JOIN part b ON lower(a.p_name) = lower(b.p_name) AND lower(a.p_brand) = lower(b.p_brand)",
     "q_point_in_polygon": """WITH p AS (SELECT event_id, floor(value)::BIGINT % 60 AS x, user_id % 30 AS y FROM events), u AS (SELECT i, j FROM range(6) a(i), range(6) b(j))
 SELECT event_id, 'u' || i || j AS unit FROM p JOIN u ON x BETWEEN i * 10 AND i * 10 + 10 AND y BETWEEN j * 5 AND j * 5 + 5""",
     "q_weighted_support": f"WITH {_MASS} SELECT listing_id, unit, round(support, 9) AS support, round(poi, 9) AS poi, conflict FROM r",
@@ -183,8 +151,3 @@ SELECT k, 'both' AS part FROM (SELECT k FROM b INTERSECT SELECT k FROM r) UNION
 CASE WHEN regexp_matches(url, '/obiava-[a-z0-9]+') THEN regexp_extract(url, '/obiava-([a-z0-9]+)', 1) ELSE string_split(regexp_replace(url, '/+$', ''), '/')[-1] END AS external_id FROM pages""",
     "q_page_links": r"""SELECT page_id, regexp_replace(regexp_extract(url, '^[^?#]*'), '/+$', '') || '/p-3' || substr(url, length(regexp_extract(url, '^[^?#]*')) + 1) AS third, regexp_matches(url, '^https?://[^/@?#]+([/?#]|$)') AS safe FROM pages""",
 }
-
-# The same statements over all lines, and over all names.
-for _name in ("q_weighted_support", "q_top_vs_runner"):
-    ORACLE_SQL[f"{_name}_whole"] = ORACLE_SQL[_name].replace(" FROM lineitem WHERE l_linenumber <= 4)", " FROM lineitem)")
-ORACLE_SQL["q_name_match_exact_whole"] = ORACLE_SQL["q_name_match_exact"].replace(" WHERE a.p_partkey % 5 = 0", "")

@@ -31,7 +31,7 @@ def test_export_matches_brute_force(spark, tmp_path):
             root = {k: low if v == high else v for k, v in root.items()}
     kept = sorted(set(root.values()))
     sizes = sorted(len(clean[i][1]) for i in kept)
-    got = corpus.export_report(spark, str(tmp_path)).collect()[0].asDict()
+    got = corpus.export_counters(spark, str(tmp_path)).collect()[0].asDict() | corpus.percentiles(spark, str(tmp_path)).collect()[0].asDict()
     assert got == {
         "listings_read": len(texts), "dropped_too_short": len(texts) - len(long_enough), "dropped_exact_duplicate": len(long_enough) - len(root), "dropped_near_duplicate": len(root) - len(kept),
         "rows_written": len(kept), "rows_with_poi_hint": sum(clean[i][2] for i in kept), "p50": sizes[len(sizes) // 2], "p95": sizes[int(len(sizes) * 0.95)], "longest": sizes[-1],
@@ -74,9 +74,9 @@ def test_every_line_is_evidence(spark, tmp_path):
         for unit, mass in ((str(supplier % 7), quantity / 50), (str(7 + part % 5), 1 - quantity / 50)):
             want[unit] = want.get(unit, 0.0) + (1 + n % 3) * mass
     total = sum(1 + n % 3 for n in range(1, 8))
-    got = {r["unit"]: r["support"] for r in location.weighted_support_whole(spark, str(tmp_path)).collect()}
+    got = {r["unit"]: r["support"] for r in location.weighted_support(spark, str(tmp_path)).collect()}
     assert {u: round(s / total, 6) for u, s in want.items()} == {u: round(s, 6) for u, s in got.items()}
-    assert location.top_vs_runner_whole(spark, str(tmp_path)).count() == 1
+    assert location.top_vs_runner(spark, str(tmp_path)).count() == 1
 
 
 def test_every_part_name_is_asked_for(spark, tmp_path):
@@ -85,7 +85,7 @@ def test_every_part_name_is_asked_for(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
     key = lambda name: " ".join(name.lower().split())
     exact = {(str(a), str(b)) for a, x, i in parts for b, y, j in parts if i == j and key(x) == key(y)}
-    assert {tuple(r) for r in location.name_match_whole(spark, str(tmp_path)).collect()} == exact
+    assert {tuple(r) for r in location.name_match(spark, str(tmp_path)).collect()} == exact
     want = {}
     for a, x, i in parts:
         asked = key(x + x[-1])
@@ -111,4 +111,4 @@ def test_tokens_and_spans_reach_the_end_of_long_documents(spark, tmp_path):
         for start in range(0, n + 1, 5):
             if own := [x for x in spans if start < x + 9 and start + 5 > x]:
                 want[k, start // 5] = (len(own), min(own))
-    assert {(r[0], r[1]): (r[2], r[3]) for r in labeling.token_overlap_whole(spark, str(tmp_path)).collect()} == want
+    assert {(r[0], r[1]): (r[2], r[3]) for r in labeling.token_overlap(spark, str(tmp_path)).collect()} == want
