@@ -166,9 +166,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = scan_secrets(docs, F.col("doc_id"), F.col("source"))
     base = F.filter("spans", lambda s: s["kind"] < 3)
-    count = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
     return out.select(
-        "doc_id", *count, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"),
+        "doc_id", *map(count, range(3)), F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: s["verdict"] == "live")).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: s["verdict"] == "example")).cast("long").alias("n_example"),
     )
