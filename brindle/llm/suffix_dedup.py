@@ -344,32 +344,48 @@ class BlindTrie:
         return order, common
 
 
+def multikey_groups(rows: np.ndarray, order: np.ndarray, shallow: int) -> np.ndarray:
+    """Sort `order` by the first `shallow` bytes of the rows, in place; returns where each group of rows equal so far begins.
+
+    Ternary multikey quicksort, all open groups at once: a group is split by the eight bytes at its depth into those below,
+    equal to and above its pivot; only the equal part goes on eight bytes deeper.
+    """
+    n, width = rows.shape
+    deep = -(-min(shallow, width) // 8) * 8
+    padded = np.zeros((n, deep), np.uint8)
+    padded[:, : min(deep, width)] = rows[:, : min(deep, width)]
+    if deep > shallow:
+        padded[:, shallow:] = 0
+    words = padded.view(">u8").astype(np.uint64)
+    begins, depth = np.zeros(n, bool), np.zeros(n, np.int64)
+    begins[:1] = True
+    while True:
+        start = np.flatnonzero(begins)
+        size = np.diff(np.append(start, n))
+        group = np.repeat(np.arange(len(start)), size)
+        at = np.flatnonzero(((size > 1) & (depth[start] < words.shape[1]))[group]) if n else start
+        if not len(at):
+            return start
+        own = group[at]
+        key, pivot = words[order[at], depth[at]], words[order[(start + size // 2)[own]], depth[at]]
+        side = (key >= pivot).astype(np.int64) + (key > pivot)
+        inner = np.argsort(own * 3 + side, kind="stable")
+        order[at], side = order[at][inner], side[inner]
+        depth[at] += side == 1
+        begins[at[1:]] |= (own[1:] == own[:-1]) & (side[1:] != side[:-1])
+
+
 def deep_shallow(rows: np.ndarray, sizes: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
     """Order of texts (zero-padded rows of a matrix, with sizes) and common prefix of each with the one before in the order."""
-    n, width = rows.shape
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    for depth in range(0, min(shallow, width), 8):
-        tied = np.flatnonzero(np.bincount(group, minlength=n)[group] > 1)
-        if not len(tied):
-            break
-        word = np.zeros((len(tied), 8), np.uint8)
-        piece = rows[order[tied], depth : depth + 8]
-        word[:, : piece.shape[1]] = piece
-        key = word.view(">u8").ravel().astype(np.uint64)
-        inner = np.lexsort((key, group[tied]))
-        order[tied] = order[tied][inner]
-        key, own = key[inner], group[tied]
-        split = np.zeros(n, bool)
-        split[tied[1:]] = (key[1:] != key[:-1]) & (own[1:] == own[:-1])
-        fresh = np.ones(n, bool)
-        fresh[1:] = (group[1:] != group[:-1]) | split[1:]
-        group = np.cumsum(fresh) - 1
+    n = len(rows)
+    order = np.arange(n)
+    start = multikey_groups(rows, order, shallow)
+    group = np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
     common = np.zeros(n, np.int64)
     if n > 1:  # between groups: the first difference lies within the shallow depth
         edge = np.flatnonzero(group[1:] != group[:-1]) + 1
         differ = rows[order[edge], :shallow] != rows[order[edge - 1], :shallow]
         common[edge] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), shallow), np.minimum(sizes[order[edge]], sizes[order[edge - 1]]))
-    start = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
     for a, b in zip(start.tolist(), np.append(start[1:], n).tolist(), strict=True):
         if b - a > 1:
             members = order[a:b]
@@ -523,4 +539,16 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_suffix_dedup": op2_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT r, h, unnest(range(0, length(h) // 2 - 199)) AS i FROM d),
+repeated AS (SELECT r, i FROM (SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS k FROM starts) QUALIFY count(*) OVER (PARTITION BY k) > 1),
+marked AS (SELECT r, i, (lag(i) OVER (PARTITION BY r ORDER BY i) IS NULL OR i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200)::INT AS fresh FROM repeated),
+numbered AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS span FROM marked),
+spans AS (SELECT r, span, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY r, span),
+edges AS (SELECT r, span, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS last, row_number() OVER (PARTITION BY r ORDER BY a DESC) = 1 AS final FROM spans),
+kept AS (SELECT e.r, string_agg(substr(h, 2 * last + 1, 2 * (a - last)) || CASE WHEN final THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS k, sum(b - a) AS n, count(*) AS spans FROM edges e JOIN d USING (r) GROUP BY e.r)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+""",
+}
