@@ -107,8 +107,14 @@ def asked_rows(block: int, questions: list[Question], buckets: int) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "block", "kind", "keys", "extra"])
 
 
-def n_buckets(df: DataFrame) -> int:
-    return 4 * partitions(df.sparkSession)
+#: A bucket merges about this many keys at once, whatever the number of partitions.
+BUCKET_KEYS = 4_000_000
+
+
+def n_buckets(blocks: DataFrame) -> int:
+    """Buckets by the tokens of staged blocks; every block sends a row to each, so they are no more than memory asks for."""
+    tokens = blocks.agg(F.sum("n_tokens")).first()[0] if "n_tokens" in blocks.columns else blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0]
+    return max(4 * partitions(blocks.sparkSession), -(-(tokens or 0) // BUCKET_KEYS))
 
 
 def ask(blocks: DataFrame, questions_of: Callable[[Block], list[Question]], merge: Callable[[int, list[bytes], list[bytes]], list[bytes]]) -> DataFrame:
