@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import small, stage, table, without
+from brindle.llm.shared import identity, small, stage, table
 
 WORDS = 5
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -79,8 +79,10 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -
 
 
 def clean_of(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Documents that contain no test item."""
-    return without(docs, stage(contained_items(docs, items, threshold).select("doc_id").distinct(), "decontaminate-drop"))
+    """Documents that contain no test item; rows with one id go together, rows without an id by their texts."""
+    found = contained_items(docs.select(identity().alias("doc_id"), "text"), items, threshold)
+    drop = stage(found.select(F.col("doc_id").alias("_drop")).distinct(), "decontaminate-drop")
+    return docs.join(small(drop), identity() == F.col("_drop"), "left_anti").select(*docs.columns)
 
 
 def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

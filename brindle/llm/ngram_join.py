@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.blocks import BLOCKS, Block, ask, asked_rows, make_blocks, n_buckets, signed, with_answers
-from brindle.llm.shared import expand, mix, pack, pack_sorted, small, squeeze, stage, table, unpack, unpack_sorted
+from brindle.llm.shared import expand, identity, mix, pack, pack_sorted, small, squeeze, stage, table, unpack, unpack_sorted
 from brindle.operators.graph import connected_components, discard
 
 CELL, SET, PREFIX, STAR = 0, 1, 2, 3
@@ -582,8 +582,7 @@ def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     key, columns = "_key", docs.columns
     while key in columns:
         key = f"_{key}"
-    of_text = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(key)).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), of_text))
+    keyed = docs.withColumn(key, identity())
     classes = stage(found := join_documents(keyed.select(F.col(key).alias("doc_id"), "text"), n, percent)[0], "join-classes")
     discard(found)
     drop = stage(classes.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "join-drop")
