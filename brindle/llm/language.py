@@ -41,7 +41,7 @@ GROUP_WORDS = 600_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
