@@ -59,6 +59,18 @@ def test_suffix_dedup(spark, monkeypatch, length, hot):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("width", [3, 8, 20, 40])
+def test_multikey_groups_sort_by_leading_bytes(width):
+    rng = np.random.default_rng(width)
+    rows = rng.choice([0, 1, 255], (500, width), p=[0.6, 0.3, 0.1]).astype(np.uint8)
+    order = np.arange(500)
+    start = suffix_dedup.multikey_groups(rows, order, 32)
+    heads = [rows[i, :32].tobytes() for i in order]
+    assert heads == sorted(heads) and sorted(order.tolist()) == list(range(500))
+    assert start.tolist() == [k for k in range(500) if k == 0 or heads[k] != heads[k - 1]]
+    assert suffix_dedup.multikey_groups(rows[:0], np.arange(0), 32).tolist() == []
+
+
 def test_deep_shallow_order_and_prefixes():
     rng = np.random.default_rng(2)
     texts = [bytes(rng.choice([0, 1, 97], rng.integers(0, 60)).astype(np.uint8)) for _ in range(300)]

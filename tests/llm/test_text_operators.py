@@ -61,6 +61,33 @@ def test_containment_matches_brute_force(spark):
     assert decontaminate.clean_of(a, b).count() == len([1 for d, _ in docs if d not in {x for x, _ in want}])
 
 
+def test_clean_of_rows_without_an_id(spark):
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, f"before {item} after"), (1, "something else with more words here"), (None, f"{item} end"), (None, "clean text of a row without an id"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("kept"))
+    kept = decontaminate.clean_of(docs, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([rows[i] for i in (3, 4, 5)], key=str)
+    assert decontaminate.clean_of(docs.limit(0), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_secret_counts_are_by_kind(spark, tmp_path):
+    """The columns of the query, kind by kind; a hex run inside an assigned value counts as both."""
+    import re
+
+    key, hexes = "AKIA" + "Q7" * 9, "0123456789abcdef" * 2
+    texts = [f"token={hexes}", f"{key} and {key}", f"{hexes} {hexes} {hexes}", f"Password: abcdefg {key} {hexes}", "nothing", None, f"secret = 'abcde' apikey=abcdef {hexes[:20]}"]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in secrets.op3_secret_scan(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        found = {0: re.finditer(r"""(?ia)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text or ""), 1: re.finditer(r"AKIA[A-Z0-9]+", text or ""), 2: re.finditer(r"[0-9a-f]+", text or "")}
+        spans = [(m.start(), k, m.end()) for k, ms in found.items() for m in ms if len(m[2] if k == 0 else m[0]) >= (6, 20, 24)[k]]
+        assert [got[i][c] for c in ("n_assign", "n_access", "n_hex")] == [sum(s[1] == k for s in spans) for k in range(3)]
+        spelled = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        assert got[i]["base_sha256"] == hashlib.sha256(spelled.encode()).hexdigest()
+
+
 def test_url_rules(spark):
     urls = ["http://A.net/x", "http://net/", "http://net", "https://www.Example.NET/en/1?q=1", "http://example.com/de/", "http://x.example.com/de", "http://org/fr/a#b", "no scheme", None, "", "a://b://c/d", "http://notnet/", "http://example.net.org/en/", "ftp://u.org?x=/fr/", "http://x.net/a\nb"]
     pages = spark.createDataFrame([(i, u, "h", "c") for i, u in enumerate([*urls, urls[0]])], "page_id long, url string, host string, rule string")
