@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from brindle.functions import text as T
+from brindle.operators.graph import written
 
 MIN_CHARS = 80
+TEACHER = ("teacher_status", "teacher_result", "teacher_problems")
 
 # Categories of places, units of distance, metres per minute.
 CATEGORIES = (
@@ -95,7 +98,7 @@ def is_identifier(name: Column) -> Column:
 
 
 def problems(pois: Column, text: Column) -> Column:
-    """Messages on extractions that cannot be trusted as they are; empty if none."""
+    """Messages on extractions that cannot be trusted as they are; empty if none.  The wording is fixed: reviewers search for it."""
 
     def checks(p: Column, i: Column) -> Column:
         at = lambda message: F.concat(F.lit("pois["), i.cast("string"), F.lit("]: "), message)
@@ -274,6 +277,24 @@ def missing_tasks(wanted: DataFrame, present: DataFrame) -> DataFrame:
     return wanted.join(present.select("labeling_task_id").distinct(), "labeling_task_id", "left_anti")
 
 
+def export_batch(tasks: DataFrame, batch: str, limit: int, imported: Callable[[DataFrame], DataFrame], teacher: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Tasks after a batch was claimed, labelled by a teacher where it has no result yet, and sent to the labelling tool.
+
+    `imported` gets (id, payload) and returns (id, label_studio_task_id) of what arrived; `teacher` gets tasks and returns
+    (id, teacher_status, teacher_result, teacher_problems).  A batch that was exported is sent again only where it failed.
+    """
+    claimed = written(claim(tasks, batch, limit), "claimed")
+    own = claimed.where((F.col("selection_batch_id") == batch) & (F.col("export_status") != "exported"))
+    if teacher is not None:
+        told = teacher(own.where("teacher_status = 'missing'")).select("id", *[F.col(c).alias(f"_{c}") for c in TEACHER])
+        joined = own.join(told, "id", "left")
+        own = joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in TEACHER else c for c in own.columns])
+    own = written(own.select(*tasks.columns), "batch")
+    sent = export_outcome(own, written(imported(task_payload(own)), "imported"))
+    rest = claimed.join(own.select("id"), "id", "left_anti")
+    return rest.select(*tasks.columns).unionByName(sent.select(*tasks.columns))
+
+
 def export_outcome(tasks: DataFrame, imported: DataFrame) -> DataFrame:
     """Tasks after an import: those in the result are exported, others carry an error."""
     joined = tasks.join(imported.select(F.col("id"), F.col("label_studio_task_id").alias("_ls")), "id", "left")

@@ -284,11 +284,44 @@ def preview(ranked: DataFrame, markers: DataFrame, box: tuple[float, float, floa
 # Model of the ranker: a few hundred reviewed examples, fitted on the driver
 
 
+def example_faults(examples: DataFrame) -> DataFrame:
+    """(fault, value): why examples must not be learned from.
+
+    Examples: group_id, geography_group, listing_id, split, description_sha256, planning_unit_id, observed_at (ISO text),
+    candidates.  Groups, texts, areas and units must not be in two splits, a listing not twice; times need a zone, and the
+    splits must follow each other in time.
+    """
+    rows = examples.withColumn("group_id", F.trim("group_id")).withColumn("geography_group", F.trim("geography_group"))
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    one = lambda test, fault: rows.where(test).select(F.lit(fault).alias("fault"), F.col("listing_id").cast("string").alias("value"))
+    found = one(blank("group_id") | blank("geography_group") | ~F.coalesce(F.col("split").isin("train", "calibration", "test"), F.lit(False)), "split and groups are required")
+    found = found.unionByName(one(~F.coalesce(F.col("observed_at").rlike(r"(Z|[+-]\d{2}:?\d{2})$"), F.lit(False)), "time without a zone"))
+    found = found.unionByName(feature_faults(rows).select(F.lit("features").alias("fault"), F.col("listing_id").cast("string").alias("value")))
+    found = found.unionByName(rows.groupBy("listing_id").count().where("count > 1").select(F.lit("listing twice").alias("fault"), F.col("listing_id").cast("string").alias("value")))
+    leaks = {"group_id": "group in two splits", "description_sha256": "text in two splits", "geography_group": "area in two splits", "planning_unit_id": "unit in two splits"}
+    for column, fault in leaks.items():
+        spread = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.min("split").alias("a"), F.max("split").alias("b"))
+        found = found.unionByName(spread.where("a <> b").select(F.lit(fault).alias("fault"), "value"))
+    single = rows.groupBy("split", "group_id").agg(F.min_by("observed_at", "listing_id").alias("at"))
+    ends = single.withColumn("t", F.try_to_timestamp("at")).groupBy().pivot("split", ["train", "calibration", "test"]).agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    late = ends.where("NOT (train_b < calibration_a AND calibration_b < test_a)").select(F.lit("splits out of order").alias("fault"), F.lit("observed_at").alias("value"))
+    return found.unionByName(late)
+
+
+def train_checked(examples: DataFrame, context: dict, **settings) -> dict:
+    """`train_ranker` on a table of reviewed examples, refused if any rule of `example_faults` is broken."""
+    faults = example_faults(examples).limit(5).collect()
+    if faults:
+        raise ValueError("; ".join(f"{r['fault']}: {r['value']}" for r in faults))
+    columns = ("group_id", "listing_id", "split", F.col("planning_unit_id").alias("unit"), "candidates", "conflict")
+    return train_ranker([r.asDict(recursive=True) for r in examples.select(*columns).collect()], context, **settings)
+
+
 def train_ranker(examples: list[dict], context: dict, steps: int = 600, rate: float = 0.15, penalty: float = 0.002) -> dict:
     """Listwise logistic ranker on `train`, temperature on `calibration`, metrics on `test`.
 
     Examples: group_id, listing_id, split, unit (or None), candidates [{unit, features}], conflict.  One example a group is
-    used, the least listing_id; checks of leakage and chronology are those of `dataset.leakage` and `dataset.chronological`.
+    used, the least listing_id; `train_checked` refuses examples that leak between splits or are out of order.
     """
     parts: dict[str, dict[str, dict]] = {"train": {}, "calibration": {}, "test": {}}
     for e in sorted(examples, key=lambda e: e["listing_id"]):

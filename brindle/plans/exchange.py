@@ -19,7 +19,8 @@ from brindle.operators import location as G
 from brindle.operators.graph import shared_dir, written
 from brindle.plans.advertisements import _text, key
 from brindle.plans.tables import read
-from brindle.sources import files, paged, samples
+from brindle.sources import files, paged, registry, samples
+from brindle.sources.tables import Store
 from brindle.streaming import sightings as S
 
 
@@ -317,6 +318,38 @@ def driver_checks(spark, d):
     return spark.createDataFrame(rows, "what string, found string")
 
 
+def export_batch(spark, d):
+    """A batch of sixty tasks: claimed, labelled by a teacher where needed, sent; the labelling tool takes four of five."""
+    tasks = read(spark, d, "part").select(
+        key().alias("id"), F.concat(F.lit("l"), key().cast("string")).alias("listing_id"), F.col("p_name").alias("description_snapshot"), F.lit("h").alias("content_hash"), F.when(key() % 4 == 0, F.lit("old")).alias("selection_batch_id"), F.lit("not_exported").alias("export_status"),
+        F.lit(None).cast("string").alias("export_error"), F.lit(None).cast("long").alias("label_studio_task_id"), F.when(key() % 3 == 0, "done").otherwise("pending").alias("status"), (-key()).alias("created_at"), F.when(key() % 2 == 0, "ok").otherwise("missing").alias("teacher_status"),
+        F.lit(None).cast(f"array<{L.POI}>").alias("teacher_result"), F.lit(None).cast("array<string>").alias("teacher_problems"), F.lit("p").alias("teacher_provider"), F.lit("m").alias("teacher_model"), F.lit("v").alias("teacher_prompt_version"),
+    )
+    teacher = lambda rows: rows.select("id", F.lit("refused").alias("teacher_status"), F.lit(None).cast(f"array<{L.POI}>").alias("teacher_result"), F.array(F.lit("x")).alias("teacher_problems"))
+    tool = lambda sent: sent.where(F.get_json_object("payload", "$.data.labeling_task_id").cast("long") % 5 != 0).select("id", (F.col("id") + 1000).alias("label_studio_task_id"))
+    out = L.export_batch(tasks, "new", 60, tool, teacher)
+    return out.where("selection_batch_id = 'new'").select("id", "export_status", "export_error", "label_studio_task_id", "teacher_status")
+
+
+def store(spark, d):
+    """A table after a first version, two appends of which the second repeats keys, and an upsert."""
+    table = Store(spark, _folder(spark, "store"))
+    rows = read(spark, d, "orders").select("o_orderkey", "o_custkey", F.lit(0).alias("v"))
+    table.replace("orders", rows.where("o_orderkey % 3 = 0"))
+    table.append("orders", rows.where("o_orderkey % 3 = 1"), [["o_orderkey"]], ["o_custkey"])
+    table.append("orders", rows.where("o_orderkey % 2 = 0").withColumn("v", F.lit(1)), [["o_orderkey"]], ["o_custkey"])
+    table.upsert("orders", rows.where("o_orderkey % 10 = 0").withColumn("v", F.lit(2)), "o_orderkey")
+    schema = "o_orderkey long, o_custkey long, v int"
+    return table.read("orders", schema).unionByName(table.read("orders", schema, 2).where("o_orderkey < 100").withColumn("v", F.lit(-1))).unionByName(table.read("never", schema))
+
+
+def providers(spark, d):
+    """A plug-in found by name, imported only when it is asked for."""
+    registry.register("numbers", "brindle.sources.samples:scraper")
+    urls = read(spark, d, "supplier").select(_text("https://x.bg/", F.col("s_suppkey")).alias("url"))
+    return paged.fetch(urls, registry.provider("numbers"), "title string").select("url", "outcome")
+
+
 def newest_descriptions(spark, d):
     """The scan for the export: described listings, newest first."""
     rows = read(spark, d, "orders").select("o_orderkey", "o_orderdate", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).otherwise(" ").alias("description"))
@@ -348,7 +381,7 @@ QUERIES = {
     "q_published": published, "q_release": release, "q_reports": reports, "q_task_array": task_array, "q_batch_files": batch_files, "q_recorded_pages": recorded_pages, "q_fetched": fetched, "q_predicted": predicted, "q_fetch_list": fetch_list,
     "q_run_inserts": run_inserts, "q_run_listings": run_listings, "q_run_summary": run_summary, "q_appended_log": appended_log, "q_last_lines": last_lines, "q_fresh_inputs": fresh_inputs, "q_enrichment_queue": enrichment_queue,
     "q_single_sync": single_sync, "q_reserved_slots": reserved_slots, "q_dataset_snapshot": dataset_snapshot, "q_coverage_warnings": coverage_warnings, "q_frozen_gold": frozen_gold, "q_chronology": chronology, "q_driver_checks": driver_checks,
-    "q_newest_descriptions": newest_descriptions, "q_batch_tasks": batch_tasks, "q_pinned_units": pinned_units, "q_pairs_in_list": pairs_in_list,
+    "q_newest_descriptions": newest_descriptions, "q_batch_tasks": batch_tasks, "q_pinned_units": pinned_units, "q_pairs_in_list": pairs_in_list, "q_export_batch": export_batch, "q_store": store, "q_providers": providers,
 }
 
 _RUN = """s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN 'imot' ELSE 'other' END AS source, c_custkey::VARCHAR AS external_id, floor(c_acctbal) AS price, TIMESTAMP '2024-01-10 00:00:00' - to_days((c_nationkey % 7)::INT) AS seen, c_mktsegment AS area FROM customer),
@@ -399,4 +432,9 @@ SELECT 'by_year' AS split, max(t) FILTER (y = 0) < min(t) FILTER (y = 1) AND max
     "q_batch_tasks": "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F' ORDER BY o_orderdate, o_orderkey LIMIT 100",
     "q_pinned_units": "SELECT DISTINCT n_name FROM nation WHERE n_regionkey = 2",
     "q_pairs_in_list": "SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber % 3 = o_orderkey % 3)",
+    "q_export_batch": """WITH c AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 3 <> 0 ORDER BY -p_partkey, p_partkey LIMIT 60)
+SELECT id, CASE WHEN id % 5 <> 0 THEN 'exported' ELSE 'failed' END AS export_status, CASE WHEN id % 5 = 0 THEN 'not in import result' END AS export_error, CASE WHEN id % 5 <> 0 THEN id + 1000 END AS label_studio_task_id, CASE WHEN id % 2 = 0 THEN 'ok' ELSE 'refused' END AS teacher_status FROM c""",
+    "q_store": """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 0 THEN 2 WHEN o_orderkey % 3 = 2 THEN 1 ELSE 0 END AS v FROM orders WHERE o_orderkey % 3 < 2 OR o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, o_custkey, -1 FROM orders WHERE o_orderkey % 3 < 2 AND o_orderkey < 100""",
+    "q_providers": "SELECT 'https://x.bg/' || s_suppkey AS url, CASE s_suppkey % 10 WHEN 3 THEN 'transient' WHEN 7 THEN 'unavailable' ELSE 'ok' END AS outcome FROM supplier",
 }

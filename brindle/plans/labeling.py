@@ -186,6 +186,13 @@ v AS (SELECT cluster FROM c WHERE NOT gold AND human ORDER BY sha256('42:' || le
 SELECT doc_id, CASE WHEN gold AND split = 'gold' THEN 'gold' WHEN gold THEN 'excluded' WHEN cluster IN (SELECT cluster FROM v) THEN 'validation' ELSE 'train' END AS assigned FROM rows_ JOIN c USING (cluster)""",
     "q_coverage_features": f"""WITH {_ROWS}, f AS (SELECT split, unnest(list_distinct(list_filter([CASE WHEN doc_id % 3 = 0 THEN 'category:park' ELSE 'no_pois' END, CASE WHEN doc_id % 3 = 0 THEN 'category:' || split END,
 CASE WHEN length(text) >= 1500 THEN 'long_description' END, 'city:' || lang, 'area:' || source], lambda x: x IS NOT NULL))) AS feature FROM rows_) SELECT split, feature, count(*) AS n FROM f GROUP BY ALL""",
+    "q_greedy_gold": f"""WITH RECURSIVE {_ROWS}, k AS (SELECT cluster, content_hash, list_position(['de', 'en', 'es', 'fr'], lang) AS a, CASE WHEN length(text) > 2000 THEN 5 ELSE 6 END AS b FROM rows_),
+each_cluster AS (SELECT cluster, sha256('[42, "' || min(content_hash) || '"]') AS digest, list(a) AS la, list(b) AS lb FROM k GROUP BY cluster),
+pick(step, chosen, n) AS (SELECT 0, []::VARCHAR[], [0, 0, 0, 0, 0, 0]::BIGINT[] UNION ALL
+SELECT step + 1, list_append(chosen, x.cluster), list_transform(range(1, 7), lambda i: n[i] + len(list_filter(list_concat(x.la, x.lb), lambda y: y = i))) FROM pick, LATERAL (
+  SELECT cluster, la, lb FROM each_cluster WHERE NOT list_contains(chosen, cluster)
+  ORDER BY round(list_avg(list_transform(range(1, len(la) + 1), lambda j: (1 / (1 + n[la[j]]) + 1 / (1 + n[lb[j]])) / 2)), 9) DESC, digest LIMIT 1) x WHERE step < 12)
+SELECT content_hash FROM k WHERE cluster IN (SELECT unnest(chosen) FROM pick WHERE step = 12)""",
     "q_leakage_checks": """SELECT 'source' AS kind, count(*) AS n FROM (SELECT source FROM documents GROUP BY 1 HAVING min(lang) <> max(lang)) HAVING count(*) > 0
 UNION ALL SELECT 'text_hash', count(*) FROM (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING min(lang) <> max(lang)) HAVING count(*) > 0""",
     "q_chrono_holdout": "SELECT user_id, coalesce(max(ts) FILTER (event_id % 2 = 0) < min(ts) FILTER (event_id % 2 <> 0), false) AS ordered FROM events GROUP BY 1",

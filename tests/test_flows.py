@@ -1,0 +1,136 @@
+"""Flows that join several operators: resolver, training checks, stores, scheduled batches."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from brindle.operators import location as G
+from brindle.operators import resolution as R
+from brindle.plans import evidence as P
+from brindle.plans.location import _no_aliases, _units
+from brindle.sources import registry
+from brindle.sources.tables import Store
+from brindle.streaming import sightings as S
+
+LISTING = "listing_id string, description string, city string, area string, street string, pois array<struct<name:string,category:string,start:int,end:int,confidence:double>>, poi_description_sha256 string, snapshot_hash string"
+
+
+def listing(name, text, pois=(), street="", area="", fresh=True):
+    import hashlib
+
+    spans = [(n, c, text.index(n), text.index(n) + len(n), 0.9) for n, c in pois]
+    return (name, text, "гр. София", area, street, spans, hashlib.sha256((text if fresh else "old").encode()).hexdigest(), f"snap-{name}")
+
+
+def test_evidence_merges_mentions_of_the_same_places(spark):
+    rows = [
+        listing("a", "На 200 м от Парк Н00, после на 900 м от пак Парк Н00.", [("Парк Н00", "park")]),
+        listing("b", "Бор 1 № 1 и Бор 1", [("Бор 1", "street")], street="ул. Бор 1 № 1"),
+        listing("c", "До Няма парк", [("Няма парк", "park")], street="Бор 2"),
+        listing("d", "До Парк Н00", [("Парк Н00", "park")], fresh=False),
+        listing("e", "Не е близо до Парк Н01", [("Парк Н01", "park")]),
+    ]
+    docs = spark.createDataFrame(rows, LISTING)
+    seen = spark.createDataFrame([("d", "o1", "gps", 50.0, 23.05, 42.525, dt.datetime(2026, 1, 1)), ("d", "o2", "gps", 9000.0, 23.05, 42.525, dt.datetime(2026, 1, 2))], "listing_id string, observation_id string, source string, uncertainty_m double, x double, y double, created_at timestamp")
+    groups, notes = R.evidence(docs, P._parks(spark), _no_aliases(spark), seen, fold=False)
+    got = sorted((r["listing_id"], r["kind"], r["radius_m"], r["weight"]) for r in groups.collect())
+    assert got == [("a", "park", 300.0, 1.0), ("b", "nearby_address", 500.0, 1.0), ("c", "street", 100.0, 1.0), ("d", "address", 50.0, 5.0)]
+    told = {(r["listing_id"], r["note"].split(":")[0]) for r in notes.collect()}
+    assert told == {("c", "unresolved park"), ("d", "predictions missing or stale; structured location only"), ("e", "negative, comparative or agency context")}
+
+
+def test_resolver_skips_what_is_stored_and_stops_at_its_limit(spark):
+    rows = [listing(f"l{i}", f"До Парк Н0{i} е", [(f"Парк Н0{i}", "park")], area="Район" if i == 2 else "") for i in range(5)]
+    docs, context = spark.createDataFrame(rows, LISTING), {"b": 1, "a": "ж"}
+    stored = docs.where("listing_id = 'l1'").select("listing_id", R.input_fingerprint(F.col("snapshot_hash"), context, None).alias("input_fingerprint"))
+    walk = spark.createDataFrame([("район", "u55")], "area_key string, unit string")
+    out = R.resolve(docs, P._parks(spark), _no_aliases(spark), P._points(spark), _units(spark), stored, context, 3, None, walk, fold=False)
+    assert [(r["listing_id"], r["status"], r["unit"]) for r in out["results"].orderBy("listing_id").collect()] == [("l0", "ambiguous", None), ("l2", "ambiguous", None), ("l3", "ambiguous", None)]
+    assert {(r["listing_id"], r["unit"]) for r in out["candidates"].collect()} == {("l0", "u00"), ("l2", "u02"), ("l2", "u55"), ("l3", "u03")}
+    assert out["counts"].first().asDict() == {"saved": 3, "accepted": 0, "ambiguous": 3, "unmatched": 0, "unchanged": 1}
+    with pytest.raises(ValueError):
+        R.resolve(docs, P._parks(spark), _no_aliases(spark), P._points(spark), _units(spark), stored, context, 0)
+
+
+def examples():
+    rows, n = [], 0
+    for split, groups, year in (("train", 40, 2021), ("calibration", 20, 2022), ("test", 40, 2023)):
+        for i in range(groups):
+            n += 1
+            known = i % 4 != 0
+            features = [0.9 if known else 0.1, 0.0, 0.0, 0.5, 0.3, 0.0, 0.0, 0.9, 0.0]
+            rows.append([f"g{n}", f"z{n}", f"l{n:03d}", split, f"h{n}", f"u{n}" if known else None, f"{year}-01-{i % 27 + 1:02d}T00:00:00+00:00", [(f"u{n}", features)], False])
+    return rows
+
+
+EXAMPLE = "group_id string, geography_group string, listing_id string, split string, description_sha256 string, planning_unit_id string, observed_at string, candidates array<struct<unit:string,features:array<double>>>, conflict boolean"
+
+
+@pytest.mark.parametrize(
+    "row,column,value,fault",
+    [
+        (None, 0, None, None), (45, 0, "g1", "group in two splits"), (45, 4, "h1", "text in two splits"), (45, 1, " z1 ", "area in two splits"), (45, 5, "u2", "unit in two splits"), (1, 2, "l001", "listing twice"),
+        (3, 6, "2021-01-01T00:00:00", "time without a zone"), (3, 6, "2024-01-01T00:00:00Z", "splits out of order"), (3, 3, "dev", "split and groups are required"), (3, 1, "  ", "split and groups are required"), (3, 7, [("u", [0.5] * 8)], "features"),
+    ],
+)
+def test_ranker_is_trained_on_sound_examples_only(spark, row, column, value, fault):
+    rows = examples()
+    if row is not None:
+        rows[row][column] = value
+    frame = spark.createDataFrame([tuple(r) for r in rows], EXAMPLE)
+    found = {r["fault"] for r in G.example_faults(frame).collect()}
+    if fault is None:
+        assert found == set() and G.train_checked(frame, {"c": 1}, steps=30)["split_counts"] == {"train": 40, "calibration": 20, "test": 40}
+    else:
+        assert fault in found
+        with pytest.raises(ValueError):
+            G.train_checked(frame, {"c": 1}, steps=1)
+
+
+def test_store_shows_whole_versions_only(spark, tmp_path):
+    table = Store(spark, str(tmp_path))
+    assert table.read("t", "a long").count() == 0 and table.versions("t") == []
+    table.replace("t", spark.range(3).withColumnRenamed("id", "a"))
+    table.append("t", spark.range(2, 5).withColumnRenamed("id", "a"), [["a"]], ["a"])
+    (tmp_path / "t" / "pointers" / "000000000003").mkdir()  # a writer that died
+    assert table.versions("t") == [1, 2] and sorted(r["a"] for r in table.read("t", "a long").collect()) == [0, 1, 2, 3, 4]
+    assert sorted(r["a"] for r in table.read("t", "a long", 1).collect()) == [0, 1, 2]
+
+
+def test_providers_are_found_by_name():
+    assert registry.provider("sample-scraper")()("https://x/1") == {"title": "t1"}
+    with pytest.raises(ValueError):
+        registry.provider("nobody")
+    registry.register("other", "brindle.sources.samples:model")
+    with pytest.raises(ValueError):
+        registry.register("other", "brindle.sources.samples:scraper")
+
+
+def test_scheduled_batches_and_single_steps(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/in")
+    got = []
+    query = S.scheduled(spark.readStream.schema("id long").parquet(f"{tmp_path}/in"), lambda batch, _: got.extend(r["id"] for r in batch.collect()), f"{tmp_path}/log", "1 second")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    calls = []
+
+    def failing(rows):
+        calls.append(1)
+        raise OSError("down")
+
+    with pytest.raises(OSError):
+        S.single(spark.range(1), failing, attempts=3)
+    assert len(calls) == 3
+
+
+def test_slots_follow_the_queue_across_pieces(spark):
+    asked = [(i, float(t)) for i, t in enumerate([0, 0, 1, 50, 3599, 3600, 3600, 3601, 9000, 9000])]
+    got = {r["request"]: r["slot"] for r in S.slots(spark.createDataFrame(asked, "request int, at double"), 30.0).collect()}
+    want, last = {}, float("-inf")
+    for i, t in asked:
+        last = want[i] = max(t, last + 30.0)
+    assert got == want
