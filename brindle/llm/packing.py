@@ -38,6 +38,13 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 LONG_RUN = re.compile(r"\S{400}|\s{400}")
 
 
+def has_long_run(text: str) -> bool:
+    """Is there a run of 400?  It would cover one of the text's pieces of 200 whole, so mostly these decide."""
+    if not any(len(text[at : at + 200].split(None, 1)) < 2 for at in range(0, len(text) - 199, 200)):
+        return False
+    return LONG_RUN.search(text) is not None
+
+
 class Encoder:
     """Token ids of the byte-level vocabulary `name`, as `Tokenizer.encode` gives them.
 
@@ -56,7 +63,7 @@ class Encoder:
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if LONG_RUN.search(text) or any(token in text for token in self.added):
+        if has_long_run(text) or any(token in text for token in self.added):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 

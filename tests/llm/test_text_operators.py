@@ -161,6 +161,15 @@ def test_fast_and_slow_encoder_agree():
         assert encoder.ids(text or "") == encoder.slow.encode(text or "", add_special_tokens=False).ids
 
 
+def test_long_runs_are_found_wherever_they_begin():
+    rng = np.random.default_rng(6)
+    for n in (398, 399, 400, 401, 700):
+        for run in ("x" * n, " " * n, "\n\t" * (n // 2) + " " * (n % 2)):
+            for lead in (0, 1, 57, 199, 200, 201, 333):
+                text = "ab " * (lead // 3) + "a" * (lead % 3) + (" " if run[0] == "x" else "y") + run + ("." if run[0] != "x" else " ") + "cd " * int(rng.integers(0, 90))
+                assert packing.has_long_run(text) == bool(packing.LONG_RUN.search(text))
+
+
 def test_media_round_trip(spark):
     rows = documents()
     folder = media.write_archives(frame(spark, rows))
