@@ -59,15 +59,17 @@ def match_names(mentions: DataFrame, places: DataFrame, aliases: DataFrame, fold
     by_number = rest.where(F.col("category").isin(*SCHOOLS) & F.col("key").rlike(SCHOOL_NUMBER)).withColumn("number", number).join(numbered, ["category", "number"]).select("mention_id", "dataset", "external_id").distinct()
     by_number = written(by_number, "numbered")
 
-    open_ = rest.join(by_number.select("mention_id").distinct(), "mention_id", "left_anti").where(F.length("key") >= FUZZY_LENGTH)
+    open_ = written(rest.join(by_number.select("mention_id").distinct(), "mention_id", "left_anti").where(F.length("key") >= FUZZY_LENGTH), "open")
     tokens = lambda df: df.withColumn("token", F.explode(F.array_distinct(F.split("key", " ")))).where(F.length("token") >= TOKEN_LENGTH)
     names = tokens(keyed.select("category", F.col("key").alias("other")).distinct().withColumn("key", F.col("other"))).select("category", "token", "other")
-    # A ratio of 0.94 bounds the lengths: 2 * shorter / (shorter + longer) must reach it.
+    # A ratio of 0.94 bounds the lengths: 2 * shorter / (shorter + longer) must reach it.  Each different key is compared once.
     near = F.least(F.length("key"), F.length("other")) * 2 >= (F.length("key") + F.length("other")) * FUZZY_RATIO
-    pairs = tokens(open_).join(names, ["category", "token"]).where(near).select("mention_id", "category", "key", "other").distinct()
-    scored = pairs.withColumn("ratio", similarity("key", "other")).where(F.col("ratio") >= FUZZY_RATIO)
-    best = scored.withColumn("best", F.max("ratio").over(Window.partitionBy("mention_id"))).where(F.col("ratio") >= F.col("best") - FUZZY_TIE)
-    fuzzy = best.join(keyed.withColumnRenamed("key", "other"), ["category", "other"]).select("mention_id", "dataset", "external_id", F.col("best").alias("quality")).distinct()
+    pairs = tokens(open_.select("category", "key").distinct()).join(names, ["category", "token"]).where(near).select("category", "key", "other").distinct()
+    scored = written(pairs.withColumn("ratio", similarity("key", "other")).where(F.col("ratio") >= FUZZY_RATIO), "scored")
+    tops = scored.groupBy("category", "key").agg(F.max("ratio").alias("best"))
+    best = scored.join(tops, ["category", "key"]).where(F.col("ratio") >= F.col("best") - FUZZY_TIE).select("category", "key", "other", "best")
+    found = open_.join(best, ["category", "key"]).select("mention_id", "category", "other", "best")
+    fuzzy = found.join(keyed.withColumnRenamed("key", "other"), ["category", "other"]).select("mention_id", "dataset", "external_id", F.col("best").alias("quality")).distinct()
     return exact.withColumn("quality", F.lit(1.0)).unionByName(by_number.withColumn("quality", F.lit(1.0))).unionByName(fuzzy)
 
 
@@ -142,22 +144,23 @@ def independent(groups: DataFrame, masses: DataFrame) -> DataFrame:
     The collapse is greedy in group order and replaces a kept group by a heavier one, so it is a fold over the few groups of
     one listing.
     """
-    maps = masses.groupBy("listing_id", "group_key").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("unit", "mass")))).alias("support"))
-    full = groups.join(maps, ["listing_id", "group_key"], "left").withColumn("support", F.coalesce("support", F.create_map().cast("map<string,double>")))
+    cells = masses.groupBy("listing_id", "group_key").agg(F.array_sort(F.collect_list(F.struct("unit", "mass"))).alias("cells"))
+    none = F.expr("CAST(array() AS array<struct<unit:string,mass:double>>)")
+    full = groups.join(cells, ["listing_id", "group_key"], "left").withColumn("cells", F.coalesce("cells", none))
     fields = [c for c in full.columns if c != "listing_id"]
-    lists = full.groupBy("listing_id").agg(F.array_sort(F.collect_list(F.struct(F.col("group_key").alias("_o"), F.to_json("support").alias("_j"), *[c for c in fields if c != "support"]))).alias("groups"))
+    lists = full.groupBy("listing_id").agg(F.array_sort(F.collect_list(F.struct(F.col("group_key").alias("_o"), *fields))).alias("groups"))
 
     def fold(acc: Column, g: Column) -> Column:
-        units = lambda x: F.array_sort(F.map_keys(F.from_json(x["_j"], "map<string,double>")))
-        mass = lambda x, u: F.coalesce(F.try_element_at(F.from_json(x["_j"], "map<string,double>"), u), F.lit(0.0))
-        alike = lambda k: (units(k) == units(g)) & (F.aggregate(units(g), F.lit(0.0), lambda s, u: s + F.abs(mass(k, u) - mass(g, u))) < 0.05)
-        at = F.array_position(F.transform(acc, lambda k: alike(k)), True)
+        units = lambda x: F.transform(x["cells"], lambda c: c["unit"])
+        apart = lambda k: F.aggregate(F.zip_with(k["cells"], g["cells"], lambda a, b: F.abs(a["mass"] - b["mass"])), F.lit(0.0), lambda s, x: s + x)
+        alike = lambda k: (units(k) == units(g)) & (apart(k) < 0.05)
+        at = F.array_position(F.transform(acc, lambda k: F.coalesce(alike(k), F.lit(False))), True)
         heavier = g["weight"] > F.element_at(acc, F.greatest(at, F.lit(1)).cast("int"))["weight"]
         replaced = F.transform(acc, lambda k, i: F.when((i + 1 == at) & heavier, g).otherwise(k))
         return F.when(at == 0, F.concat(acc, F.array(g))).otherwise(replaced)
 
     kept = lists.select("listing_id", F.aggregate("groups", F.filter("groups", lambda g: F.lit(False)), fold).alias("g"))
-    return kept.select("listing_id", F.inline("g")).withColumn("support", F.from_json("_j", "map<string,double>")).drop("_o", "_j")
+    return kept.select("listing_id", F.inline("g")).withColumn("support", F.map_from_entries("cells")).drop("_o", "cells")
 
 
 def rank_units(groups: DataFrame) -> DataFrame:
