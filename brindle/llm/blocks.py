@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import bucket_edges, expand, octets, pack, partitions, squeeze, stage, unpack
+from brindle.llm.shared import bucket_edges, expand, give_back, octets, pack, partitions, squeeze, stage, unpack
 
 BLOCK_BYTES = 8 << 20
 BLOCKS = "block long, n_tokens long, doc_ids array<long>, sizes array<long>, tokens binary, vocabulary binary"
@@ -82,8 +82,11 @@ def blocker(lower: bool, block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]
                 if held >= block_bytes:
                     yield flush()
                     number, known, doc_ids, parts, held = number + 1, {}, [], [], 0
+                    give_back()
         if doc_ids:
             yield flush()
+        known, doc_ids, parts = {}, [], []
+        give_back()
 
     return build
 
@@ -129,6 +132,7 @@ def ask(blocks: DataFrame, questions_of: Callable[[Block], list[Question]], merg
             for row in range(batch.num_rows):
                 block = Block.of(batch.slice(row, 1).to_pylist()[0])
                 yield from asked_rows(block.block, questions_of(block), buckets)
+                give_back()
 
     return answered(blocks.mapInArrow(send, ASKED), merge)
 
@@ -136,6 +140,7 @@ def ask(blocks: DataFrame, questions_of: Callable[[Block], list[Question]], merg
 def answered(asked: DataFrame, merge: Callable[[int, list[bytes], list[bytes]], list[bytes]]) -> DataFrame:
     def reply(rows: pa.Table) -> pa.Table:
         kinds = rows.column("kind").to_numpy()
+        give_back()
         out = {"block": [], "bucket": [], "kind": [], "answer": []}
         for kind in np.unique(kinds).tolist():
             own = rows.filter(pa.array(kinds == kind))
@@ -153,6 +158,7 @@ def with_answers(blocks: DataFrame, answers: DataFrame, use: Callable[[Block, di
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return empty.empty_table()
+        give_back()
         given: dict[int, list[bytes]] = {}
         for kind, _, answer in sorted(zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "answer")), strict=True), key=lambda x: x[:2]):
             given.setdefault(kind, []).append(answer)

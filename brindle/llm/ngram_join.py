@@ -31,13 +31,12 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.blocks import BLOCKS, Block, ask, asked_rows, make_blocks, n_buckets, signed, with_answers
-from brindle.llm.shared import expand, identity, mix, pack, pack_sorted, small, squeeze, stage, table, unpack, unpack_sorted
+from brindle.llm.shared import expand, fresh, identity, mix, pack, pack_sorted, small, squeeze, stage, table, unpack, unpack_sorted
 from brindle.operators.graph import connected_components, discard
 
 CELL, SET, PREFIX, STAR = 0, 1, 2, 3
@@ -265,7 +264,8 @@ def meet_lists(rows: pa.Table) -> pa.Table:
     key, doc, kind, block = ([np.zeros(0, t)] for t in (np.uint64, np.uint64, np.int64, np.int64))
     for b, what, k, extra in zip(*(rows.column(c).to_pylist() for c in ("block", "kind", "keys", "extra")), strict=True):
         if what == STAR:
-            found.append(pd.DataFrame({"block": b, "doc": signed(unpack(k)), "first": signed(unpack(extra))}))
+            own = unpack(k)
+            found.append(np.stack([np.full(len(own), b), signed(own), signed(unpack(extra))]))
             continue
         ends = 24 + np.cumsum(np.frombuffer(extra[:24], "<u8").astype(np.int64))
         names, at = unpack(extra[24 : ends[0]]), unpack(extra[ends[1] : ends[2]]).astype(np.int64)
@@ -277,9 +277,9 @@ def meet_lists(rows: pa.Table) -> pa.Table:
     order = np.lexsort((doc, kind, key))
     key, doc, kind, block = key[order], doc[order], kind[order], block[order]
     shared, least = stars(key, kind, doc)
-    found.append(pd.DataFrame({"block": block[shared], "doc": signed(doc[shared]), "first": signed(least)}))
-    each = pd.concat(found).drop_duplicates()
-    return pa.table({c: pa.array(each[c].to_numpy(np.int64)) for c in ("block", "doc", "first")})
+    found.append(np.stack([block[shared], signed(doc[shared]), signed(least)]))
+    each = np.unique(np.concatenate(found, axis=1), axis=1)
+    return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("block", "doc", "first"), each, strict=True)})
 
 
 # T-occurrence search
@@ -579,9 +579,7 @@ def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     Rows without an id have a key from their text, larger than usual ids; of rows that share a key one stays, of different
     texts the one with the least hash.
     """
-    key, columns = "_key", docs.columns
-    while key in columns:
-        key = f"_{key}"
+    key, columns = fresh(docs, "_key"), docs.columns
     keyed = docs.withColumn(key, identity())
     classes = stage(found := join_documents(keyed.select(F.col(key).alias("doc_id"), "text"), n, percent)[0], "join-classes")
     discard(found)

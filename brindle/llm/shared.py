@@ -12,6 +12,9 @@ staged block whenever a task is lost, so nothing depends on executor-local state
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from brindle.operators.graph import written
 
 CODEC = "zstd"
+#: The C library's way to give back free pages, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 BATCH_BYTES = 4 << 20
 
 
@@ -47,6 +52,13 @@ def stage(df: DataFrame, name: str, compression: str = CODEC) -> DataFrame:
     return written(df, name, compression)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers wait for their next task with what they hold, and several may be alive."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -139,3 +151,11 @@ def small(df: DataFrame, rows: int = 500_000) -> DataFrame:
 def identity() -> Column:
     """doc_id, or for rows without one a number from the text, larger than usual ids."""
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit("text")).bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62))
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that the table does not have, in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm.blocks import ASKED, answered, asked_rows, n_buckets
-from brindle.llm.shared import bucket_edges, expand, mix, octets, pack, pack_sorted, squeeze, stage, table, unpack, unpack_sorted
+from brindle.llm.shared import bucket_edges, expand, give_back, mix, octets, pack, pack_sorted, squeeze, stage, table, unpack, unpack_sorted
 
 TEXTS = "block long, doc_ids array<long>, sizes array<long>, text binary"
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -165,8 +165,11 @@ def blocker(block_bytes: int):
                 if held >= block_bytes:
                     yield flush()
                     number, ids, texts, held = number + 1, [], [], 0
+                    give_back()
         if ids:
             yield flush()
+        ids, texts = [], []
+        give_back()
 
     return build
 
@@ -491,12 +494,14 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
                     return pack_sorted(entries.key[a:b]), len(context).to_bytes(8, "little") + context + squeeze(entries.flags[a:b])
 
                 yield from asked_rows(row["block"], [(0, entries.key, packed)], buckets)
+                give_back()
 
     first = stage(answered(blocks.mapInArrow(ask_anchors, ASKED), lambda kind, keys, extras: merge_anchors(keys, extras)), "suffix-anchors", "uncompressed")
 
     def ask_cases(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return asked_schema().empty_table()
+        give_back()
         row = left.to_pylist()[0]
         anchors = anchors_of(row, length)
         cases = Cases(anchors, Entries(anchors), given_of(right).get(0, []))
@@ -511,6 +516,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False,
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return schema.empty_table()
+        give_back()
         row, given = left.to_pylist()[0], given_of(right)
         anchors = anchors_of(row, length)
         cases = Cases(anchors, Entries(anchors), given.get(0, []))
