@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-from brindle.llm.shared import table, with_checksum
+from brindle.llm.shared import fresh, table, with_checksum
 
 SEEN = 32
 LETTERS = re.compile(rf"[^\W\d_]{{1,{SEEN}}}")
@@ -41,7 +41,9 @@ GROUP_WORDS = 600_000
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w for w in LETTERS.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w))] if text else []
+    """Lower-cased runs of letters; numerals that are no digits may stand in a word, but are none alone."""
+    words = LETTERS.findall(text.lower()) if text else []
+    return words if "".join(words).isalpha() else [w for w in words if any(map(str.isalpha, w))]
 
 
 def letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -296,7 +298,7 @@ def spoken_only(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """Documents with a recognised language; those without a letter or with a near-uniform prediction go."""
     columns = docs.columns
     labelled = docs.where(~held_out(docs)).select("doc_id", "text", "lang")
-    names = {c: f"_{i}" for i, c in enumerate(columns) if c in ("lang_pred", "score")}
+    names = {c: fresh(docs, f"_{c}") for c in columns if c in ("lang_pred", "score")}
     found = identify(docs.withColumnsRenamed(names), train(labelled))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).drop("lang_pred", "score")
     return kept.withColumnsRenamed({v: k for k, v in names.items()}).select(*columns)
