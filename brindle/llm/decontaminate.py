@@ -9,7 +9,7 @@ scan, and what passes the bound is verified by the item's shingles themselves, a
 
 Defined results: null or empty texts and items of under five words have no shingles and match nothing; rows that share a
 doc_id count as one document (a null doc_id is never reported) and repeated items (same item_id) as one item; an empty side gives an empty result; extra
-columns are ignored.
+columns are ignored; texts of any length are probed whole; shingles that an item repeats count once.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import identity, small, stage, table
+from brindle.llm.shared import fresh, identity, small, stage, table
 
 WORDS = 5
 NOT_WORD = r"[^\p{L}\p{N}]+"
@@ -81,8 +81,9 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -
 def clean_of(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Documents that contain no test item; rows with one id go together, rows without an id by their texts."""
     found = contained_items(docs.select(identity().alias("doc_id"), "text"), items, threshold)
-    drop = stage(found.select(F.col("doc_id").alias("_drop")).distinct(), "decontaminate-drop")
-    return docs.join(small(drop), identity() == F.col("_drop"), "left_anti").select(*docs.columns)
+    name = fresh(docs, "_drop")
+    drop = stage(found.select(F.col("doc_id").alias(name)).distinct(), "decontaminate-drop")
+    return docs.join(small(drop), identity() == F.col(name), "left_anti").select(*docs.columns)
 
 
 def op6_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

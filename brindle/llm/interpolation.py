@@ -12,7 +12,8 @@ held-out token, and its size is bounded whatever the corpus.
 
 Defined results: null and empty texts are one end token; unknown words get the uniform share; without training documents
 every token has the uniform probability of a vocabulary of one (score 0, base log10 1/1); without held-out events weights
-stay even; repeated rows are scored and counted each; an empty table gives an empty result; extra columns are ignored.
+stay even; repeated rows are scored and counted each; an empty table gives an empty result; extra columns are ignored; texts of any
+length are scored whole, and nothing depends on the order of ties.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ Bare high-entropy strings (no keyword, no known prefix) are candidates too, and
 says that they are owner-specific.
 
 Defined results: null text counts as empty (a row with no spans); a null owner or repository is the owner or repository
-named by the empty string; repeated rows each give a row; an empty table gives an empty result; extra columns are ignored.
+named by the empty string; repeated rows each give a row; an empty table gives an empty result; extra columns are ignored; texts of any length are
+scanned whole; spans that begin together come in the order of the kinds.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm.shared import small, stage, table
+from brindle.llm.shared import fresh, small, stage, table
 
 KINDS = ("assign", "access", "hex", "bare")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -141,13 +142,14 @@ def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[SEC
     an id do not get each other's.
     """
     columns = docs.columns
+    id_, hash_, hits_ = (fresh(docs, name) for name in ("_id", "_hash", "_hits"))
     scanned = scan_secrets(docs, repository, owner).withColumn("hits", F.filter("spans", lambda s: s["verdict"] != "example"))
-    hits = scanned.where(F.size("hits") > 0).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.transform("hits", lambda s: F.struct(s["value_start"].alias("at"), s["end"].alias("end"))).alias("_hits"))
-    hits = small(stage(hits.groupBy("_id", "_hash").agg(F.first("_hits").alias("_hits")), "secrets-hits"), 100_000)
-    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (F.xxhash64(docs["text"]) == hits["_hash"]), "left")
+    hits = scanned.where(F.size("hits") > 0).select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.transform("hits", lambda s: F.struct(s["value_start"].alias("at"), s["end"].alias("end"))).alias(hits_))
+    hits = small(stage(hits.groupBy(id_, hash_).agg(F.first(hits_).alias(hits_)), "secrets-hits"), 100_000)
+    joined = docs.join(hits, docs["doc_id"].eqNullSafe(hits[id_]) & (F.xxhash64(docs["text"]) == hits[hash_]), "left")
     # Cut points run left to right; overlapping spans (a hex run inside an assigned value) melt into one mark.
     state = F.aggregate(
-        "_hits",
+        hits_,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.when(
             s["end"] > acc["at"],
@@ -158,7 +160,7 @@ def redact(docs: DataFrame, repository: Column, owner: Column, mark: str = "[SEC
         ).otherwise(acc),
         lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))),
     )
-    return joined.withColumn("text", F.when(F.col("_hits").isNull(), F.col("text")).otherwise(state)).select(*columns)
+    return joined.withColumn("text", F.when(F.col(hits_).isNull(), F.col("text")).otherwise(state)).select(*columns)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ Main path: DataFrame functions and Spark's own FP-growth only.  The labelled URL
 pruned by support and confidence, indexed under their rarest token, and matched against the URLs that no explicit rule fits.
 
 Defined results: a null url, or one without `://`, has empty host and path and fits no explicit rule; it has no tokens, so
-the method allows it.  Repeated rows each give a row; an empty table gives an empty result; extra columns are ignored.
+the method allows it.  Repeated rows each give a row; an empty table gives an empty result; extra columns are ignored; URLs of any length are read
+whole; of rules of equal length, and of mined rules of equal confidence and support, the last by name decides.
 """
 
 from __future__ import annotations

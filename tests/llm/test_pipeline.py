@@ -102,3 +102,35 @@ def test_packing_holds_every_token_of_the_survivors(stages):
 def test_run_gives_the_last_stage(spark, stages):
     pick = lambda df: sorted(tuple(r) for r in df.select("doc_id", "doc_tokens").distinct().collect())
     assert pick(pipeline.run(spark, stages[0])) == pick(stages[2][5])
+
+
+CLASHING = ["_key", "_drop", "_id", "_hash", "_hits", "_lang_pred", "lang_pred", "score", "queue", "rid", "spans", "component_id", "_0"]
+
+
+def test_stages_keep_columns_of_any_name_and_rows_without_an_id(spark, stages):
+    folder, items, docs = stages
+    rows = docs[0].where("doc_id < 60 OR doc_id > 150")
+    no_id = rows.where("doc_id IN (3, 29)").withColumn("doc_id", pipeline.F.lit(None).cast("long"))
+    now = rows.unionByName(rows.where("doc_id IN (4, 5)")).unionByName(no_id)
+    now = stage(now.select("*", *[pipeline.F.lit(c).alias(c) for c in CLASHING]), "test-clashing")
+    first = now
+    for name, step in pipeline.STAGES[:-1]:
+        now = stage(step(spark, now, folder), f"test-{name}")
+        assert now.columns == first.columns
+    kept = now.collect()
+    assert all(r[c] == c for r in kept for c in CLASHING)
+    ids = [r["doc_id"] for r in kept]
+    assert len(ids) == len(set(ids)) and None not in ids  # 3 and 29 stand for their copies, and 29 is contaminated
+    assert 29 not in ids and {4, 5} <= set(ids)
+    assert {r["doc_id"] for r in pipeline.STAGES[-1][1](spark, now, folder).collect()} == set(ids)
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, step in pipeline.STAGES:
+        now = step(spark, now, str(tmp_path))
+        assert now.count() == 0
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
