@@ -5,6 +5,12 @@ n-gram join keeps one document of each class linked by a Jaccard similarity of 0
 drops documents that contain a benchmark item; the secret scan keeps every document and redacts credentials that are no
 widely copied examples; packing cuts all texts into training sequences.  All stages but the last return the columns of
 `documents`.
+
+Defined results: null and empty texts have no language and go in the first stage; texts of any length are judged and kept whole;
+of classes of near duplicates the least id stays, of rows that share it the text with the least hash, once; rows without an id
+are told apart by their texts; contaminated rows go with all rows of their id; repeated rows are one after the second stage;
+empty tables give an empty result of the same columns; extra columns pass through the stages whatever their names, but for
+packing, which gives pieces.
 """
 
 from __future__ import annotations
