@@ -79,18 +79,21 @@ def claim(tasks: DataFrame, batch: str, limit: int) -> DataFrame:
 # Places in texts
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def find_evidence(quote: Column, text: Column) -> Column:
     """Struct<start, end> in code points of the first place where the quote's words stand, whatever the case and white space.
 
-    Positions come from the lengths of what precedes the match, so they count code points, not UTF-16 units.
+    Positions come from the lengths of what precedes and follows the match, so they count code points, not UTF-16 units.
     """
-    pieces = F.filter(F.split(quote, r"(?U)\s+", -1), lambda p: p != "")
     # Every piece is quoted literally; \E inside a piece would end the quotation early.
-    quoted = F.array_join(F.transform(pieces, lambda p: F.concat(F.lit("\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), r"\s+")
-    pattern = F.concat(F.lit("(?isU)^(.*?)("), quoted, F.lit(")"))
-    part = lambda group: F.call_function("regexp_extract", text, pattern, F.lit(group))
-    hit, before = part(2), F.length(part(1))
-    return F.when((F.size(pieces) > 0) & (hit != ""), F.struct(before.alias("start"), (before + F.length(hit)).alias("end")))
+    literal = lambda p: F.concat(F.lit("\\Q"), F.replace(p, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    pattern = lambda pieces: F.concat(F.lit("(?isU)"), F.array_join(F.transform(pieces, literal), r"\s+"))
+    around = _bound(F.filter(F.split(quote, r"(?U)\s+", -1), lambda p: p != ""), lambda pieces: F.when(F.size(pieces) > 0, F.split(text, pattern(pieces), 2)))
+    return _bound(around, lambda s: F.when(F.size(s) == 2, F.struct(F.length(s[0]).alias("start"), (F.length(text) - F.length(s[1])).alias("end"))))
 
 
 def is_identifier(name: Column) -> Column:
@@ -139,13 +142,13 @@ def name_spans(pois: Column, text: Column) -> Column:
     """Spans (start, end, category) of names inside their evidence, first come first kept where they overlap, in order."""
 
     def span(p: Column) -> Column:
-        quote = find_evidence(p["evidence"], text)
-        inner = find_evidence(p["name"], F.substring(text, quote["start"] + 1, quote["end"] - quote["start"]))
-        return F.when(inner.isNotNull(), F.struct((quote["start"] + inner["start"]).alias("start"), (quote["start"] + inner["end"]).alias("end"), p["category"].alias("category")))
+        placed = lambda quote, inner: F.when(inner.isNotNull(), F.struct((quote["start"] + inner["start"]).alias("start"), (quote["start"] + inner["end"]).alias("end"), p["category"].alias("category")))
+        named = lambda quote: find_evidence(p["name"], F.substring(text, quote["start"] + 1, quote["end"] - quote["start"]))
+        return _bound(find_evidence(p["evidence"], text), lambda quote: _bound(named(quote), lambda inner: placed(quote, inner)))
 
     from brindle.operators.evaluation import disjoint
 
-    return F.array_sort(disjoint(F.array_compact(F.transform(pois, span))))
+    return F.array_sort(_bound(F.array_compact(F.transform(pois, span)), disjoint))
 
 
 # Regions of the labelling tool
