@@ -3,13 +3,16 @@
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from brindle.functions import text as T
 from brindle.operators import dedup
 from brindle.operators import spatial
-from brindle.plans import corpus, labeling, location
+from brindle.plans import catalogue, corpus, labeling, location
+from tests.oracle import differences
 
 
 def test_export_matches_brute_force(spark, tmp_path):
@@ -112,3 +115,12 @@ def test_tokens_and_spans_reach_the_end_of_long_documents(spark, tmp_path):
             if own := [x for x in spans if start < x + 9 and start + 5 > x]:
                 want[k, start // 5] = (len(own), min(own))
     assert {(r[0], r[1]): (r[2], r[3]) for r in labeling.token_overlap(spark, str(tmp_path)).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["q_resolution_counts"])
+def test_resolver_queries_have_no_limit(spark, tmp_path, name):
+    """Over 10,000 listings, the most that one batch of the resolver takes, all are resolved."""
+    con = duckdb.connect()
+    con.sql(f"COPY (SELECT range AS s_suppkey FROM range(12000)) TO '{tmp_path}/supplier.parquet'")
+    con.sql(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet'")
+    assert differences(spark, con, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], str(tmp_path)) == ""
