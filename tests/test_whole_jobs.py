@@ -117,7 +117,7 @@ def test_tokens_and_spans_reach_the_end_of_long_documents(spark, tmp_path):
     assert {(r[0], r[1]): (r[2], r[3]) for r in labeling.token_overlap(spark, str(tmp_path)).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["q_resolution_counts", "q_ranked_candidates"])
+@pytest.mark.parametrize("name", ["q_resolution_counts", "q_ranked_candidates", "q_resolutions"])
 def test_resolver_queries_have_no_limit(spark, tmp_path, name):
     """Over 10,000 listings, the most that one batch of the resolver takes, all are resolved."""
     con = duckdb.connect()
